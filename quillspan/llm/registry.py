@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from quillspan.llm import sharding
+from quillspan.llm import chat, sharding
 
 
 def queries() -> dict:
     return {
+        "op7_chat": chat.op7_chat,
         "op9_sharding": sharding.op9_sharding,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op7_chat": chat.ORACLE}
