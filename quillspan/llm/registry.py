@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillspan.llm import chat, sharding
+from quillspan.llm import chat, packing, sharding
 
 
 def queries() -> dict:
     return {
         "op7_chat": chat.op7_chat,
+        "op8_packing": packing.op8_packing,
         "op9_sharding": sharding.op9_sharding,
     }
 
