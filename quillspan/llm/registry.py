@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillspan.llm import chat, packing, sharding
+from quillspan.llm import chat, decontaminate, packing, sharding
 
 
 def queries() -> dict:
     return {
+        "op3_decontamination": decontaminate.op3_decontamination,
         "op7_chat": chat.op7_chat,
         "op8_packing": packing.op8_packing,
         "op9_sharding": sharding.op9_sharding,
