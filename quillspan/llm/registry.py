@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillspan.llm import chat, decontaminate, packing, sharding
+from quillspan.llm import chat, decontaminate, neardup, packing, sharding
 
 
 def queries() -> dict:
     return {
+        "op2_jaccard": neardup.op2_jaccard,
         "op3_decontamination": decontaminate.op3_decontamination,
         "op7_chat": chat.op7_chat,
         "op8_packing": packing.op8_packing,
