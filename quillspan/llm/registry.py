@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillspan.llm import chat, decontaminate, neardup, packing, sharding
+from quillspan.llm import chat, decontaminate, neardup, packing, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op2_jaccard": neardup.op2_jaccard,
         "op3_decontamination": decontaminate.op3_decontamination,
+        "op5_quality": quality.op5_quality,
         "op7_chat": chat.op7_chat,
         "op8_packing": packing.op8_packing,
         "op9_sharding": sharding.op9_sharding,
