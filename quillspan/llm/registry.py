@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspan.llm import chat, decontaminate, neardup, packing, quality, sharding
+from quillspan.llm import chat, decontaminate, neardup, packing, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op7_chat": chat.op7_chat,
         "op8_packing": packing.op8_packing,
         "op9_sharding": sharding.op9_sharding,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
