@@ -39,15 +39,20 @@ from quillspan.llm.labelled import remainder, sample
 
 PER_CLASS = 3000
 MAX_TERMS = 512
-STEM_LENGTHS = range(3, 13)
+STEM_LENGTHS = range(4, 13)
 EDIT_LENGTH = 5
 #: Words to either side that count as a hit's context.
 WINDOW = 8
 CACHE_WORDS = 1 << 21
 FEATURES = 5
 
-#: A stem's share of labelled texts in favour of toxic, and of toxic texts at least.
-PURITY, SUPPORT, LEAST = 0.95, 0.01, 3
+#: A stem's least share of texts in favour of toxic, with classes weighing the same, and its least log-likelihood ratio.
+PURITY, EVIDENCE = 0.95, 30.0
+#: What a text that has a stem already still counts for the next.
+AGAIN = 0.6
+
+#: A stem with unlisted near words in a larger share of clean texts is matched exactly.
+EXACT_SHARE = 0.0005
 
 _QUOTE = re.compile("[\"“”„«»‘’]|(?<!\\w)'|'(?!\\w)")
 
@@ -97,6 +102,8 @@ class Lexicon:
     stems: list[str]
     #: Words one edit from a stem that labelled texts without toxicity have too.
     clean: frozenset[str] = frozenset()
+    #: Numbers of stems among whose near words too many are clean: matched exactly only.
+    exact: frozenset[int] = frozenset()
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
 
     def __post_init__(self):
@@ -111,7 +118,7 @@ class Lexicon:
         self.codes = np.zeros(0, np.int32)
 
     def __getstate__(self):
-        return {"stems": self.stems, "clean": self.clean, "weights": self.weights}
+        return {"stems": self.stems, "clean": self.clean, "exact": self.exact, "weights": self.weights}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -148,7 +155,7 @@ class Lexicon:
             for k in np.flatnonzero(self.possible(data, s, e)).tolist():
                 word = textops.LOWER[data[s[k] : e[k]]].tobytes().decode()
                 found = self.trie.match(word)
-                if found and not (found[1] and word in self.clean):
+                if found and not (found[1] and (word in self.clean or found[0] in self.exact)):
                     codes[k] = 2 * found[0] + found[1] + 1
             put = np.searchsorted(self.known, keys[new])
             self.known, self.codes = np.insert(self.known, put, keys[new]), np.insert(self.codes, put, codes)
@@ -194,29 +201,49 @@ def features_of(found: list[tuple[int, int, bool, int, str]], n_words: int) -> l
 
 
 def lexicon_stems(rows: DataFrame) -> list[str]:
-    """Stems from a bounded sample (key, text, label), by document frequencies in either class."""
+    """Stems from a bounded sample (key, text, label).
+
+    Candidates are told by document frequencies in either class. They are taken
+    one by one, the one with the most toxic texts first, where a text counts
+    ``AGAIN`` times as much for every stem it already has: words that merely
+    stand in copies of a toxic text have nothing left once its real terms are
+    taken. Candidates and texts are bounded, so their incidence is.
+    """
+    rows = rows.dropDuplicates(["text", "label"])
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    toxic, other = counts.get(1, 0), counts.get(0, 0)
+    toxic, other = counts.get(1, 0), max(counts.get(0, 0), 1)
     if not toxic:
         return []
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.array_distinct(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
     long = F.explode(F.filter(words, lambda w: F.length(w) >= min(STEM_LENGTHS))).alias("w")
-    stems = rows.select("key", "label", long).select("key", "label", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, STEM_LENGTHS)), lambda n: F.substring(F.col("w"), F.lit(1), n)))).alias("stem"))
-    by = stems.distinct().groupBy("stem").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    least = max(LEAST, SUPPORT * toxic)
-    share = (F.col("a") / toxic) / (F.col("a") / toxic + F.col("b") / max(other, 1))
-    found = by.where((F.col("a") >= least) & (share >= PURITY)).orderBy(F.desc("a"), "stem").limit(4 * MAX_TERMS).collect()
-    support = {r["stem"]: r["a"] for r in found}
+    heads = F.array_distinct(F.transform(F.array(*map(F.lit, STEM_LENGTHS)), lambda n: F.substring(F.col("w"), F.lit(1), n)))
+    stems = rows.select(F.xxhash64("key").alias("d"), "label", long).select("d", "label", F.explode(heads).alias("stem")).distinct()
+    by = stems.groupBy("stem").agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
+    a, b, base = F.col("a"), F.col("b"), toxic / (toxic + other)
+
+    def term(n, p):  # n ln(n / expected), 0 for none
+        return F.when(n > 0, n * F.log(n / ((a + b) * p))).otherwise(0.0)
+
+    share = (a / toxic) / (a / toxic + b / other)
+    strong = (share >= PURITY) & (2 * (term(a, base) + term(b, 1 - base)) >= EVIDENCE)
+    chosen = F.broadcast(by.where(strong).orderBy(F.desc("a"), "stem").limit(8 * MAX_TERMS).select("stem"))
+    texts_of = {r["stem"]: set(r["ds"]) for r in stems.where("label = 1").join(chosen, "stem").groupBy("stem").agg(F.collect_list("d").alias("ds")).collect()}
+    weight = dict.fromkeys((d for ds in texts_of.values() for d in ds), 1.0)
+    least = EVIDENCE / (-2 * np.log(base))
     kept: list[str] = []
-    for stem in sorted(support, key=lambda s: (len(s), s)):
-        if any(stem.startswith(k) for k in kept):
-            continue
-        longer = stem  # as long a stem as the same texts have
-        while ext := [s for s in support if len(s) == len(longer) + 1 and s.startswith(longer) and support[s] >= 0.98 * support[stem]]:
-            longer = ext[0]
-        kept.append(longer)
-    return sorted(kept, key=lambda s: (-support[s], s))[:MAX_TERMS]
+    while texts_of and len(kept) < MAX_TERMS:
+        support = {s: sum(weight[d] for d in ds) for s, ds in texts_of.items()}
+        stem = max(support, key=lambda s: (support[s], s))
+        if support[stem] < least:
+            break
+        while ext := [s for s in texts_of if len(s) == len(stem) + 1 and s.startswith(stem) and len(texts_of[s]) >= 0.9 * len(texts_of[stem])]:
+            stem = max(ext, key=lambda s: (len(texts_of[s]), s))  # as long a stem as nearly the same texts have
+        kept.append(stem)
+        for d in texts_of[stem]:
+            weight[d] *= AGAIN
+        texts_of = {s: ds for s, ds in texts_of.items() if support[s] >= least and not s.startswith(stem) and not stem.startswith(s)}
+    return kept
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
@@ -236,35 +263,48 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
 
 
 def learn(rows: DataFrame) -> Lexicon:
-    """The lexicon and its weights from a bounded sample (key, text, label)."""
+    """The lexicon and its weights from a bounded sample (key, text, label).
+
+    Clean near words come from one half of the sample (by hash of the key);
+    stems that still have near words in over ``EXACT_SHARE`` of the clean texts
+    of the other half are matched exactly only. Weights are fitted on all.
+    """
     lexicon = Lexicon(lexicon_stems(rows))
+    hashed = rows.select("text", "label", F.pmod(F.xxhash64("key"), F.lit(2)).cast("int").alias("half"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, found, n in hits(batch.column(0), lexicon):
+            for i, j, found, _ in hits(batch.column(0), lexicon):
+                words = [sorted({(h[0], h[4]) for h in f if h[1]}) for f in found]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(1).slice(i, j - i),
-                        pa.array([features_of(f, int(k)) for f, k in zip(found, n, strict=True)], pa.list_(pa.float64())),
-                        pa.array([sorted({h[4] for h in f if h[1]}) for f in found], pa.list_(pa.string())),
-                    ],
-                    ["label", "features", "near"],
+                    [batch.column(2).slice(i, j - i), pa.array([[w[0] for w in ws] for ws in words], pa.list_(pa.int32())), pa.array([[w[1] for w in ws] for ws in words], pa.list_(pa.string()))],
+                    ["half", "stems", "words"],
                 )
 
-    got = rows.select("text", "label").mapInArrow(run, "label int, features array<double>, near array<string>").toArrow()
+    texts = hashed.where("label = 0").mapInArrow(near, "half int, stems array<int>, words array<string>").toArrow().to_pylist()
+    lexicon.clean = frozenset(w for t in texts if t["half"] == 0 for w in t["words"])
+    second = [t for t in texts if t["half"] == 1]
+    counts = np.zeros(max(len(lexicon.stems), 1), int)
+    for t in second:
+        for k in {k for k, w in zip(t["stems"], t["words"], strict=True) if w not in lexicon.clean}:
+            counts[k] += 1
+    lexicon.exact = frozenset(np.flatnonzero(counts > max(1, EXACT_SHARE * len(second))).tolist())
+    lexicon.clean |= frozenset(w for t in second for w in t["words"])
+    lexicon = Lexicon(lexicon.stems, lexicon.clean, lexicon.exact)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, found, n in hits(batch.column(0), lexicon):
+                x = [features_of(f, int(k)) for f, k in zip(found, n, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array(x, pa.list_(pa.float64()))], ["label", "features"])
+
+    got = rows.select("text", "label").mapInArrow(run, "label int, features array<double>").toArrow()
     y = np.array(got["label"].to_pylist(), float)
-    clean = {w for label, near in zip(y, got["near"].to_pylist(), strict=True) if label == 0 for w in near}
-    lexicon.clean = frozenset(clean)
     if len(set(y.tolist())) < 2:
         lexicon.weights[-1] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return lexicon
-    x = np.array(got["features"].to_pylist(), float).reshape(len(y), FEATURES)
-    for k, near in enumerate(got["near"].to_pylist()):
-        if set(near) & clean:  # fitted as the lexicon will now read these texts
-            x[k, 1] = 0.0
-    lexicon.weights = fit(x, y)
-    # Misspelled terms are rare in any sample: they weigh half as much as true ones at least; quoted ones no more than true ones.
-    w = lexicon.weights
+    lexicon.weights = w = fit(np.array(got["features"].to_pylist(), float).reshape(len(y), FEATURES), y)
+    # Misspelled terms are rare in any sample and weigh half as much as true ones at least; quoted ones at most so.
     w[1] = max(w[1], 0.5 * w[0])
     w[2] = min(w[2], 0.5 * w[0]) if w[2] else 0.25 * w[0]
     return lexicon
