@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillspan.llm import chat, decontaminate, neardup, packing, quality, sharding, toxicity
+from quillspan.llm import chat, decontaminate, linededup, neardup, packing, quality, sharding, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": linededup.op1_line_dedup,
         "op2_jaccard": neardup.op2_jaccard,
         "op3_decontamination": decontaminate.op3_decontamination,
         "op5_quality": quality.op5_quality,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op7_chat": chat.ORACLE}
+    return {"op1_line_dedup": linededup.ORACLE, "op7_chat": chat.ORACLE}
