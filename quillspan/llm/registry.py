@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspan.llm import chat, decontaminate, linededup, neardup, packing, quality, sharding, toxicity
+from quillspan.llm import chat, decontaminate, imatch, linededup, neardup, packing, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_jaccard": neardup.op2_jaccard,
         "op3_decontamination": decontaminate.op3_decontamination,
         "op5_quality": quality.op5_quality,
+        "op6_imatch": imatch.op6_imatch,
         "op7_chat": chat.op7_chat,
         "op8_packing": packing.op8_packing,
         "op9_sharding": sharding.op9_sharding,
