@@ -5,13 +5,15 @@ equal sets form a class; classes stand for their copies.
 
 1. Signatures. Sizes fall into bands; for a band whose largest size is U, two
    linked sets differ in at most d = (1-t)/(1+t) * 2U members. The hash space
-   is cut into d + 1 + MARGIN equal parts, so two linked sets agree on at least
-   1 + MARGIN whole parts; each non-empty part's members give one signature. A
-   set with more than MARGIN empty parts gives signatures of those, too, so no
-   link is lost. Sets near a band's top also sign for the next band.
-2. Families. Sets that share a signature are connected by stars from the least
-   class to the others: as many rows as signatures, never pairs. Connected
-   components of the stars are families; unlike sets rarely share one.
+   is cut into d + SPARE + g equal parts, so two linked sets agree on at least
+   SPARE + g whole parts; each non-empty part's members give one signature. A
+   set with more than SPARE empty parts gives signatures of those, too, so
+   linked sets share at least g signatures and no link is lost. Sets near a
+   band's top also sign for the next band.
+2. Families. A set with fewer than g signatures that others have cannot link and
+   goes (a passage that many documents share gives a few such). Sets that share
+   a signature are connected by stars from the least class to the others: as
+   many rows as signatures, never pairs. Connected components are families.
 3. Tiles. A family within ``TILE_MEMBERS`` and ``TILE_SHINGLES`` is one tile; a
    larger one is cut into bands by size, bands into blocks by hash, and every
    pair of blocks whose sizes may link is a tile. In a tile, ordered by size,
@@ -43,8 +45,10 @@ from quillspan.llm.components import components
 
 #: Ratio of a band's largest size to the one before.
 BAND = 1.6
-#: Parts beyond those that pigeonholes need, so that empty parts need no signature.
-MARGIN = 2
+#: Parts beyond those that pigeonholes need, so that a few empty parts need no signature.
+SPARE = 2
+#: Parts beyond those, as a share of d, that linked sets must agree on.
+AGREE = 0.15
 TILE_MEMBERS = 3000
 TILE_SHINGLES = 4_000_000
 #: Bits of a bitmap signature.
@@ -103,37 +107,41 @@ def band_of(size: int, tops: list[int]) -> int:
     return int(np.searchsorted(tops, size))
 
 
-def signatures(members: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
-    """All signatures of a non-empty set, for its band and, if it may link into it, the next."""
+def differ(largest: int, threshold: tuple[int, int]) -> int:
+    """At most so many members are in only one of two linked sets of at most this size."""
     t = threshold[0] / threshold[1]
+    return math.floor((1 - t) / (1 + t) * 2 * largest + 1e-9)
+
+
+def agree(d: int) -> int:
+    return max(1, math.ceil(AGREE * d))
+
+
+def signatures(members: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """All signatures of a non-empty set, for its band and, if it may link into it, the next. The lowest 6 bits hold the band."""
     n = len(members)
     reach = n * threshold[1] // threshold[0]
     tops = bands(threshold, max(reach, n))
-    own = band_of(n, tops)
     out = []
-    for band in {own, band_of(reach, tops)}:
-        # a pair that meets in the next band has one set here, below this one's reach
-        largest = tops[band]
-        differ = math.floor((1 - t) / (1 + t) * 2 * largest + 1e-9)
-        if not differ:  # only equal sets link, and those are one class
+    for band in {band_of(n, tops), band_of(reach, tops)}:
+        d = differ(tops[band], threshold)
+        if not d:  # only equal sets link, and those are one class
             continue
-        parts = differ + 1 + MARGIN
+        parts = d + SPARE + agree(d)
         of = ((members >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         begin = np.searchsorted(of, np.arange(parts))
-        count = np.diff(np.append(begin, n))
-        full = count > 0
+        full = np.diff(np.append(begin, n)) > 0
         mixed = textops.mix(members + np.uint64(0x632BE59BD9B4E019))
-        sums = np.add.reduceat(mixed, begin[full]) if full.any() else np.zeros(0, np.uint64)
-        label = np.uint64(band * 0x1000003) + np.flatnonzero(full).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
-        out.append(textops.mix(sums + label))
-        if parts - int(full.sum()) > MARGIN:
-            empty = np.flatnonzero(~full).astype(np.uint64)
-            out.append(textops.mix(empty * np.uint64(0xD1342543DE82EF95) + np.uint64(band * 0x1000003 + 0x5BD1E995)))
+        sums = np.zeros(parts, np.uint64)
+        sums[full] = np.add.reduceat(mixed, begin[full])
+        signed = full if parts - int(full.sum()) <= SPARE else np.ones(parts, bool)
+        label = np.flatnonzero(signed).astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(band * 0x1000003)
+        out.append(textops.mix(sums[signed] + label) & ~np.uint64(63) | np.uint64(band))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def features(df: DataFrame, key: str, text: str, width: int, threshold: tuple[int, int]) -> DataFrame:
-    """key, n (set size), class (hash of the set, 0 if empty), sigs (each class once per task where memory allows)."""
+def _pass(df: DataFrame, key: str, text: str, width: int, threshold: tuple[int, int], sign: bool) -> DataFrame:
+    """Of every text key, n (set size) and class (hash of the set, 0 if empty); or signatures of classes, each once per task where memory allows."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,38 +149,43 @@ def features(df: DataFrame, key: str, text: str, width: int, threshold: tuple[in
         for batch in batches:
             for i, j, sets in shingle_sets(batch.column(1), width):
                 classes = np.array([set_hash(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                sigs = []
-                for s, c in zip(sets, classes.tolist(), strict=True):
-                    if not len(s) or c in seen:
-                        sigs.append(None)
-                        continue
-                    if len(seen) < 200_000:
-                        seen.add(c)
-                    sigs.append(signatures(s, threshold).view(np.int64))
+                if not sign:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes)], [key, "n", "class"]
+                    )
+                    continue
+                sigs = [np.zeros(0, np.uint64)] * len(sets)
+                for k, (s, c) in enumerate(zip(sets, classes.tolist(), strict=True)):
+                    if len(s) and c not in seen:
+                        if len(seen) < 200_000:
+                            seen.add(c)
+                        sigs[k] = signatures(s, threshold)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes), pa.array(sigs, pa.list_(pa.int64()))],
-                    [key, "n", "class", "sigs"],
+                    [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(classes, [len(s) for s in sigs]))], ["sig", "class"]
                 )
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n long, class long, sigs array<long>")
+    return df.select(key, text).mapInArrow(run, "sig long, class long" if sign else f"`{key}` {kind}, n long, class long")
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (sig, class) rows to edges from the least class of a signature to each other."""
-    last_sig, last_class, head = None, None, None
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted (sig, class) rows those, each once, whose signature another class has."""
+    held: tuple[int, int, bool] | None = None  # the last row, and whether its signature is known to be shared
     for batch in batches:
         sig, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if held is not None:
+            sig, cls = np.append(held[0], sig), np.append(held[1], cls)
         if not len(sig):
             continue
-        new = np.concatenate([[sig[0] != last_sig], sig[1:] != sig[:-1]])
-        prior = np.concatenate([[last_class if last_class is not None else cls[0]], cls[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-        first = np.where(at >= 0, cls[np.maximum(at, 0)], head if head is not None else cls[0])
-        keep = ~new & (prior != cls) & (first != cls)
-        if keep.any():
-            edges = np.unique(np.stack([first[keep], cls[keep]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
-        last_sig, last_class, head = sig[-1], cls[-1], first[-1]
+        fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])])
+        sig, cls = sig[fresh], cls[fresh]
+        same = sig[1:] == sig[:-1]
+        known = np.concatenate([[held is not None and held[2]], same])
+        out = known | np.concatenate([same, [False]])
+        held = (sig[-1], cls[-1], bool(known[-1]))
+        emit = out[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(sig[:-1][emit]), pa.array(cls[:-1][emit])], ["sig", "class"])
+    if held is not None and held[2]:
+        yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["sig", "class"])
 
 
 def bitmap(members: np.ndarray) -> np.ndarray:
@@ -262,38 +275,46 @@ def tiles(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
 def classes_linked(df: DataFrame, key: str, text: str, width: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Features of every row, and (id, component) for classes on a link."""
     spark = df.sparkSession
-    feats = materialise(features(df, key, text, width, threshold), "shingles")
-    signed = feats.where("sigs is not null").select(F.explode("sigs").alias("sig"), "class")
+    feats = materialise(_pass(df, key, text, width, threshold, False), "classes")
+    signed = _pass(df, key, text, width, threshold, True)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    stars = signed.repartition(partitions, "sig").sortWithinPartitions("sig", "class").mapInArrow(_stars, "a long, b long")
-    families = materialise(components(stars.distinct()), "families")
+    shared = materialise(signed.repartition(partitions, "sig").sortWithinPartitions("sig", "class").mapInArrow(_shared, "sig long, class long"), "shared")
+    banded = shared.withColumn("band", F.col("sig").bitwiseAND(F.lit(63)).cast("int"))
+    tops = bands(threshold, 1 << 40)
+    needed = F.element_at(F.array(*[F.lit(agree(differ(t, threshold))) for t in tops]), F.col("band") + 1)
+    strong = banded.groupBy("class", "band").count().where(F.col("count") >= needed).select("class", "band")
+    kept = banded.join(strong, ["class", "band"]).select("sig", "class")
+    heads = kept.groupBy("sig").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").select("sig", "a")
+    stars = kept.join(heads, "sig").where("a < class").select("a", F.col("class").alias("b")).distinct()
+    families = materialise(components(stars), "families")
     reps = feats.where("n > 0").groupBy("class").agg(F.min(key).alias("doc"), F.first("n").alias("n"))
     members = families.select(F.col("id").alias("class"), F.col("component").alias("family")).join(reps, "class")
     placed = materialise(tiles(members, threshold), "tiles")
     texts = df.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    wanted = placed.select("doc", "class").distinct()
     keys = ["family", "u", "i", "v", "j"]
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, sets in shingle_sets(batch.column(1), width):
+            for i, j, sets in shingle_sets(batch.column(0), width):
+                rest = batch.slice(i, j - i).select([1, 2, 3, 4, 5, 6, 7])
                 own = np.array([set_hash(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                cls = batch.column(0).slice(i, j - i)
-                keep = np.flatnonzero(own == cls.to_numpy())  # of rows that share an id, the one meant
-                yield pa.RecordBatch.from_arrays(
-                    [cls.take(pa.array(keep)), pa.array([sets[k].tobytes() for k in keep.tolist()], pa.binary())], ["class", "members"]
-                )
-
-    arrays = texts.join(wanted, "doc").select("class", "text").mapInArrow(sets_of, "class long, members binary").dropDuplicates(["class"])
-    tiled = placed.drop("doc").join(arrays, "class")
+                keep = np.flatnonzero(own == rest.column(0).to_numpy())  # of rows that share an id, the one meant
+                rest = rest.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([sets[k].tobytes() for k in keep.tolist()], pa.binary())], [*rest.schema.names, "members"])
 
     def link(group: pa.Table) -> pa.Table:
-        cls = group["class"].to_pylist()
+        cls, first = np.unique(group["class"].to_numpy(), return_index=True)
+        group = group.take(pa.array(first))
         sets = [np.frombuffer(m, np.uint64) for m in group["members"].to_pylist()]
-        side = np.array(group["side"].to_pylist(), np.int64)
+        side = group["side"].to_numpy()
         found = tile_links(sets, threshold, side if side.any() else None)
         return pa.table({"a": pa.array([cls[x] for x, _ in found], pa.int64()), "b": pa.array([cls[y] for _, y in found], pa.int64())})
 
+    tiled = (
+        texts.join(placed, "doc")
+        .select("text", "class", *keys, "side")
+        .mapInArrow(sets_of, "class long, family long, u int, i int, v int, j int, side int, members binary")
+    )
     links = tiled.groupBy(*keys).applyInArrow(link, "a long, b long")
     return feats, components(links)
 
