@@ -311,7 +311,7 @@ def classes_linked(df: DataFrame, key: str, text: str, width: int, threshold: tu
         return pa.table({"a": pa.array([cls[x] for x, _ in found], pa.int64()), "b": pa.array([cls[y] for _, y in found], pa.int64())})
 
     tiled = (
-        texts.join(placed, "doc")
+        texts.join(placed.hint("merge"), "doc")  # one plan at every size
         .select("text", "class", *keys, "side")
         .mapInArrow(sets_of, "class long, family long, u int, i int, v int, j int, side int, members binary")
     )
