@@ -1,6 +1,81 @@
-"""The corpus pipeline: stages over the table of documents."""
+"""The corpus pipeline over the table of documents: five stages, each one operator.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next stage's documents. All but the last return
+the columns of documents, with n_chars of the text as it then stands. Empty
+tables pass through; null texts are kept by every filter but pack as empty.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspan.llm import decontaminate, linededup, neardup, packing, quality
+from quillspan.llm.common import materialise, ship, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document goes if the neighbours' vote for quality is below this share.
+LEAST_QUALITY = 0.35
+#: A document goes if benchmark items cover more of it than this.
+MOST_COVERED = 0.5
+
+#: SQL cannot express the stages; tests hold them against brute force and round trips.
 ORACLE_SQL = None
+
+
+def _documents(df: DataFrame) -> DataFrame:
+    return df.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    model = quality.quality_model(spark, docs, sf_dir)
+    return _documents(quality.classify(docs, "text", model).where(F.col("score") >= LEAST_QUALITY))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go, but for their first place in the corpus; a document that held nothing else goes, too."""
+    cut = linededup.drop_boilerplate(docs, "doc_id", "text", "source")
+    emptied = (F.col("n_removed") > 0) & (F.btrim("text", F.lit(" \t\r\n")) == "")
+    return _documents(cut.where(~F.coalesce(emptied, F.lit(False))))
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by a Jaccard similarity of 0.8 of five-word shingles, the one with the least id stays.
+
+    Rows that share an id are one document; rows without an id stay.
+    """
+    near = neardup.near_duplicates(docs, "doc_id", "text", 5, (80, 100))
+    gone = near.where("component_id <> doc_id").select("doc_id").distinct()
+    return _documents(docs.join(gone, "doc_id", "left_anti"))
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans that benchmark items share are cut; documents that are mostly such spans go."""
+    index = decontaminate.build_index(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return _documents(decontaminate.clean(docs.select(*COLUMNS), "text", index, MOST_COVERED))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents with their places in sequences."""
+    return packing.pack_documents(docs, "doc_id", "text", packing.vocabulary())
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("line dedup", drop_lines),
+    ("near duplicates", keep_one_of_near_duplicates),
+    ("decontamination", cut_benchmark),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number + 1 < len(STAGES):
+            docs = materialise(docs, f"stage{number + 1}")
+    return docs

@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
-from quillspan.llm import chat, decontaminate, imatch, linededup, neardup, packing, quality, sharding, toxicity
+import functools
+from collections.abc import Callable
 
+import corpus_pipeline
+from pyspark.sql import DataFrame, SparkSession
 
-def queries() -> dict:
-    return {
+from quillspan.llm import chat, decontaminate, imatch, linededup, neardup, packing, quality, sharding, tokencount, toxicity
+from quillspan.llm.common import ship
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    own = {
         "op1_line_dedup": linededup.op1_line_dedup,
         "op2_jaccard": neardup.op2_jaccard,
         "op3_decontamination": decontaminate.op3_decontamination,
+        "op4_token_counts": tokencount.op4_token_counts,
         "op5_quality": quality.op5_quality,
         "op6_imatch": imatch.op6_imatch,
         "op7_chat": chat.op7_chat,
         "op8_packing": packing.op8_packing,
         "op9_sharding": sharding.op9_sharding,
         "op10_toxicity": toxicity.op10_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
+    return {name: _shipped(query) for name, query in own.items()}
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
     return {"op1_line_dedup": linededup.ORACLE, "op7_chat": chat.ORACLE}
