@@ -1,11 +1,490 @@
-"""The registered queries of the retrieval engine and their SQL."""
+"""The registered queries of the retrieval engine and their SQL.
+
+The driver's tables stand in for the engine's: documents for texts, embeddings
+(by vec_id = doc_id) for vectors, events for the write-ahead log (keyed by user,
+``error`` deletes), labels, pages and conversations for metadata.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillspan.functions import arrays, hashing, text
+from quillspan.model import SearchRequest
+from quillspan.operators import filters, hybrid, keyword, rank, snapshot, turbo, validate, vector
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+#: Words of the keyword queries.
+WORDS = "idiot thonere inoror shedre eaux licensed"
+CODES = (-0.19, -0.06, 0.06, 0.19)
+K = 10
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The query of the vector searches: the vector with id 0."""
+    return list(table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0])
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "embedding")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with metadata of language, source and length."""
+    d = table(spark, sf_dir, "documents")
+    meta = F.to_json(F.struct("lang", "source", "n_chars"))
+    return d.select(F.col("doc_id").cast("string").alias("doc_id"), "text", meta.alias("metadata"))
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+# --- SQL that several queries share -------------------------------------------------------------
+
+DOT = "list_dot_product(CAST(e.embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))"
+VEC = f"vec AS (SELECT CAST(vec_id AS VARCHAR) AS doc_id, {DOT} AS dot FROM embeddings e)"
+CLAMP = "greatest(0.0, least(1.0, dot))"
+TERMS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda t: t <> '' AND strlen(t) < 40)"
+_LIST = ", ".join(f"'{w}'" for w in WORDS.split())
+BM25 = f"""
+ts AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, {TERMS} AS ts FROM documents),
+st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM ts),
+po AS (SELECT doc_id, len(ts) AS dl, q.term, len(list_filter(ts, lambda t: t = q.term)) AS tf
+       FROM ts, (SELECT unnest([{_LIST}]) AS term) q),
+hits AS (SELECT * FROM po WHERE tf > 0),
+fr AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
+kw AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+       FROM hits JOIN fr USING (term), st GROUP BY doc_id)"""
+RRF = "CAST(coalesce(CAST(1.0::DOUBLE / (60 + vrank) AS FLOAT), 0) + coalesce(CAST(1.0::DOUBLE / (60 + krank) AS FLOAT), 0) AS FLOAT)"
+W30 = "SELECT *, row_number() OVER (ORDER BY {s} DESC, doc_id) AS raw FROM {t} QUALIFY raw <= {n}"
+META = "json_object('lang', lang, 'source', source, 'n_chars', n_chars)"
+
+
+# --- vector search ------------------------------------------------------------------------------
+
+
+@query(f"WITH {VEC}, t AS (SELECT * FROM vec ORDER BY dot DESC, doc_id LIMIT {K}) SELECT doc_id, round({CLAMP}, 6) AS score FROM t")
+def vector_topk_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.search(vectors(spark, sf_dir), first_vector(spark, sf_dir), K).select("doc_id", r6("score").alias("score"))
+
+
+@query(
+    f"""WITH {VEC}, n AS (SELECT doc_id, -dot AS dot FROM vec), t AS (SELECT * FROM n ORDER BY dot DESC, doc_id LIMIT 400)
+    SELECT doc_id, round({CLAMP}, 6) AS score, row_number() OVER (ORDER BY {CLAMP} DESC, doc_id) AS rank FROM t"""
+)
+def vector_clamp_resort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deep enough that scores clamp to 0 and tie: ids order them."""
+    opposite = [-x for x in first_vector(spark, sf_dir)]
+    found = vector.search(vectors(spark, sf_dir), opposite, 400)
+    return rank.with_rank(found, "rank").select("doc_id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    f"""WITH {VEC}, s AS (SELECT *, row_number() OVER (PARTITION BY CAST(doc_id AS BIGINT) % 4 ORDER BY dot DESC, doc_id) AS r FROM vec),
+    b AS (SELECT doc_id, max({CLAMP}) AS score FROM s WHERE r <= {K} GROUP BY doc_id)
+    SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT {K}"""
+)
+def vector_sharded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shard = F.pmod(F.col("doc_id").cast("long"), F.lit(4))
+    return vector.search_shards(vectors(spark, sf_dir), shard, first_vector(spark, sf_dir), K).select("doc_id", r6("score").alias("score"))
+
+
+@query(
+    """WITH q AS (SELECT CAST(vec_id AS VARCHAR) AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < 16),
+    s AS (SELECT query_id, CAST(vec_id AS VARCHAR) AS doc_id, list_dot_product(CAST(embedding AS DOUBLE[]), qv) AS dot FROM embeddings, q),
+    t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(dot, 9) DESC, doc_id) <= 10)
+    SELECT query_id, doc_id, round(greatest(0.0, least(1.0, dot)), 6) AS score FROM t"""
+)
+def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "embeddings").where("vec_id < 16").orderBy("vec_id").collect()
+    found = vector.search_batch(vectors(spark, sf_dir), {str(r.vec_id): r.embedding for r in own}, K)
+    return found.select("query_id", "doc_id", r6("score").alias("score"))
+
+
+# --- keyword search -----------------------------------------------------------------------------
+
+
+@query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM kw ORDER BY kw.score DESC, doc_id LIMIT 20")
+def keyword_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyword.search_texts(table(spark, sf_dir, "documents"), WORDS, 20).select("doc_id", r6("score").alias("score"))
+
+
+@query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM kw ORDER BY kw.score DESC, doc_id LIMIT 20")
+def keyword_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through postings."""
+    index = keyword.build_index(table(spark, sf_dir, "documents"))
+    return keyword.search_index(index, WORDS, 20).select("doc_id", r6("score").alias("score"))
+
+
+@query(
+    f"""WITH {BM25}, f AS (SELECT CAST(CAST(doc_id AS BIGINT) % 50 AS VARCHAR) AS doc_id, score FROM kw)
+    SELECT doc_id, round(max(score), 6) AS score FROM f GROUP BY doc_id ORDER BY max(f.score) DESC, doc_id LIMIT 20"""
+)
+def keyword_backfill_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty different ids although ids repeat."""
+    scored = keyword.score_texts(table(spark, sf_dir, "documents"), WORDS)
+    folded = scored.select(F.pmod(F.col("doc_id").cast("long"), F.lit(50)).cast("string").alias("doc_id"), "score")
+    return rank.best_per_id(folded).orderBy(*rank.by_score()).limit(20).select("doc_id", r6("score").alias("score"))
+
+
+@query(
+    f"""WITH ts AS (SELECT doc_id, {TERMS} AS ts FROM documents), p AS (SELECT DISTINCT doc_id, unnest(ts) AS term FROM ts)
+    SELECT (SELECT count(*) FROM ts) AS n_docs, (SELECT round(avg(len(ts)), 6) FROM ts) AS avgdl,
+      count(DISTINCT term) AS n_terms, count(*) AS n_postings FROM p"""
+)
+def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = keyword.build_index(table(spark, sf_dir, "documents"))
+    terms = index.frequencies.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings"))
+    return terms.select(
+        index.stats.select("n").scalar().alias("n_docs"), F.round(index.stats.select("avgdl").scalar(), 6).alias("avgdl"), "n_terms", "n_postings"
+    )
+
+
+# --- ranking and fusion -------------------------------------------------------------------------
+
+
+@query(
+    """WITH u AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, n_chars / 1000.0::DOUBLE AS score FROM documents
+      UNION ALL SELECT CAST(doc_id AS VARCHAR), quality * 2.0::DOUBLE + toxic FROM labels)
+    SELECT doc_id, round(max(score), 6) AS score FROM u GROUP BY doc_id"""
+)
+def dedupe_best_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), (F.col("n_chars") / 1000.0).alias("score"))
+    b = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("doc_id"), (F.col("quality") * 2.0 + F.col("toxic")).alias("score"))
+    return rank.best_per_id(a.unionByName(b)).select("doc_id", r6("score").alias("score"))
+
+
+_FUSED = f"""WITH {VEC}, {BM25},
+v AS (SELECT doc_id, row_number() OVER (ORDER BY {CLAMP} DESC, doc_id) AS vrank FROM ({W30.format(s="dot", t="vec", n=30)})),
+k AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS krank FROM ({W30.format(s="score", t="kw", n=30)})),
+f AS (SELECT doc_id, vrank, krank, {RRF} AS score FROM v FULL OUTER JOIN k USING (doc_id))"""
+
+
+@query(_FUSED + " SELECT doc_id, round(CAST(score AS DOUBLE), 6) AS score, coalesce(vrank, 0) AS vector_rank, coalesce(krank, 0) AS keyword_rank FROM f")
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vector.search(vectors(spark, sf_dir), first_vector(spark, sf_dir), 30)
+    w = keyword.search_texts(table(spark, sf_dir, "documents"), WORDS, 30)
+    f = rank.fuse(v, w)
+    return f.select("doc_id", r6(F.col("score").cast("double")).alias("score"), *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("vector_rank", "keyword_rank")])
+
+
+@query(
+    """SELECT e.event_id, json_merge_patch(json_object('k', d.n_chars, 'lang', d.lang, 'source', d.source), e.props) ->> '$.k' AS k,
+      d.lang AS lang, d.source AS source FROM events e JOIN documents d ON e.event_id = d.doc_id"""
+)
+def rrf_payload_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two payloads of an id: keys of the first win, the rest is united."""
+    e, d = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents")
+    both = e.join(d, e.event_id == d.doc_id)
+    second = F.to_json(F.struct(F.col("n_chars").alias("k"), "lang", "source"))
+    merged = rank.entries_json(rank.merge_metadata(rank.object_entries(F.col("props")), rank.object_entries(second)))
+    out = both.select("event_id", merged.alias("m"))
+    return out.select("event_id", *[F.get_json_object("m", f"$.{c}").alias(c) for c in ("k", "lang", "source")])
+
+
+# --- hybrid search ------------------------------------------------------------------------------
+
+
+@query(
+    _FUSED
+    + f""", j AS (SELECT f.*, {META} AS metadata, d.text FROM f JOIN documents d ON f.doc_id = CAST(d.doc_id AS VARCHAR) ORDER BY f.score DESC, f.doc_id LIMIT 30)
+    SELECT doc_id, round(CAST(score AS DOUBLE), 6) AS score, 'hybrid' AS source, sha256(text) AS text_sha256, metadata ->> '$.lang' AS lang FROM j"""
+)
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    request = SearchRequest(WORDS, 10)
+    found = hybrid.search(docs(spark, sf_dir), vectors(spark, sf_dir), request, first_vector(spark, sf_dir)).dynamic
+    return found.select(
+        "doc_id",
+        r6(F.col("score").cast("double")).alias("score"),
+        "source",
+        F.sha2("text", 256).alias("text_sha256"),
+        F.get_json_object("metadata", "$.lang").alias("lang"),
+    )
+
+
+@query(f"WITH {BM25} SELECT doc_id, round(CAST(CAST(score AS FLOAT) AS DOUBLE), 4) AS score, 'keyword' AS source FROM kw ORDER BY kw.score DESC, doc_id LIMIT 30")
+def keyword_only_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query has no vector: keyword scores stay as they are."""
+    found = hybrid.search(docs(spark, sf_dir), vectors(spark, sf_dir), SearchRequest(WORDS, 10), None).dynamic
+    return found.select("doc_id", F.round(F.col("score").cast("double"), 4).alias("score"), "source")
+
+
+_STEPS = [(0, 15), (1, 30), (2, 60), (3, 100), (4, 100), (5, 100)]
+_STEP_ROWS = ", ".join(f"({i}, {w})" for i, w in _STEPS)
+
+
+@query(
+    f"""WITH {VEC}, {BM25}, w AS (SELECT * FROM (VALUES {_STEP_ROWS}) x(step, win)),
+    v AS (SELECT step, doc_id, row_number() OVER (PARTITION BY step ORDER BY {CLAMP} DESC, doc_id) AS vrank
+          FROM ({W30.format(s="dot", t="vec", n=100)}), w WHERE raw <= win),
+    k AS (SELECT step, doc_id, row_number() OVER (PARTITION BY step ORDER BY score DESC, doc_id) AS krank
+          FROM ({W30.format(s="score", t="kw", n=100)}), w WHERE raw <= win),
+    f AS (SELECT step, doc_id, {RRF} AS score FROM v FULL OUTER JOIN k USING (step, doc_id)),
+    p AS (SELECT f.*, d.source AS src FROM f JOIN documents d ON f.doc_id = CAST(d.doc_id AS VARCHAR) WHERE d.lang = 'en'),
+    c AS (SELECT coalesce(min(step), 5) AS step FROM (SELECT step FROM p GROUP BY step HAVING count(*) >= 5))
+    SELECT doc_id, round(CAST(score AS DOUBLE), 6) AS score, src FROM p JOIN c USING (step) ORDER BY p.score DESC, doc_id LIMIT 15"""
+)
+def filtered_hybrid_widening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    request = SearchRequest(WORDS, 5, {"lang": "en"})
+    found = hybrid.search(docs(spark, sf_dir), vectors(spark, sf_dir), request, first_vector(spark, sf_dir)).dynamic
+    return found.select("doc_id", r6(F.col("score").cast("double")).alias("score"), F.get_json_object("metadata", "$.source").alias("src"))
+
+
+# --- filters, citations, validation -------------------------------------------------------------
+
+
+@query("SELECT event_id, event_type FROM events WHERE json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(props ->> '$.k' AS DOUBLE) = 7 AND event_type = 'click'")
+def metadata_filter_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    flat = e.select("event_id", "event_type", F.concat(F.lit('{"type":"'), F.col("event_type"), F.lit('","k":'), k, F.lit("}")).alias("metadata"))
+    return filters.apply_filters(flat, {"k": 7, "type": "click"}).select("event_id", "event_type")
+
+
+@query(
+    """SELECT CAST(page_id AS VARCHAR) AS doc_id, CAST(page_id AS VARCHAR) AS resource_id, url, CAST(NULL AS VARCHAR) AS metadata
+    FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT CAST(page_id AS VARCHAR), NULL, NULL, NULL FROM pages WHERE page_id % 2 = 1"""
+)
+def strip_metadata_keep_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd pages lack a source type and so a citation."""
+    p = table(spark, sf_dir, "pages")
+    kind = F.when(F.col("page_id") % 2 == 0, F.lit("page"))
+    meta = F.to_json(F.struct(F.col("page_id").cast("string").alias("resource_id"), kind.alias("source_type"), F.col("url").alias("source_ref"), "url"))
+    cited = p.select(F.col("page_id").cast("string").alias("doc_id"), meta.alias("metadata")).withColumn("c", text.citation(F.col("metadata")))
+    return filters.strip_metadata(cited).select("doc_id", "c.resource_id", "c.url", "metadata")
+
+
+@query(
+    """SELECT CAST(page_id AS VARCHAR) AS doc_id,
+      CASE WHEN page_id % 3 = 0 THEN url WHEN page_id % 3 = 1 THEN 'page ' || page_id END AS title,
+      CASE WHEN page_id % 3 = 0 THEN 'page' WHEN page_id % 3 = 1 THEN '法规' END AS source_type FROM pages"""
+)
+def citation_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole citation, else the title's, else none."""
+    p = table(spark, sf_dir, "pages")
+    third = F.col("page_id") % 3
+    page_id = F.col("page_id").cast("string")
+    meta = F.when(third == 0, F.to_json(F.struct(page_id.alias("resource_id"), F.lit("page").alias("source_type"), F.col("url").alias("source_ref"), F.col("url").alias("title"))))
+    meta = meta.when(third == 1, F.to_json(F.struct(F.concat(F.lit("page "), page_id).alias("title")))).otherwise('{"title": 5}')
+    cited = text.static_citation(meta, page_id, F.lit("legal"))
+    return p.select(page_id.alias("doc_id"), cited.alias("c")).select("doc_id", "c.title", "c.source_type")
+
+
+@query(
+    """SELECT coalesce(CASE WHEN text IS NULL OR text = '' THEN 'text is required'
+        WHEN strlen(text) > 100000 THEN 'text exceeds the maximum size of 100000 bytes'
+        WHEN d.doc_id % 7 = 0 THEN 'metadata has an invalid value' WHEN d.doc_id % 11 = 0 THEN 'timestamp has an invalid value' END, 'valid') AS verdict,
+      count(*) AS n FROM documents d GROUP BY 1"""
+)
+def document_validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").alias("d").join(table(spark, sf_dir, "embeddings").alias("e"), F.col("d.doc_id") == F.col("e.vec_id"), "left")
+    n = F.col("d.doc_id")
+    meta = F.when(n % 7 == 0, "[1]").otherwise(F.to_json(F.struct("lang")))
+    stamp = F.when(n % 11 == 0, F.lit(999)).otherwise(F.lit(1_700_000_000_000)).cast("long")
+    error = validate.document_error(n.cast("string"), F.col("text"), F.col("embedding"), meta, stamp, 64)
+    return d.select(F.coalesce(error, F.lit("valid")).alias("verdict")).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT vec_id, len(embedding) = 64 AS valid, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings")
+def embedding_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", arrays.valid_embedding(F.col("embedding"), 64).alias("valid"), r6(arrays.norm(F.col("embedding"))).alias("norm"))
+
+
+# --- write-ahead log ----------------------------------------------------------------------------
+
+
+def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("user_id").cast("string").alias("doc_id"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
+        F.date_format("ts", "yyyy/MM/dd").alias("segment"),
+        F.format_string("%012d", "event_id").alias("event_id"),
+        F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"),
+        F.struct(F.col("user_id").cast("string").alias("doc_id"), F.col("event_type").alias("text"), F.col("props").alias("metadata"), "value").alias("document"),
+    )
+
+
+_LWW = """SELECT CAST(user_id AS VARCHAR) AS doc_id, event_type AS text, round(value, 6) AS value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) DESC, strftime(ts, '%Y/%m/%d') DESC, event_id DESC) AS r FROM events)
+  WHERE r = 1 AND event_type <> 'error'"""
+
+
+@query(_LWW)
+def wal_lww_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.live_documents(change_log(spark, sf_dir)).select("doc_id", "text", r6("value").alias("value"))
+
+
+@query("SELECT event_id, 'wal/' || strftime(ts, '%Y/%m/%d') || '/segment-' || (event_id % 10) || '.jsonl' AS wal_key FROM events")
+def wal_segment_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    millis = F.unix_millis(F.col("ts").cast("timestamp"))
+    return e.select("event_id", text.segment_key(millis, F.concat(F.lit("segment-"), (F.col("event_id") % 10).cast("string"))).alias("wal_key"))
+
+
+@query(
+    """SELECT event_id AS source_id, 'batch-' || (event_id // 1000) || '-' || lpad(CAST(row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS VARCHAR), 6, '0') AS event_id,
+      CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op FROM events"""
+)
+def wal_batch_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event ids number a batch's records in input order."""
+    e = table(spark, sf_dir, "events").withColumn("b", F.floor(F.col("event_id") / 1000))
+    n = F.row_number().over(Window.partitionBy("b").orderBy("event_id"))
+    name = F.concat(F.lit("batch-"), F.col("b").cast("string"))
+    return e.select(F.col("event_id").alias("source_id"), text.event_id(name, n).alias("event_id"), F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"))
+
+
+@query("SELECT DISTINCT 'wal/' || strftime(ts, '%Y/%m/%d') || '.jsonl' AS wal_key FROM events")
+def wal_key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed keys and the trigger's, each once, in order."""
+    e = table(spark, sf_dir, "events")
+    keys = e.select(F.concat(F.lit("wal/"), F.date_format("ts", "yyyy/MM/dd"), F.lit(".jsonl")).alias("wal_key"))
+    return keys.union(keys.limit(1)).distinct().orderBy("wal_key")
+
+
+# --- compressed static search -------------------------------------------------------------------
+
+_Q = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
+_NEAR = "CASE WHEN abs(x + 0.19) <= abs(x + 0.06) AND abs(x + 0.19) <= abs(x - 0.06) AND abs(x + 0.19) <= abs(x - 0.19) THEN 0 WHEN abs(x + 0.06) <= abs(x - 0.06) AND abs(x + 0.06) <= abs(x - 0.19) THEN 1 WHEN abs(x - 0.06) <= abs(x - 0.19) THEN 2 ELSE 3 END"
+_ENC = f"""WITH x AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: {_NEAR}) AS idx, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+y AS (SELECT vec_id, idx, list_transform(idx, lambda i: [-0.19::DOUBLE, -0.06, 0.06, 0.19][i + 1]) AS c, v FROM x),
+z AS (SELECT vec_id, idx, c, list_transform(list_zip(v, c), lambda p: p[1] - p[2]) AS r FROM y),
+e AS (SELECT vec_id, idx, c, r, sqrt(list_dot_product(r, r)) AS gamma FROM z),
+s AS (SELECT vec_id, gamma, list_dot_product(c, {_Q}) AS centroid_term,
+  list_sum(list_transform(list_zip(r, {_Q}), lambda p: CASE WHEN p[1] >= 0 THEN p[2] ELSE -p[2] END)) AS qjl_term FROM e)"""
+
+
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", turbo.native_code(F.col("embedding"), CODES).alias("code"))
+
+
+@query(_ENC + " SELECT vec_id, array_to_string(idx, '') AS idx, array_to_string(list_transform(r, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END), '') AS signs, round(gamma, 6) AS gamma FROM e")
+def turbo_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = coded(spark, sf_dir)
+    digits = F.array_join(F.transform("code", lambda e: e["idx"].cast("string")), "")
+    signs = F.array_join(F.transform("code", lambda e: F.when(e["r"] >= 0, "1").otherwise("0")), "")
+    return c.select("vec_id", digits.alias("idx"), signs.alias("signs"), r6(turbo.native_gamma(F.col("code"))).alias("gamma"))
+
+
+@query(_ENC + " SELECT vec_id, round(centroid_term, 6) AS centroid_term, round(qjl_term, 6) AS qjl_term, round(gamma, 6) AS gamma FROM s")
+def turbo_score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = coded(spark, sf_dir)
+    a, b = turbo.native_terms(F.col("code"), first_vector(spark, sf_dir))
+    return c.select("vec_id", r6(a).alias("centroid_term"), r6(b).alias("qjl_term"), r6(turbo.native_gamma(F.col("code"))).alias("gamma"))
+
+
+@query(_ENC + " SELECT CAST(vec_id AS VARCHAR) AS doc_id, round(centroid_term + gamma * qjl_term, 4) AS score FROM s ORDER BY centroid_term + gamma * qjl_term DESC LIMIT 15")
+def turbo_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through the packed records."""
+    codec = turbo.Codec.uniform(64, CODES)
+    encoded = turbo.encode_table(vectors(spark, sf_dir), codec)
+    return turbo.search(encoded, codec, first_vector(spark, sf_dir), 15).select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query(
+    _ENC
+    + """, a AS (SELECT vec_id FROM s ORDER BY centroid_term + gamma * qjl_term DESC LIMIT 10),
+    b AS (SELECT vec_id FROM embeddings e ORDER BY """
+    + DOT
+    + """ DESC LIMIT 10) SELECT count(*) AS hits, count(*) / 10.0::DOUBLE AS recall FROM a JOIN b USING (vec_id)"""
+)
+def turbo_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = first_vector(spark, sf_dir)
+    codec = turbo.Codec.uniform(64, CODES)
+    near = turbo.search(turbo.encode_table(vectors(spark, sf_dir), codec), codec, q, K).select("doc_id")
+    exact = vector.nearest(vector.raw_scores(vectors(spark, sf_dir), q), K).select("doc_id")
+    return near.join(exact, "doc_id").agg(F.count(F.lit(1)).alias("hits")).select("hits", (F.col("hits") / float(K)).alias("recall"))
+
+
+# --- hashes, digests, contexts ------------------------------------------------------------------
+
+_FNV = """list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS HUGEINT))),
+  lambda h, b: ((h - h % 256 + CAST(xor(CAST(h % 256 AS BIGINT), CAST(b AS BIGINT)) AS HUGEINT)) % 16777216 * 1099511628211
+    + ((h - h % 16777216) // 16777216 * 1099511628211 % 1099511627776) * 16777216) % 18446744073709551616::HUGEINT)"""
+
+
+@query(f"SELECT doc_id, CAST({_FNV.format('CAST(doc_id AS VARCHAR)')} AS VARCHAR) AS doc_hash FROM documents")
+def fnv1a_doc_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", hashing.fnv1a(F.col("doc_id").cast("string")).cast("string").alias("doc_hash"))
+
+
+@query("SELECT count(DISTINCT doc_id) AS n_ids, count(DISTINCT doc_id) AS n_hashes, CAST(0 AS BIGINT) AS n_collisions FROM documents")
+def hash_collision_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"))
+    h = hashing.fnv1a(F.col("doc_id"))
+    collisions = validate.hash_collisions(d, "doc_id", h).agg(F.count(F.lit(1)).alias("n"))
+    return d.agg(F.count_distinct("doc_id").alias("n_ids"), F.count_distinct(h).alias("n_hashes")).select("n_ids", "n_hashes", collisions.scalar().alias("n_collisions"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, strlen(text) AS n_bytes FROM documents")
+def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+_CJK = "[\\x{3000}-\\x{303F}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{FF00}-\\x{FFEF}\\x{20000}-\\x{2FA1F}\\x{30000}-\\x{3134F}]"
+
+
+@query(
+    f"""WITH t AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'c' || conv_id || '.' || turn, text || '合同条款' FROM conversations),
+    n AS (SELECT id, length(text) AS a, length(regexp_replace(text, '{_CJK}', '', 'g')) AS o FROM t)
+    SELECT id, CAST(a - o + ceil(o / 4.0) AS BIGINT) AS tokens FROM n"""
+)
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    c = table(spark, sf_dir, "conversations")
+    c = c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string")).alias("id"), F.concat("text", F.lit("合同条款")).alias("text"))
+    return d.unionByName(c).select("id", text.token_estimate(F.col("text")).alias("tokens"))
+
 
-def queries() -> dict:
-    return {}
+@query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS n FROM documents QUALIFY n <= 5)
+    SELECT lang, string_agg('[用户数据 #' || n || ']' || CASE WHEN n % 2 = 0 THEN ' ' || source ELSE '' END || chr(10) || text || chr(10) || chr(10), '' ORDER BY n) AS context FROM r GROUP BY lang"""
+)
+def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    here = Window.partitionBy("lang").orderBy("n_chars", "doc_id")
+    top = d.withColumn("n", F.row_number().over(here)).where("n <= 5")
+    made = top.select("lang", "n", text.block(F.lit("用户数据"), F.col("n"), F.when(F.col("n") % 2 == 0, F.col("source")), F.col("text")).alias("b"))
+    return made.groupBy("lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "b"))), lambda x: x["b"]), "").alias("context"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("SELECT doc_id % 4 AS shard_id, count(*) AS document_count, sum(count(*)) OVER () = (SELECT count(*) FROM documents) AS matches FROM documents GROUP BY 1")
+def shard_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    counts = d.groupBy((F.col("doc_id") % 4).alias("shard_id")).agg(F.count(F.lit(1)).alias("document_count"))
+    total = d.agg(F.count(F.lit(1)).alias("n")).scalar()
+    summed = counts.agg(F.sum("document_count").alias("n")).scalar()
+    return counts.select("shard_id", "document_count", (summed == total).alias("matches"))
