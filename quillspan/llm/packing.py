@@ -5,10 +5,11 @@
    letter/punctuation edges separate are tokenised once for each distinct unit;
    every worker process keeps a bounded table of units it has met.
 2. Plan (``plan_patterns``): the histogram of piece lengths, at most
-   ``capacity`` bins whatever the corpus, comes to the driver. Patterns of one
-   to four lengths that nearly fill a sequence are enumerated, their repeat
-   counts are fitted to the histogram by non-negative least squares and rounded
-   down; what is left is packed best-fit decreasing, length by length.
+   ``capacity`` bins whatever the corpus, comes to the driver. Patterns of at
+   most FEW lengths are enumerated, their repeat counts are fitted to the
+   histogram by non-negative least squares; those that nearly fill a sequence
+   are used as often as the rounded counts say, the longest lengths first, and
+   what is left is packed best-fit decreasing, length by length.
 3. Assign (``pack``): a piece's rank among those of its length, counted in
    salted cells, selects its place in the plan's intervals. The plan has at
    most ``MAX_INTERVALS`` rows and is joined by broadcast.
@@ -22,6 +23,7 @@ the id and the text are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,6 +41,10 @@ CAPACITY = 4096
 #: Units that a worker process remembers; beyond it the table starts anew.
 CACHE_UNITS = 1 << 20
 SALTS = 1024
+#: Lengths in a pattern at most, and partners tried for each length.
+FEW, PARTNERS = 6, 8
+#: What a sequence costs in the fit, as a share of the mean count of a length, at first and at last.
+FIRST_CHARGE, LAST_CHARGE = 0.5, 0.004
 MAX_INTERVALS = 1 << 18
 
 _LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
@@ -181,63 +187,72 @@ def tokenise(df: DataFrame, key: str, text: str, path: str, capacity: int = CAPA
     return df.select(key, text).mapInArrow(run, fields)
 
 
-def fit_counts(patterns: list[tuple[int, ...]], histogram: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Non-negative least squares by coordinate descent: repeat counts x >= 0 of patterns that bring A x near the histogram."""
-    residual = histogram.astype(np.float64).copy()
+def _sum_at(patterns: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
+    """A x: how many pieces of each length the patterns use; place 0 is padding."""
+    out = np.bincount(patterns.ravel(), weights=np.repeat(x, patterns.shape[1]), minlength=size)
+    out[0] = 0.0
+    return out
+
+
+def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 1500) -> np.ndarray:
+    """Non-negative least squares: repeat counts x >= 0 of patterns (rows, padded by 0) that bring A x near the histogram.
+
+    A small charge for every sequence, lowered as the fit goes on, chooses among
+    the many fits the one with few sequences; at the end the residuals are the
+    charge times the lengths' prices. Projected gradients with momentum, dropped
+    when it points uphill; the step is the inverse of A's largest squared
+    singular value.
+    """
+    size = len(histogram)
+    h = histogram.astype(np.float64).copy()
+    h[0] = 0.0
+    scale = h[h > 0].mean()
+    h /= scale
+    x, bound = np.ones(len(patterns)), 1.0
+    for _ in range(20):
+        y = _sum_at(patterns, x, size)[patterns].sum(axis=1)
+        bound = float(np.linalg.norm(y) / np.linalg.norm(x))
+        x = y / np.linalg.norm(y)
+    step = 1.0 / (1.05 * bound)
     x = np.zeros(len(patterns))
-    columns = [np.unique(p, return_counts=True) for p in patterns]
-    for _ in range(rounds):
-        moved = 0.0
-        for k, (rows, n) in enumerate(columns):
-            step = float(n @ residual[rows]) / float(n @ n)
-            step = max(step, -x[k])
-            if step:
-                x[k] += step
-                residual[rows] -= step * n
-                moved = max(moved, abs(step))
-        if moved < 0.25:
-            break
-    return x
-
-
-def few_patterns(histogram: np.ndarray, capacity: int, limit: int = 6000) -> list[tuple[int, ...]]:
-    """Patterns of one to four of the lengths at hand that fill a sequence, or nearly so, fullest and commonest first.
-
-    For every length its best partner, and for sums of two of the commonest
-    lengths the best one or two that fill the rest, looked up by length.
+    ahead, momentum = x, 1.0
+    for i in range(rounds):
+        charge = FIRST_CHARGE * (LAST_CHARGE / FIRST_CHARGE) ** min(1.0, i / (0.7 * rounds))
+        residual = h - _sum_at(patterns, ahead, size)
+        fresh = np.maximum(ahead + step * (residual[patterns].sum(axis=1) - charge), 0.0)
+        if float((ahead - fresh) @ (fresh - x)) > 0:
+            momentum = 1.0
+        following = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
+        ahead = np.maximum(fresh + (momentum - 1) / following * (fresh - x), 0.0)
+        x, momentum = fresh, following
+    return x * scale
+
+
+def few_patterns(histogram: np.ndarray, capacity: int, best: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
+    """Patterns of at most FEW lengths, longest first, padded by 0.
+
+    Each length with its largest partners that fit and some smaller ones, then
+    what fits best beside them; and the contents of a best-fit packing (``best``).
     """
     lengths = np.flatnonzero(histogram)
-    if not len(lengths):
-        return []
-    below = np.full(capacity + 1, -1)  # the largest length at hand that is no longer
+    below = np.zeros(capacity + 1, np.int64)  # the largest length at hand that is no longer
     below[lengths] = lengths
     below = np.maximum.accumulate(below)
-    found: set[tuple[int, ...]] = set()
-
-    def add(*parts: int) -> None:
-        room = capacity - sum(parts)
-        if room >= 0 and all(p > 0 for p in parts):
-            found.add(tuple(sorted(parts, reverse=True)))
-
+    found = {tuple(sorted(p, reverse=True)) for p, _ in best if len(p) <= FEW}
     for a in lengths.tolist():
-        add(a)
-        b = int(below[capacity - a])
-        if b > 0:
-            add(a, b)
-        half = (capacity - a) // 2
-        if (b := int(below[half])) > 0 and (c := int(below[capacity - a - b])) > 0:
-            add(a, b, c)
-    common = lengths[np.argsort(-histogram[lengths], kind="stable")][:96].tolist()
-    for a, b in itertools.combinations_with_replacement(common, 2):
-        room = capacity - a - b
-        if room <= 0:
-            continue
-        if (c := int(below[room])) > 0:
-            add(a, b, c)
-        if (c := int(below[room // 2])) > 0 and (d := int(below[room - c])) > 0:
-            add(a, b, c, d)
-    full = sorted(found, key=lambda p: (capacity - sum(p), -min(int(histogram[q]) for q in p), p))
-    return full[:limit]
+        partners = [int(below[min(a, (capacity - a) * k // 20)]) for k in (10, 7, 5)]
+        b = int(below[min(a, capacity - a)])
+        for _ in range(PARTNERS):
+            partners.append(b)
+            b = int(below[max(b - 1, 0)])
+        for b in partners:
+            pattern, room = [a], capacity - a
+            while b and len(pattern) < FEW:
+                pattern.append(b)
+                room -= b
+                b = int(below[min(b, room)])
+            found.add(tuple(pattern))
+    return np.array(sorted((p + (0,) * (FEW - len(p)) for p in found), reverse=True), np.int64).reshape(-1, FEW)
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -272,21 +287,24 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
 
 
 def plan_patterns(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns with repeat counts that use every piece exactly once."""
-    left = histogram.astype(np.int64).copy()
-    plan: list[tuple[tuple[int, ...], int]] = []
-    patterns = few_patterns(left, capacity)
-    x = fit_counts(patterns, left)
-    for k in np.argsort([capacity - sum(p) for p in patterns], kind="stable").tolist() if patterns else []:
-        p = patterns[k]
-        if capacity - sum(p) > capacity // 64:
-            break
-        rows, n = np.unique(p, return_counts=True)
-        times = int(min(np.floor(x[k]), (left[rows] // n).min()))
-        if times > 0:
-            left[rows] -= times * n
-            plan.append((p, times))
-    return plan + best_fit(left, capacity)
+    """Patterns with repeat counts that use every piece exactly once; of three limits of waste the one with fewest sequences."""
+    pieces = histogram.astype(np.int64)
+    if not pieces[1:].any():
+        return []
+    patterns = few_patterns(pieces, capacity, best_fit(pieces, capacity))
+    x = np.floor(fit_counts(patterns, pieces) + 1e-6).astype(np.int64)
+    plans = []
+    for waste in (0, capacity // 256, capacity // 16):
+        left, plan = pieces.copy(), []
+        for k in np.flatnonzero((x > 0) & (capacity - patterns.sum(axis=1) <= waste)).tolist():  # the longest lengths choose first
+            p = tuple(int(v) for v in patterns[k] if v)
+            rows, n = np.unique(p, return_counts=True)
+            times = int(min(x[k], (left[rows] // n).min()))
+            if times > 0:
+                left[rows] -= times * n
+                plan.append((p, times))
+        plans.append(plan + best_fit(left, capacity))
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
 
 
 def intervals(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
