@@ -257,8 +257,8 @@ class WalRecord:
 class Shard:
     shard_id: int
     document_count: int
-    lance_path: str
-    tantivy_path: str
+    table_path: str
+    keyword_path: str
 
 
 @dataclass
@@ -280,8 +280,8 @@ class IndexManifest:
         if sum(s.document_count for s in self.shards) != self.document_count:
             raise mismatch("document_count", "sum(shard.document_count)")
         for s in self.shards:
-            check_store_uri(s.lance_path, "lance_path")
-            check_store_uri(s.tantivy_path, "tantivy_path")
+            check_store_uri(s.table_path, "table_path")
+            check_store_uri(s.keyword_path, "keyword_path")
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), indent=2)

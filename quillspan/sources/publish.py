@@ -80,8 +80,8 @@ def read_tables(spark: SparkSession, store: Store, manifest: IndexManifest) -> I
     if len(manifest.shards) != 1:
         raise OperationError("keyword search needs exactly one shard", "execution_error")
     shard = manifest.shards[0]
-    words = store.resolve(shard.tantivy_path)
-    docs = spark.read.parquet(str(store.resolve(shard.lance_path)))
+    words = store.resolve(shard.keyword_path)
+    docs = spark.read.parquet(str(store.resolve(shard.table_path)))
     return IndexTables(docs, keyword.KeywordIndex(*[spark.read.parquet(str(words / n)) for n in ("postings", "frequencies", "stats")]))
 
 
@@ -136,7 +136,7 @@ def publish(store: Store, manifest: IndexManifest, updated_at: int, expected: in
     if stored is None or IndexManifest.from_json(stored.decode()) != manifest:
         raise OperationError("the stored manifest is missing or differs", "publish_error")
     for shard in manifest.shards:
-        for uri in (shard.lance_path, shard.tantivy_path):
+        for uri in (shard.table_path, shard.keyword_path):
             store.check_tree(store.resolve(uri))
     if not store.compare_and_swap(HEAD, store.etag(raw), head_json(manifest.version_id, updated_at)):
         raise OperationError(f"publish conflict: active version changed during the update (expected {expected}, observed {active_version(store)})", "publish_error")
