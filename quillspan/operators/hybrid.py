@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspan.functions.arrays import clamp01
+from quillspan.functions.hashing import fnv1a
 from quillspan.functions.text import citation, static_citation
 from quillspan.model import RESULT, SearchRequest, windows
 from quillspan.operators import keyword as kw
@@ -65,7 +66,7 @@ def search(
     Without a query vector (its generation failed) only keywords count: the
     source is then keyword, scores are those of BM25, and the static group is
     empty. ``static``: (doc_id, score, text, metadata, corpus_type) of a static
-    search over at least 100 rows. ``keyword_list``: (doc_id, score) from an index.
+    search for 100 rows; ties go to the lower hash of the id. ``keyword_list``: (doc_id, score) from an index.
     """
     request.validate()
     spark = docs.sparkSession
@@ -92,11 +93,11 @@ def search(
     dynamic = _result(final, request, "dynamic", F.lit(None).cast("string"), citation(F.col("metadata")))
     if static is None or query_vector is None:
         return Groups(spark.createDataFrame([], RESULT), dynamic)
-    rows = static.withColumn("source", F.lit("static")).withColumn("score", F.col("score").cast("float"))
-    here = Window.partitionBy(F.lit(0)).orderBy(F.col("position").asc()) if "position" in static.columns else Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), F.asc("doc_id"))
+    rows = static.withColumn("source", F.lit("static")).withColumn("score", F.col("score").cast("float")).withColumn("h", fnv1a(F.col("doc_id")))
+    here = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), F.asc("h"))
     # The static list is cut at the chosen window, then filtered.
-    width = F.element_at(F.array(*map(F.lit, tried)), F.col("step") + 1)
-    cut = rows.withColumn("raw", F.row_number().over(here)).join(F.broadcast(chosen), F.lit(True)).where(F.col("raw") <= width)
+    width = F.element_at(F.array(*map(F.lit, tried)), chosen.scalar() + 1)
+    cut = rows.withColumn("raw", F.row_number().over(here)).where(F.col("raw") <= width)
     cut = cut.where(all_match(F.col("metadata"), request.filters))
     return Groups(_result(cut, request, "static", F.col("corpus_type"), static_citation(F.col("metadata"), F.col("doc_id"), F.col("corpus_type")), "raw"), dynamic)
 
