@@ -10,10 +10,12 @@ equal sets form a class; classes stand for their copies.
    set with more than SPARE empty parts gives signatures of those, too, so
    linked sets share at least g signatures and no link is lost. Sets near a
    band's top also sign for the next band.
-2. Families. A set with fewer than g signatures that others have cannot link and
-   goes (a passage that many documents share gives a few such). Sets that share
-   a signature are connected by stars from the least class to the others: as
-   many rows as signatures, never pairs. Connected components are families.
+2. Families. Signatures that only one class has go. By a prefix argument each
+   set may leave out its g - 1 commonest signatures, too: of g that two sets
+   share, the least common one stays with both. Those of passages that many
+   documents have go that way. Sets that share what is left are connected by
+   stars from the least class to the others: as many rows as signatures, never
+   pairs. Connected components are families.
 3. Tiles. A family within ``TILE_MEMBERS`` and ``TILE_SHINGLES`` is one tile; a
    larger one is cut into bands by size, bands into blocks by hash, and every
    pair of blocks whose sizes may link is a tile. In a tile, ordered by size,
@@ -38,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspan.llm import textops
 from quillspan.llm.common import materialise, table
@@ -48,7 +51,9 @@ BAND = 1.6
 #: Parts beyond those that pigeonholes need, so that a few empty parts need no signature.
 SPARE = 2
 #: Parts beyond those, as a share of d, that linked sets must agree on.
-AGREE = 0.15
+AGREE = 0.4
+#: Signatures held by so many classes or more are equally common.
+MANY = 1 << 18
 TILE_MEMBERS = 3000
 TILE_SHINGLES = 4_000_000
 #: Bits of a bitmap signature.
@@ -168,24 +173,74 @@ def _pass(df: DataFrame, key: str, text: str, width: int, threshold: tuple[int,
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted (sig, class) rows those, each once, whose signature another class has."""
-    held: tuple[int, int, bool] | None = None  # the last row, and whether its signature is known to be shared
+    """Sorted (sig, class) rows to (sig, class, held) of signatures of more than one class, each class once.
+
+    held: how many classes have the signature, ``MANY`` for that many or more. The
+    rows of the last signature of a batch wait for the next, at most MANY.
+    """
+    sig, cls = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    over: int | None = None  # a signature already known to be held by MANY
+
+    def done(s: np.ndarray, c: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
+        keep = held > 1
+        return pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(c[keep]), pa.array(held[keep].astype(np.int32))], ["sig", "class", "held"])
+
+    def counted(s: np.ndarray) -> np.ndarray:
+        begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        n = np.minimum(np.diff(np.append(begin, len(s))), MANY)
+        if over is not None and s[0] == over:
+            n[0] = MANY
+        return np.repeat(n, np.diff(np.append(begin, len(s))))
+
     for batch in batches:
-        sig, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if held is not None:
-            sig, cls = np.append(held[0], sig), np.append(held[1], cls)
+        sig, cls = np.append(sig, batch.column(0).to_numpy()), np.append(cls, batch.column(1).to_numpy())
         if not len(sig):
             continue
         fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])])
         sig, cls = sig[fresh], cls[fresh]
-        same = sig[1:] == sig[:-1]
-        known = np.concatenate([[held is not None and held[2]], same])
-        out = known | np.concatenate([same, [False]])
-        held = (sig[-1], cls[-1], bool(known[-1]))
-        emit = out[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(sig[:-1][emit]), pa.array(cls[:-1][emit])], ["sig", "class"])
-    if held is not None and held[2]:
-        yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["sig", "class"])
+        last = int(np.searchsorted(sig, sig[-1]))
+        if len(sig) - last >= MANY or over == sig[-1]:  # too many to wait for: all but the last row can go
+            held = counted(sig)
+            held[last:] = MANY
+            over, last = int(sig[-1]), len(sig) - 1
+        else:
+            held = counted(sig)
+        if last:
+            yield done(sig[:last], cls[:last], held[:last])
+        sig, cls = sig[last:], cls[last:]
+    if len(sig):
+        yield done(sig, cls, counted(sig))
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (sig, class) rows to edges from the least class of a signature to each other one."""
+    last, head = None, 0
+    for batch in batches:
+        sig, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(sig):
+            continue
+        new = np.concatenate([[sig[0] != last], sig[1:] != sig[:-1]])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
+        first = np.where(at >= 0, cls[np.maximum(at, 0)], head)
+        edges = np.unique(np.stack([first[~new], cls[~new]], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+        last, head = sig[-1], first[-1]
+
+
+def families(df: DataFrame, key: str, text: str, width: int, threshold: tuple[int, int]) -> DataFrame:
+    """(id, component) of classes that may link."""
+    partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def by_signature(rows: DataFrame) -> DataFrame:
+        return rows.repartition(partitions, "sig").sortWithinPartitions("sig", "class")
+
+    shared = by_signature(_pass(df, key, text, width, threshold, True)).mapInArrow(_shared, "sig long, class long, held int")
+    banded = shared.withColumn("band", F.col("sig").bitwiseAND(F.lit(63)).cast("int"))
+    needed = F.element_at(F.array(*[F.lit(agree(differ(t, threshold))) for t in bands(threshold, 1 << 40)]), F.col("band") + 1)
+    order = Window.partitionBy("class", "band").orderBy(F.desc("held"), "sig")
+    kept = banded.withColumn("r", F.row_number().over(order)).where(F.col("r") >= needed).select("sig", "class")
+    stars = by_signature(kept).mapInArrow(_stars, "a long, b long")
+    return materialise(components(stars.distinct()), "families")
 
 
 def bitmap(members: np.ndarray) -> np.ndarray:
@@ -274,21 +329,10 @@ def tiles(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
 
 def classes_linked(df: DataFrame, key: str, text: str, width: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Features of every row, and (id, component) for classes on a link."""
-    spark = df.sparkSession
     feats = materialise(_pass(df, key, text, width, threshold, False), "classes")
-    signed = _pass(df, key, text, width, threshold, True)
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    shared = materialise(signed.repartition(partitions, "sig").sortWithinPartitions("sig", "class").mapInArrow(_shared, "sig long, class long"), "shared")
-    banded = shared.withColumn("band", F.col("sig").bitwiseAND(F.lit(63)).cast("int"))
-    tops = bands(threshold, 1 << 40)
-    needed = F.element_at(F.array(*[F.lit(agree(differ(t, threshold))) for t in tops]), F.col("band") + 1)
-    strong = banded.groupBy("class", "band").count().where(F.col("count") >= needed).select("class", "band")
-    kept = banded.join(strong, ["class", "band"]).select("sig", "class")
-    heads = kept.groupBy("sig").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").select("sig", "a")
-    stars = kept.join(heads, "sig").where("a < class").select("a", F.col("class").alias("b")).distinct()
-    families = materialise(components(stars), "families")
+    joined = families(df, key, text, width, threshold)
     reps = feats.where("n > 0").groupBy("class").agg(F.min(key).alias("doc"), F.first("n").alias("n"))
-    members = families.select(F.col("id").alias("class"), F.col("component").alias("family")).join(reps, "class")
+    members = joined.select(F.col("id").alias("class"), F.col("component").alias("family")).join(reps, "class")
     placed = materialise(tiles(members, threshold), "tiles")
     texts = df.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     keys = ["family", "u", "i", "v", "j"]
