@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,22 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package's code to the executors' Python, wherever they run, once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_quillspan_shipped", False):
-        return
-    top = Path(__file__).resolve().parent.parent
-    folder = tempfile.mkdtemp(prefix="quillspan-code-")
-    atexit.register(shutil.rmtree, folder, True)
-    file = Path(folder) / "quillspan_code.zip"
-    with zipfile.ZipFile(file, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(str(file))  # executors fetch it from the driver
-    sc._quillspan_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

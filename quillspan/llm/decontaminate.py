@@ -299,10 +299,29 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        "longest",
     )
 
 
+_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT item_id, ws, least({WINDOW}, len(ws)) AS n FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark)),
+w AS (SELECT DISTINCT item_id, n, array_to_string(ws[i : i + n - 1], ' ') AS g
+      FROM b, unnest(generate_series(1, len(ws) - n + 1)) AS t(i) WHERE n > 0),
+p AS (SELECT doc_id, i, n, array_to_string(ws[i : i + n - 1], ' ') AS g
+      FROM d, (SELECT DISTINCT n FROM w) z, unnest(generate_series(1, len(ws) - n + 1)) AS t(i) WHERE len(ws) >= n),
+h AS (SELECT p.* FROM p SEMI JOIN w USING (n, g)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS place FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+       FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM h JOIN w USING (n, g)) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
 def brute_force(texts: list[str | None], items: list[tuple[object, str | None]], size: int = WINDOW) -> list[tuple[int, int, int, str]]:
     """The same by comparing every window with every place; for tests."""
     import re
