@@ -11,8 +11,8 @@
    are used as often as the rounded counts say, the longest lengths first, and
    what is left is packed best-fit decreasing, length by length.
 3. Assign (``pack``): a piece's rank among those of its length, counted in
-   salted cells, selects its place in the plan's intervals. The plan has at
-   most ``MAX_INTERVALS`` rows and is joined by broadcast.
+   salted cells, selects its place in the plan's intervals. A plan of at most
+   ``MAX_INTERVALS`` rows is joined by broadcast, a larger one by shuffles.
 
 Defined results: a null text is empty and gives one piece of the end token; ties
 of length are filled by salt, id, piece; rows repeated under one id are
@@ -330,16 +330,16 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
     for length, n in counted:
         histogram[length] = n
     rows = intervals(plan_patterns(histogram, capacity))
-    if len(rows) > MAX_INTERVALS:
-        raise ValueError("the plan outgrew its bound")
     names = ["__length", "__first", "__end", "__sequence", "__offset"]
     at = np.array(rows, np.int64).reshape(-1, 5)
     plan = spark.createDataFrame(pa.Table.from_arrays([pa.array(at[:, i]) for i in range(5)], names))
     salt = F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int")
     ranked = rank_within(without(pieces, "sequence_id", "offset"), "length", salt, [F.col(c) for c in order], "__rank", SALTS)
     inside = (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__end"))
+    if len(rows) <= MAX_INTERVALS:  # else Spark shuffles both sides by length
+        plan = F.broadcast(plan)
     return (
-        ranked.join(F.broadcast(plan), inside)
+        ranked.join(plan, inside)
         .withColumn("sequence_id", F.col("__sequence") + F.col("__rank") - F.col("__first"))
         .withColumn("offset", F.col("__offset"))
         .drop(*names, "__rank")
