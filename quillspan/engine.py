@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.functions.embed import Embedder, embed_query
 from quillspan.model import Document, OperationError, SearchRequest, mismatch
-from quillspan.operators import context, hybrid, keyword, turbo
+from quillspan.operators import context, hybrid, keyword, turbo, validate
 from quillspan.operators import vector as vec
 from quillspan.sources import publish, release, wal
 from quillspan.sources.store import Store
@@ -53,6 +53,17 @@ class HybridEngine:
     def static_build(self, rows: DataFrame, codec: turbo.Codec, model_id: str, source: release.ReleaseSource, key: str) -> dict[str, Any]:
         return release.build_release(rows, codec, model_id, source, self.store, key)
 
+    def static_build_version(self, version: int, codec: turbo.Codec, model_id: str, corpus_type: str, key: str) -> dict[str, Any]:
+        """A release from the documents of an index version, pinned by its folder, with the vectors stored there."""
+        body = self.store.read(publish.manifest_key(version))
+        if body is None:
+            raise OperationError(f"version {version} is missing", "build_error")
+        manifest = publish.IndexManifest.from_json(body.decode())
+        rows = publish.read_tables(self.spark, self.store, manifest).documents
+        rows = validate.require_valid(rows, manifest.embedding_dim).select("doc_id", "text", "metadata", "embedding")
+        source = release.ReleaseSource("table", manifest.shards[0].table_path, version, rows.count(), corpus_type)
+        return self.static_build(rows, codec, model_id, source, key)
+
     def static_activate(self, key: str, model_id: str | None = None, dim: int | None = None) -> bool:
         """Verifies, installs and activates; False if the pointer was changed by someone else."""
         folder = self.store.path(key)
@@ -115,6 +126,14 @@ class HybridEngine:
     def keyword_search(self, query: str, k: int) -> DataFrame:
         return keyword.search_index(self._tables()[2].keyword, query, k)
 
+    def search_vectors_only(self, request: SearchRequest, query_vector: Sequence[float]) -> DataFrame:
+        request.validate_direct("vector")
+        return self.vector_search(query_vector, request.top_k)
+
+    def search_keywords_only(self, request: SearchRequest) -> DataFrame:
+        request.validate_direct("keyword")
+        return self.keyword_search(request.query, request.top_k)
+
     def context(self, request: SearchRequest, max_tokens: int | None = None) -> tuple[str, str]:
         """System prompt and context of a search."""
         found = self.search(request)

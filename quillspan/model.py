@@ -168,6 +168,13 @@ class SearchRequest:
         if self.corpus_weights:
             self.corpus_weights.validate()
 
+    def validate_direct(self, retriever: str) -> None:
+        """As ``validate``, for a single retriever, which has neither filters nor metadata."""
+        self.validate()
+        for name, given in (("filters", self.filters is not None), ("include_metadata", self.include_metadata)):
+            if given:
+                raise OperationError(f"{name} are unsupported for {retriever} search" if name == "filters" else f"{name} is unsupported for {retriever} search", "execution_error")
+
     @property
     def window(self) -> int:
         return window(self.top_k)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import base64
 import json
+from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 
 from quillspan.engine import HybridEngine
 from quillspan.model import OperationError, SearchRequest, ValidationError, invalid, required, status_of
 from quillspan.sources import wal
+from quillspan.streaming import worker
 
 
 def _body(raw: bytes) -> dict[str, Any]:
@@ -68,6 +70,18 @@ def handle_event(engine: HybridEngine, event: dict[str, Any], method: str = "POS
     return {"statusCode": status, "headers": {"content-type": "application/json"}, "body": json.dumps(out, ensure_ascii=False), "isBase64Encoded": False}
 
 
+def handle_batch(engine: HybridEngine, event: dict[str, Any], warn: Callable[[str], None] = lambda _: None) -> dict[str, Any]:
+    """A queue's records (messageId, body with wal_key), each a rebuild; those that failed are named, so that the queue redelivers them alone."""
+    failed = []
+    for record in event.get("Records", []):
+        try:
+            worker.rebuild(engine.spark, engine.store, engine.embedder.column, engine.embedder.dim, json.loads(record.get("body") or "")["wal_key"], engine.clock)
+        except Exception as error:  # any failure is the record's
+            warn(f"record {record['messageId']} failed: {error}")
+            failed.append({"itemIdentifier": record["messageId"]})
+    return {"batchItemFailures": failed}
+
+
 def serve(engine: HybridEngine, port: int = 8080) -> ThreadingHTTPServer:
     class Handler(BaseHTTPRequestHandler):
         def _answer(self) -> None:

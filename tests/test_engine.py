@@ -322,3 +322,28 @@ def test_dimension_must_fit(engine):
         engine.embedder.dim = 3
         engine.ingest(documents())
         engine.vector_search([1.0], 2)
+
+
+def test_direct_searches_and_batches(engine):
+    wrote = engine.ingest(documents())
+    event = {"Records": [{"messageId": "m1", "body": json.dumps({"wal_key": wrote["wal_key"]})}, {"messageId": "m2", "body": "{"}, {"messageId": "m3"}]}
+    warned = []
+    assert service.handle_batch(engine, event, warned.append) == {"batchItemFailures": [{"itemIdentifier": "m2"}, {"itemIdentifier": "m3"}]}
+    assert len(warned) == 2 and publish.active_version(engine.store) == 1
+    bare = SearchRequest("rust", 2, None, False)
+    assert {r.doc_id for r in engine.search_keywords_only(bare).collect()} == {"rust-hybrid", "rust-keyword"}
+    assert engine.search_vectors_only(bare, engine.embedder.query("rust")).count() == 2
+    for request, words in ((SearchRequest("rust", 2, {}, False), "filters are unsupported for keyword search"), (SearchRequest("rust", 2), "include_metadata is unsupported for keyword search")):
+        with pytest.raises(OperationError, match=words):
+            engine.search_keywords_only(request)
+
+
+def test_release_of_a_version(engine):
+    engine.ingest(documents())
+    engine.build()
+    made = engine.static_build_version(1, Codec.generate(16), "hashing", "rfc", "static/v1")
+    assert made["source"]["table_version"] == 1 and made["input_fingerprint"]["doc_count"] == 6
+    assert engine.static_activate("static/v1")
+    assert engine.search(SearchRequest("rust", 2))["static_chunks"][0]["corpus_type"] == "rfc"
+    with pytest.raises(OperationError, match="missing"):
+        engine.static_build_version(9, Codec.generate(16), "hashing", "rfc", "static/v9")
