@@ -44,7 +44,7 @@ EDIT_LENGTH = 5
 #: Words to either side that count as a hit's context.
 WINDOW = 8
 CACHE_WORDS = 1 << 21
-FEATURES = 5
+FEATURES = 8
 
 #: A stem's least share of texts in favour of toxic, with classes weighing the same, and its least log-likelihood ratio.
 PURITY, EVIDENCE = 0.95, 30.0
@@ -53,6 +53,10 @@ AGAIN = 0.6
 
 #: A stem with unlisted near words in a larger share of clean texts is matched exactly.
 EXACT_SHARE = 0.0005
+#: What misspelled terms weigh at least, and quoted ones at most, against true ones.
+MISSPELLED, QUOTED = 0.85, 0.5
+#: The share of a single true hit's log-odds that it scores at least.
+SINGLE = 0.25
 
 _QUOTE = re.compile("[\"“”„«»‘’]|(?<!\\w)'|'(?!\\w)")
 
@@ -190,14 +194,11 @@ def hits(column: pa.Array, lexicon: Lexicon) -> Iterator[tuple[int, int, list[li
 
 
 def features_of(found: list[tuple[int, int, bool, int, str]], n_words: int) -> list[float]:
-    plain = [h for h in found if not h[2]]
-    return [
-        np.log1p(sum(1 for h in plain if not h[1])),
-        np.log1p(sum(1 for h in plain if h[1])),
-        np.log1p(len(found) - len(plain)),
-        np.log1p(sum(h[3] for h in plain)),
-        np.log1p(100.0 * len(plain) / max(n_words, 1)),
-    ]
+    """Whether there are plain true hits, plain misspelled ones, quoted ones; how many of each; how close together; how dense."""
+    true, wrong, quoted = sum(1 for h in found if not h[2] and not h[1]), sum(1 for h in found if not h[2] and h[1]), sum(1 for h in found if h[2])
+    counts = [true, wrong, quoted]
+    near = sum(h[3] for h in found if not h[2])
+    return [*(float(n > 0) for n in counts), *map(np.log1p, counts), np.log1p(near), np.log1p(100.0 * (true + wrong) / max(n_words, 1))]
 
 
 def lexicon_stems(rows: DataFrame) -> list[str]:
@@ -246,7 +247,7 @@ def lexicon_stems(rows: DataFrame) -> list[str]:
     return kept
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.003) -> np.ndarray:
     """Logistic weights, the last the intercept, classes weighing the same; by Newton's method."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     weight = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9))
@@ -303,10 +304,16 @@ def learn(rows: DataFrame) -> Lexicon:
     if len(set(y.tolist())) < 2:
         lexicon.weights[-1] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return lexicon
-    lexicon.weights = w = fit(np.array(got["features"].to_pylist(), float).reshape(len(y), FEATURES), y)
-    # Misspelled terms are rare in any sample and weigh half as much as true ones at least; quoted ones at most so.
-    w[1] = max(w[1], 0.5 * w[0])
-    w[2] = min(w[2], 0.5 * w[0]) if w[2] else 0.25 * w[0]
+    x = np.array(got["features"].to_pylist(), float).reshape(len(y), FEATURES)
+    lexicon.weights = w = fit(x, y)
+    # The fit may leave room between no hit and the few hits that the sample's toxic texts have at least. How much a
+    # single true hit says by itself is the ratio of its shares in the classes; it counts for a quarter at least.
+    shares = [(x[y == c, 0].sum() + 0.5) / ((y == c).sum() + 1.0) for c in (0, 1)]
+    w[0] = max(w[0], SINGLE * np.log(shares[1] / shares[0]) - w[-1])
+    # Misspelled terms are rare in any sample and weigh nearly as much as true ones at least; quoted ones half as much at most.
+    for true, wrong, quoted in ((0, 1, 2), (3, 4, 5)):
+        w[wrong] = max(w[wrong], MISSPELLED * w[true])
+        w[quoted] = min(w[quoted], QUOTED * w[true]) if w[quoted] else 0.5 * QUOTED * w[true]
     return lexicon
 
 
