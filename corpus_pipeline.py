@@ -8,11 +8,15 @@ tables pass through; null texts are kept by every filter but pack as empty.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import decontaminate, linededup, neardup, packing, quality
-from quillspan.llm.common import materialise, ship, table
+from quillspan.llm.common import materialise, table
+from quillspan.ship import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if the neighbours' vote for quality is below this share.
@@ -36,9 +40,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go, but for their first place in the corpus; a document that held nothing else goes, too."""
-    cut = linededup.drop_boilerplate(docs, "doc_id", "text", "source")
-    emptied = (F.col("n_removed") > 0) & (F.btrim("text", F.lit(" \t\r\n")) == "")
-    return _documents(cut.where(~F.coalesce(emptied, F.lit(False))))
+    return _documents(linededup.drop_boilerplate(docs, "doc_id", "text", "source").where(~F.col("emptied")))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,17 +64,25 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, "doc_id", "text", packing.vocabulary())
 
 
+def _shipped(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality", keep_quality),
-    ("line dedup", drop_lines),
-    ("near duplicates", keep_one_of_near_duplicates),
-    ("decontamination", cut_benchmark),
-    ("packing", pack),
+    ("quality", _shipped(keep_quality)),
+    ("line dedup", _shipped(drop_lines)),
+    ("near duplicates", _shipped(keep_one_of_near_duplicates)),
+    ("decontamination", _shipped(cut_benchmark)),
+    ("packing", _shipped(pack)),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

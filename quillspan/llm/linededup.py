@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import table, without
+from quillspan.llm.common import materialise, table, without
 
 MIN_SITES = 10
 #: Relative standard error of the sketches, and how many of them "near" the threshold means.
@@ -50,24 +50,29 @@ def _spread(lines: DataFrame, min_sites: int) -> DataFrame:
 
 
 def drop_boilerplate(df: DataFrame, key: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """All columns, the text without boilerplate lines, with n_lines and n_removed."""
+    """All columns, the text without boilerplate lines, with n_lines, n_removed and emptied (only blank lines are left)."""
     split = F.split(F.col(text), "\n")
     kept_lines = F.filter(split, lambda x: F.btrim(x, F.lit(BLANK)) != "")
-    lines = df.select(
+    hashed = df.select(
         F.col(key).alias("id"),
-        F.xxhash64(F.col(site)).alias("site_hash"),
-        F.col(site).isNotNull().alias("sited"),
-        F.explode(F.array_distinct(F.transform(kept_lines, line_hash))).alias("h"),
-    ).select("id", "h", F.when(F.col("sited"), F.col("site_hash")).alias("site"))
+        F.when(F.col(site).isNotNull(), F.xxhash64(F.col(site))).alias("site"),
+        F.array_distinct(F.transform(kept_lines, line_hash)).alias("hs"),
+    )
+    # Texts are split and hashed once; what follows reads the hashes three times.
+    lines = materialise(hashed.select("id", "site", F.size("hs").alias("of"), F.explode("hs").alias("h")), "lines")
     spread = _spread(lines, min_sites)
     flagged = (
-        lines.select("id", "h")
+        lines.select("id", "of", "h")
         .join(spread, "h")
         .groupBy("id")
-        .agg(F.collect_set("h").alias("__gone"), F.collect_set(F.when(F.col("id") == F.col("first"), F.col("h"))).alias("__once"))
+        .agg(
+            F.collect_set("h").alias("__gone"),
+            F.collect_set(F.when(F.col("id") == F.col("first"), F.col("h"))).alias("__once"),
+            F.max("of").alias("__of"),
+        )
         .withColumnRenamed("id", "__id")
     )
-    rows = without(df, "n_lines", "n_removed").join(flagged, F.col(key).eqNullSafe(F.col("__id")), "left")
+    rows = without(df, "n_lines", "n_removed", "emptied").join(flagged, F.col(key).eqNullSafe(F.col("__id")), "left")
     rows = rows.withColumn("__hashes", F.when(F.col("__gone").isNotNull(), F.transform(split, line_hash)))
 
     def stays(line: Column, i: Column) -> Column:
@@ -79,8 +84,12 @@ def drop_boilerplate(df: DataFrame, key: str = "doc_id", text: str = "text", sit
         )
 
     rows = rows.withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.filter(split, stays)).otherwise(split))
+    # Only where a document's lines are all marked need its new text be looked at.
+    all_marked = F.coalesce((F.size("__gone") >= F.col("__of")) & (F.size("__once") == 0), F.lit(False))
+    blank = F.size(F.filter("__kept", lambda x: F.btrim(x, F.lit(BLANK)) != "")) == 0
     return rows.withColumns(
         {
+            "emptied": F.when(all_marked, blank).otherwise(False),
             "n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"),
             "n_removed": F.coalesce(F.size(split) - F.size("__kept"), F.lit(0)).cast("long"),
             text: F.when(F.col("__gone").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col(text)),

@@ -61,8 +61,11 @@ def test_line_dedup_equals_model(spark, least):
 
 def test_line_counts(spark):
     df = spark.createDataFrame([(1, "a\nb\na", "x"), (2, "a\nb", "y"), (3, "a", "y")], "doc_id long, text string, source string")
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in linededup.drop_boilerplate(df, min_sites=2).collect()}
-    assert got == {1: (3, 1, "a\nb"), 2: (2, 2, ""), 3: (1, 1, "")}
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.emptied, r.text) for r in linededup.drop_boilerplate(df, min_sites=2).collect()}
+    assert got == {1: (3, 1, False, "a\nb"), 2: (2, 2, True, ""), 3: (1, 1, True, "")}
+    twice = spark.createDataFrame([(1, "a\nb", "x"), (2, "a\nown", "y"), (2, " \nb", "y")], df.schema)
+    got = {(r.text, r.emptied) for r in linededup.drop_boilerplate(twice, min_sites=2).collect()}
+    assert got == {("a\nb", False), ("own", False), (" ", True)}
 
 
 def words_of(text):
