@@ -166,3 +166,57 @@ def test_query_equals_sql(spark, duck, name):
 def test_native_plans(spark, name):
     plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def xx(raw, seed=42):
+    import xxhash
+
+    return xxhash.xxh64(raw, seed=seed % 2**64).intdigest()
+
+
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def imatch_model(texts):
+    """Fingerprint hashes of texts by plain Python, with a function for further texts."""
+    hashed = [{signed(xx(w.encode())) for w in words_of(t)} for t in texts]
+    df = {}
+    for hs in hashed:
+        for s in {h % imatch.SLOTS for h in hs}:
+            df[s] = df.get(s, 0) + 1
+    band = {s for s, n in df.items() if imatch.MIN_SHARE * len(texts) <= n <= imatch.MAX_SHARE * len(texts)}
+
+    def fingerprint(text):
+        terms = sorted(h for h in {signed(xx(w.encode())) for w in words_of(text)} if h % imatch.SLOTS in band)
+        out = []
+        for width, n in imatch.SUBSETS:
+            for i in range(n):
+                kept = [h for h in terms if not width or (h % 2**64 >> (imatch.FIRST_BIT + width * i)) % 2**width == 0]
+                value = xx((100 * width + i).to_bytes(4, "little"))
+                for h in kept:
+                    value = xx((h % 2**64).to_bytes(8, "little"), value)
+                out.append(value if kept else 0)
+        return out
+
+    return fingerprint
+
+
+def likeness_model(a, b):
+    live = [(x, y) for x, y in zip(a, b) if x or y]
+    return sum(x == y for x, y in live) / len(live) if live else 1.0
+
+
+def test_imatch_query_equals_model(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    order = sorted(texts)
+    fingerprint = imatch_model([texts[d] for d in order])
+    own = {d: fingerprint(texts[d]) for d in order}
+    after = dict(zip(order, order[1:] + order[:1]))
+    for r in imatch.op6_imatch(spark, DATA).collect():
+        t, cut = texts[r.doc_id], len(texts[r.doc_id]) // 4
+        edited = fingerprint(t[: len(t) - cut] + texts[after[r.doc_id]][:cut])
+        assert r.fingerprint == "".join(f"{x:016x}" for x in own[r.doc_id])
+        assert r.edited_fingerprint == "".join(f"{x:016x}" for x in edited)
+        assert abs(r.near_edited - likeness_model(own[r.doc_id], edited)) < 1e-12
+        assert abs(r.near_next - likeness_model(own[r.doc_id], own[after[r.doc_id]])) < 1e-12
