@@ -41,7 +41,7 @@ class HybridEngine:
             return worker.rebuild(self.spark, self.store, self.embedder.column, self.embedder.dim, None, self.clock, list(wal_keys) if wal_keys else None)
         current = publish.active_version(self.store)
         if current is not None and version <= current:
-            raise OperationError(f"publish conflict: version_id {version} must be greater than active version {current}", "publish_error")
+            raise OperationError(f"publish conflict: version {version} is not above the active {current}", "publish_error")
         manifest = publish.build(self.spark, self.store, version, wal_keys or self.log.keys(), self.embedder.column, self.embedder.dim, self.clock)
         return publish.publish(self.store, manifest, self.clock())
 

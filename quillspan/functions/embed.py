@@ -74,5 +74,5 @@ def embed_query(embedder: Embedder, text: str, warn: Callable[[str], None] = lam
             return embedder.query(text)
         except Exception as e:  # an embedder may fail in any way
             error = e
-    warn(f"embedding generation failed after {ATTEMPTS} attempts; falling back to keyword-only retrieval: query={text}, error={error}")
+    warn(f"no vector for the query after {ATTEMPTS} attempts, so keywords alone are searched ({text!r}: {error})")
     return None

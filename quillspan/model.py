@@ -67,6 +67,7 @@ class OperationError(RuntimeError):
         self.error_type = error_type
 
 
+# The wording of validation errors.
 def required(name: str) -> ValidationError:
     return ValidationError(f"{name} is required")
 

@@ -39,12 +39,12 @@ def parse_head(raw: bytes) -> dict:
         head = json.loads(raw)
         version, path, updated = head["version_id"], head["manifest_path"], head["updated_at"]
     except (ValueError, KeyError, TypeError) as error:
-        raise OperationError(f"failed to parse manifest head: {error}") from error
+        raise OperationError(f"the pointer is not readable: {error}") from error
     if not isinstance(version, int) or version <= 0:
-        raise OperationError("version_id must be positive")
+        raise OperationError("the pointer names no positive version")
     check_epoch_millis(updated, "updated_at")
     if path != manifest_key(version):
-        raise OperationError(f"manifest_path must match version_id; expected {manifest_key(version)}")
+        raise OperationError(f"the pointer's manifest is not {manifest_key(version)}")
     return head
 
 
@@ -129,9 +129,9 @@ def publish(store: Store, manifest: IndexManifest, updated_at: int, expected: in
     raw = store.read(HEAD)
     current = None if raw is None else parse_head(raw)["version_id"]
     if expected is not None and current != expected:
-        raise OperationError(f"publish conflict: expected current version {expected}, found {current}", "publish_error")
+        raise OperationError(f"publish conflict: {current} is active, not {expected}", "publish_error")
     if current is not None and manifest.version_id <= current:
-        raise OperationError(f"publish conflict: version_id {manifest.version_id} must be greater than active version {current}", "publish_error")
+        raise OperationError(f"publish conflict: version {manifest.version_id} is not above the active {current}", "publish_error")
     stored = store.read(manifest_key(manifest.version_id))
     if stored is None or IndexManifest.from_json(stored.decode()) != manifest:
         raise OperationError("the stored manifest is missing or differs", "publish_error")
@@ -139,7 +139,7 @@ def publish(store: Store, manifest: IndexManifest, updated_at: int, expected: in
         for uri in (shard.table_path, shard.keyword_path):
             store.check_tree(store.resolve(uri))
     if not store.compare_and_swap(HEAD, store.etag(raw), head_json(manifest.version_id, updated_at)):
-        raise OperationError(f"publish conflict: active version changed during the update (expected {expected}, observed {active_version(store)})", "publish_error")
+        raise OperationError(f"publish conflict: meanwhile {active_version(store)} became active", "publish_error")
     return {"activated_version_id": manifest.version_id, "previous_version_id": current}
 
 
@@ -151,16 +151,16 @@ def rollback(store: Store, target: int, updated_at: int, expected: int | None) -
     raw = store.read(HEAD)
     current = None if raw is None else parse_head(raw)["version_id"]
     if current != expected:
-        raise OperationError(f"rollback conflict: expected current version {expected}, found {current}", "publish_error")
+        raise OperationError(f"rollback conflict: {current} is active, not {expected}", "publish_error")
     body = store.read(manifest_key(target))
     if body is None:
-        raise OperationError(f"rollback target manifest missing: {manifest_key(target)}", "publish_error")
+        raise OperationError(f"there is no manifest to roll back to: {manifest_key(target)}", "publish_error")
     manifest = IndexManifest.from_json(body.decode())
     manifest.validate()
     if manifest.version_id != target:
         raise OperationError("the target's manifest names another version", "publish_error")
     if not store.compare_and_swap(HEAD, store.etag(raw), head_json(target, updated_at)):
-        raise OperationError(f"rollback conflict: active version changed during the update (expected {expected}, observed {active_version(store)})", "publish_error")
+        raise OperationError(f"rollback conflict: meanwhile {active_version(store)} became active", "publish_error")
     return {"activated_version_id": target, "previous_version_id": current}
 
 
