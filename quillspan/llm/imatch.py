@@ -94,47 +94,45 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(same + other == 0, 1.0).otherwise(same / F.greatest(same + other, F.lit(1)))
 
 
-def bounds(ids: DataFrame, key: str) -> list[list[int]]:
-    """First ids of stretches of about STRETCH documents, in at most MAX_BOUNDS groups of at most as many."""
+def bounds(ids: DataFrame, key: str) -> np.ndarray:
+    """First ids of stretches of about STRETCH documents, at most MAX_BOUNDS x MAX_BOUNDS, in order."""
     n = ids.count()
     parts = max(1, min(MAX_BOUNDS * MAX_BOUNDS, n // STRETCH))
-    shares = [i / parts for i in range(parts)]
-    found = ids.agg(F.percentile_approx(key, shares, 10 * parts + 100), F.min(key)).first()
-    if found is None or found[1] is None:
-        return [[0]]
-    starts = sorted({found[1], *found[0]})
-    size = max(1, -(-len(starts) // MAX_BOUNDS))
-    return [starts[i : i + size] for i in range(0, len(starts), size)]
+    found = ids.agg(F.percentile_approx(key, [i / parts for i in range(parts)], 10 * parts + 100), F.min(key)).first()
+    return np.array(sorted({found[1], *found[0]}) if found[1] is not None else [0], np.int64)
 
 
 def next_texts(df: DataFrame, key: str, text: str, mark: str) -> DataFrame:
     """key, text, mark, next and next_mark: those of the next document by ascending key, then text; the last one's are the first's.
 
-    Texts are dealt once, to stretches of ids. The first document of a stretch
-    is also dealt to the stretch before it, so a window within a stretch sees
-    every document's next.
+    The key is a number. Texts are dealt once, to stretches of ids. The first
+    document of a stretch is also dealt to the stretch before it, so a window
+    within a stretch sees every document's next.
     """
     starts = bounds(df.select(key).where(F.col(key).isNotNull()), key)
-    groups = [len(g) for g in starts]
-    heads = F.array(*[F.lit(g[0]) for g in starts])
-    group = F.greatest(F.size(F.filter(heads, lambda x: x <= F.col(key))) - 1, F.lit(0))
-    members = F.array(*[F.array(*map(F.lit, g)) for g in starts])
-    before = F.array(*[F.lit(sum(groups[:i])) for i in range(len(groups))])
-    low = F.element_at(before, group + 1) + F.greatest(F.size(F.filter(F.element_at(members, group + 1), lambda x: x <= F.col(key))) - 1, F.lit(0))
-    total = sum(groups)
+    total = len(starts)
+    size = max(1, -(-total // MAX_BOUNDS))
+    flat = F.lit(starts)
+
+    def upto(some: Column) -> Column:
+        return F.greatest(F.size(F.filter(some, lambda x: x <= F.col(key))) - 1, F.lit(0))
+
+    # The stretch of an id is looked up in two steps of at most MAX_BOUNDS comparisons.
+    group = upto(F.lit(starts[::size])) * size
+    members = F.slice(flat, group + 1, F.lit(size))
+    low = group + upto(members)
     placed = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text), F.col(mark), F.when(F.col(key).isNull(), 0).otherwise(low).alias("__at"))
     # Candidates for a stretch's first document: those whose id is a bound, or null.
-    flat = [x for g in starts for x in g]
-    first = F.col(key).isNull() | F.exists(F.element_at(members, group + 1), lambda x: x == F.col(key))
+    first = F.col(key).isNull() | F.exists(members, lambda x: x == F.col(key))
     to = F.when(first, F.array(F.col("__at"), F.pmod(F.col("__at") - 1, F.lit(total)))).otherwise(F.array(F.col("__at")))
-    if len(flat) == 1:
+    if total == 1:
         to = F.array(F.col("__at"))
     dealt = placed.select(key, text, mark, "__at", F.explode(to).alias("__to"))
     after = ((F.col("__to") != F.col("__at")) & (F.col("__to") > F.col("__at"))).cast("int")  # wrapped round: comes last
     here = Window.partitionBy("__to").orderBy(after.asc(), F.col("__at").asc(), F.col(key).asc_nulls_first(), F.col(text).asc())
     pair = F.struct(F.col(text).alias("next"), F.col(mark).alias("next_mark"))
     seen = dealt.withColumn("__next", F.lead(pair).over(here))
-    if len(flat) == 1:  # one stretch: the last document's next is its first
+    if total == 1:  # one stretch: the last document's next is its first
         begin = Window.partitionBy("__to").orderBy(F.col(key).asc_nulls_first(), F.col(text).asc())
         seen = seen.withColumn("__next", F.coalesce("__next", F.first(pair).over(begin)))
     return seen.where("__to = __at").select(key, text, mark, "__next.next", "__next.next_mark")
