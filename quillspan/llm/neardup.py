@@ -296,12 +296,13 @@ def tile_links(sets: list[np.ndarray], threshold: tuple[int, int], side: np.ndar
 def tiles(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Rows (family, class, n, doc) to rows with tile and side: 0 in tiles of one block or two, else which of the two."""
     num, den = threshold
+    den = den if den > num else num + 1  # equal sets only: any ratio will do
     limits = members.groupBy("family").agg(F.count(F.lit(1)).alias("__m"), F.sum("n").alias("__s"))
     sized = members.join(limits, "family")
     small = (F.col("__m") <= TILE_MEMBERS) & (F.col("__s") <= TILE_SHINGLES)
     whole = sized.where(small).select("class", "n", "doc", F.array(F.struct(F.col("family"), *[F.lit(0).alias(c) for c in ("u", "i", "v", "j", "side")])).alias("ts"))
     # A large family: bands are powers of 1/t, so sets link within a band or the next.
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("int")  # powers round down alike
     large = sized.where(~small).withColumn("band", band)
     volume = large.groupBy("family", "band").agg(
         F.greatest(

@@ -39,8 +39,15 @@ def test_large_families_are_cut_into_tiles(spark, monkeypatch):
     rows += [(10_000 + i, base.replace(f"v{i} ", f"u{i} ") if i else base) for i in range(0, 120, 2)]
     monkeypatch.setattr(N, "TILE_MEMBERS", 6)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(tuple(r) for r in N.near_duplicates(df, "doc_id", "text", 4, (85, 100)).collect())
-    assert got == N.brute_force(rows, 4, (85, 100))
+    for width, threshold in ((4, (85, 100)), (1, (1, 2))):
+        got = sorted(tuple(r) for r in N.near_duplicates(df, "doc_id", "text", width, threshold).collect())
+        assert got == N.brute_force(rows, width, threshold)
+
+
+def test_equal_sets_only(spark):
+    rows = [(1, "a b c d e f"), (2, "A  b c d e f"), (3, "a b c d e"), (4, "a b c d e f g")]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=(1, 1))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(1, 1), (2, 1), (3, 3), (4, 4)}
 
 
 def test_empty_table_and_nulls(spark):
