@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import decontaminate, linededup, neardup, packing, quality
-from quillspan.llm.common import materialise, table
-from quillspan.ship import ship
+from quillspan.llm.common import materialise, prepare, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if the neighbours' vote for quality is below this share.
@@ -64,21 +63,21 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, "doc_id", "text", packing.vocabulary())
 
 
-def _shipped(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+def _prepared(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        ship(spark)
+        prepare(spark)
         return stage(spark, docs, sf_dir)
 
     return run_stage
 
 
 STAGES = [
-    ("quality", _shipped(keep_quality)),
-    ("line dedup", _shipped(drop_lines)),
-    ("near duplicates", _shipped(keep_one_of_near_duplicates)),
-    ("decontamination", _shipped(cut_benchmark)),
-    ("packing", _shipped(pack)),
+    ("quality", _prepared(keep_quality)),
+    ("line dedup", _prepared(drop_lines)),
+    ("near duplicates", _prepared(keep_one_of_near_duplicates)),
+    ("decontamination", _prepared(cut_benchmark)),
+    ("packing", _prepared(pack)),
 ]
 
 

@@ -10,11 +10,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspan.ship import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Texts that go to Python at once, in bytes; the setting's default of 64 MB is kept several times over by either side.
+ARROW_BYTES = "8m"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sends the code to the executors, and bounds Arrow batches by bytes unless the session does so itself."""
+    ship(spark)
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
+    if spark.conf.get(name, default).removesuffix("b") == default:
+        spark.conf.set(name, ARROW_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm import chat, decontaminate, imatch, linededup, neardup, packing, quality, sharding, tokencount, toxicity
+from quillspan.llm.common import prepare
+
+
+def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    own = {
         "op1_line_dedup": linededup.op1_line_dedup,
         "op2_jaccard": neardup.op2_jaccard,
         "op3_decontamination": decontaminate.op3_decontamination,
@@ -24,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": toxicity.op10_toxicity,
         "pipeline": corpus_pipeline.run,
     }
+    return {name: _prepared(query) for name, query in own.items()}
 
 
 def oracle_sql() -> dict[str, str]:

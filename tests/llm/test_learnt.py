@@ -5,7 +5,6 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from quillspan.llm import quality, toxicity
 from quillspan.llm.labelled import remainder, sample
