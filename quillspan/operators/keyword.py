@@ -75,8 +75,8 @@ def search_index(index: KeywordIndex, query: str, k: int) -> DataFrame:
         raise ValidationError("phrases need the texts: use search_texts")
     some = index.postings.where(F.col("term").isin(list(parsed.terms)))
     df = F.broadcast(index.frequencies.where(F.col("term").isin(list(parsed.terms))))  # a row per query term at most
-    n, avgdl = index.stats.select("n").scalar(), index.stats.select("avgdl").scalar()
-    scored = some.join(df, "term").select("doc_id", weight(F.col("tf"), F.col("dl"), F.col("df"), n, avgdl).alias("w"))
+    stats = index.stats.select(F.struct("n", "avgdl").alias("s")).scalar()
+    scored = some.join(df, "term").select("doc_id", weight(F.col("tf"), F.col("dl"), F.col("df"), stats["n"], stats["avgdl"]).alias("w"))
     return scored.groupBy("doc_id").agg(F.sum("w").alias("score")).orderBy(F.desc("score"), F.asc("doc_id")).limit(k)
 
 
@@ -88,26 +88,24 @@ def _phrase_at(ts: Column, phrase: tuple[str, ...]) -> Column:
 def score_texts(docs: DataFrame, query: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) of every matching text, by one pass for statistics and one for scores; no postings, no shuffle of texts."""
     parsed = parse(query)
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), terms(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
-
-    def tf(term: str) -> Column:
-        return F.size(F.filter("ts", lambda t: t == term))
-
-    counted = rows.select(
-        "doc_id",
-        F.size("ts").alias("dl"),
-        F.array(*[tf(t) for t in parsed.terms]).alias("tf") if parsed.terms else F.array().cast("array<int>").alias("tf"),
-        F.lit(True) if not parsed.phrases else F.array_min(F.array(*[_phrase_at(F.col("ts"), p) for p in parsed.phrases])).alias("whole"),
-    ).toDF("doc_id", "dl", "tf", "whole")
     if not parsed.terms:
-        return counted.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    dfs = [F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(parsed.terms))]
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *dfs)
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
+        return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
+
+    def counts(ts: Column) -> Column:
+        tf = F.transform(F.array(*map(F.lit, parsed.terms)), lambda term: F.size(F.filter(ts, lambda t: t == term)))
+        whole = F.array_min(F.array(*[_phrase_at(ts, p) for p in parsed.phrases])) if parsed.phrases else F.lit(True)
+        return F.struct(F.size(ts).alias("dl"), tf.alias("tf"), whole.alias("whole"))
+
+    # A generator of one row: the texts are read into counts once, and no filter or projection above repeats that.
+    bound = F.explode(F.transform(F.array(terms(F.coalesce(F.col(text), F.lit("")))), counts)).alias("c")
+    counted = docs.select(F.col(id_col).cast("string").alias("doc_id"), bound).select("doc_id", "c.*")
+    dfs = F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(parsed.terms))])
+    # One subquery for all statistics: every use of it is the same plan, which runs once.
+    stats = counted.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), dfs.alias("df")).alias("s")).scalar()
     total = F.lit(0.0)
     for i in range(len(parsed.terms)):
         x = F.col("tf")[i]
-        total = total + F.when(x > 0, weight(x, F.col("dl"), stats.select(f"df{i}").scalar(), n, avgdl)).otherwise(0.0)
+        total = total + F.when(x > 0, weight(x, F.col("dl"), stats["df"][i], stats["n"], stats["avgdl"])).otherwise(0.0)
     return counted.where(F.col("whole") & F.exists("tf", lambda x: x > 0)).select("doc_id", total.alias("score"))
 
 
