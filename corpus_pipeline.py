@@ -39,7 +39,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go, but for their first place in the corpus; a document that held nothing else goes, too."""
-    return _documents(linededup.drop_boilerplate(docs, "doc_id", "text", "source").where(~F.col("emptied")))
+    return _documents(linededup.drop_boilerplate(docs, "doc_id", "text", "source", least_words=linededup.LEAST_WORDS).where(~F.col("emptied")))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {
         "op1_line_dedup": linededup.op1_line_dedup,
+        "op1_line_dedup_documents": linededup.op1_line_dedup_documents,
         "op2_jaccard": neardup.op2_jaccard,
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_token_counts": tokencount.op4_token_counts,
@@ -41,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": linededup.ORACLE,
+        "op1_line_dedup_documents": linededup.ORACLE_DOCUMENTS,
         "op2_jaccard": neardup.ORACLE,
         "op3_decontamination": decontaminate.ORACLE,
         "op7_chat": chat.ORACLE,

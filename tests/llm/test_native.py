@@ -68,6 +68,26 @@ def test_line_counts(spark):
     assert got == {("a\nb", False), ("own", False), (" ", True)}
 
 
+def test_lines_of_few_sites_go_by_documents(spark):
+    long, short = "a line of eight words on one site", "Ja."
+    copies = [(i, f"opening\n{'same text of a copied document ' * 4}\nclosing", "s1") for i in range(40, 60)]
+    rows = [(i, f"own {i}\n{long}\nalso {i}", "s0") for i in range(10, 13)] + [(i, f"own {i}\n{short}", "s2") for i in range(20, 24)]
+    df = spark.createDataFrame(rows + copies, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in linededup.drop_boilerplate(df, least_words=linededup.LEAST_WORDS).collect()}
+    assert got == {d: t for d, t, _ in rows + copies} | {11: "own 11\nalso 11", 12: "own 12\nalso 12"}
+    many = spark.createDataFrame([(i, f"own {i}\n{short}", "s2") for i in range(30)], df.schema)
+    got = {r.doc_id: r.text for r in linededup.drop_boilerplate(many, least_words=linededup.LEAST_WORDS).collect()}
+    assert got == {0: "own 0\nJa."} | {i: f"own {i}" for i in range(1, 30)}
+
+
+def test_line_dedup_by_documents_equals_its_sql(spark):
+    got = sorted(tuple(r) for r in registry.queries()["op1_line_dedup_documents"](spark, DATA).collect())
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from read_parquet('{DATA}/documents.parquet')")
+    assert got == sorted(duck.execute(linededup.ORACLE_DOCUMENTS).fetchall())
+    assert got != sorted(duck.execute(linededup.ORACLE).fetchall())
+
+
 def words_of(text):
     return re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
 
