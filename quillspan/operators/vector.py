@@ -8,7 +8,8 @@ and ``orderBy.limit`` keeps a bounded heap per task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import functools
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -53,39 +54,60 @@ def search_shards(vectors: DataFrame, shard: Column, query: Sequence[float], k:
     return merged.orderBy(F.desc("score"), F.asc("doc_id")).limit(k)
 
 
-#: Queries of a batch; the broadcast matrix has at most as many rows.
+#: Queries of a block; a broadcast matrix has at most as many rows.
 MAX_BATCH = 1024
+#: Dot products that are equal to so many decimals tie: a matrix product's last bits depend on a row's place.
+TIE_DECIMALS = 9
 
 
-def search_batch(vectors: DataFrame, queries: dict[str, Sequence[float]], k: int, id_col: str = "doc_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, doc_id, score, rank) for up to MAX_BATCH queries at once.
+def nearest_of_block(rows: DataFrame, block: dict[str, Sequence[float]], k: int, unpack: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    """(query_id, doc_id, dot) of the k best rows a query; ties go to the lesser ``tie``.
 
-    Each Arrow batch is one matrix product; it passes on its k best rows a query,
-    so what is shuffled is bounded by batches x queries x k.
+    ``rows`` have doc_id, tie and what ``unpack`` makes vectors of. Each Arrow
+    batch is one matrix product; it passes on its k best rows a query, so what is
+    shuffled is bounded by batches x queries x k, however many rows tie.
     """
-    if not 0 < len(queries) <= MAX_BATCH:
-        raise ValidationError(f"queries must be between 1 and {MAX_BATCH}")
-    names = list(queries)
-    matrix = np.array([queries[q] for q in names], np.float64)
-    shared = vectors.sparkSession.sparkContext.broadcast(matrix)
+    names = list(block)
+    shared = rows.sparkSession.sparkContext.broadcast(np.array([block[q] for q in names], np.float64))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for frame in frames:
             if not len(frame):
                 continue
-            scores = np.stack(frame["v"].to_numpy()).astype(np.float64) @ m.T
-            ids = frame["doc_id"].to_numpy()
+            frame = frame.sort_values("tie", kind="stable")
+            dots = unpack(frame) @ m.T
+            near = np.round(dots, TIE_DECIMALS)
             n = min(k, len(frame))
-            # rows that tie with the n-th best are passed on, too: ids decide later
-            floor = -np.partition(-scores, n - 1, axis=0)[n - 1]
-            row, col = np.nonzero(scores >= floor)
-            yield pd.DataFrame({"query": col.astype(np.int32), "doc_id": ids[row], "dot": scores[row, col]})
-
-    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("string").alias("doc_id"), F.col(vector).alias("v"))
-    partial = rows.mapInPandas(run, "query int, doc_id string, dot double")
-    here = Window.partitionBy("query").orderBy(F.desc("dot"), F.asc("doc_id"))
+            floor = -np.partition(-near, n - 1, axis=0)[n - 1]
+            above, level = near > floor, near == floor
+            row, col = np.nonzero(above | (level & (level.cumsum(axis=0, dtype=np.int32) <= n - above.sum(axis=0))))
+            found = {"query": col.astype(np.int32), "doc_id": frame["doc_id"].to_numpy()[row], "tie": frame["tie"].to_numpy()[row]}
+            yield pd.DataFrame(found | {"dot": dots[row, col], "near": near[row, col]})
+
+    partial = rows.mapInPandas(run, "query int, doc_id string, tie string, dot double, near double")
+    here = Window.partitionBy("query").orderBy(F.desc("near"), F.asc("tie"))
     best = partial.withColumn("r", F.row_number().over(here)).where(F.col("r") <= k)
-    again = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("doc_id"))
-    named = F.element_at(F.array(*map(F.lit, names)), F.col("query") + 1)
-    return best.withColumn("score", clamp01(F.col("dot"))).select(named.alias("query_id"), "doc_id", "score", F.row_number().over(again).alias("rank"))
+    return best.select(F.element_at(F.array(*map(F.lit, names)), F.col("query") + 1).alias("query_id"), "doc_id", "dot")
+
+
+def nearest_of_blocks(rows: DataFrame, queries: dict[str, Sequence[float]], k: int, unpack: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    """``nearest_of_block`` for any number of queries, in blocks of MAX_BATCH whose results are united."""
+    if not queries:
+        raise ValidationError("queries must not be empty")
+    items = list(queries.items())
+    blocks = [dict(items[i : i + MAX_BATCH]) for i in range(0, len(items), MAX_BATCH)]
+    return functools.reduce(DataFrame.unionByName, [nearest_of_block(rows, b, k, unpack) for b in blocks])
+
+
+def stacked(frame: pd.DataFrame) -> np.ndarray:
+    return np.stack(frame["v"].to_numpy()).astype(np.float64)
+
+
+def search_batch(vectors: DataFrame, queries: dict[str, Sequence[float]], k: int, id_col: str = "doc_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, doc_id, score, rank) for any number of queries at once."""
+    doc_id = F.col(id_col).cast("string")
+    rows = vectors.where(F.col(vector).isNotNull()).select(doc_id.alias("doc_id"), doc_id.alias("tie"), F.col(vector).alias("v"))
+    best = nearest_of_blocks(rows, queries, k, stacked).withColumn("score", clamp01(F.col("dot")))
+    again = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
+    return best.select("query_id", "doc_id", "score", F.row_number().over(again).alias("rank"))

@@ -57,6 +57,25 @@ def test_long_vectors_take_the_folded_form(spark):
     assert abs(got - float(np.dot(x.astype(np.float32).astype(float), x))) < 1e-9
 
 
+def test_batch_search_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 4)).round(1).astype(np.float32)
+    df = frame(spark, [(str(i), r.tolist()) for i, r in enumerate(x)], V).repartition(3)
+    found = vector.search_batch(df, {str(i): x[i].tolist() for i in range(vector.MAX_BATCH + 3)}, 3).collect()
+    assert len(found) == 3 * (vector.MAX_BATCH + 3)
+    dots = (x.astype(float) @ x.astype(float).T).round(9)
+    for q in (0, 7, vector.MAX_BATCH, vector.MAX_BATCH + 2):
+        best = sorted(range(len(x)), key=lambda d: (-dots[q, d], str(d)))[:3]
+        assert {r.doc_id for r in found if r.query_id == str(q)} == {str(d) for d in best}
+
+
+def test_batch_queries_grow_with_the_table(spark, tmp_path):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(2001)]
+    frame(spark, rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = catalogue.queries()["vector_batch_topk_hundredths"](spark, str(tmp_path))
+    assert {r.query_id for r in found.collect()} == {str(i) for i in range(0, 2001, 100)}
+
+
 # --- keyword ---
 
 D = "doc_id string, text string"
