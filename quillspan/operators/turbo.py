@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.hashing import fnv1a
 from quillspan.model import invalid
+from quillspan.operators.vector import check_query, nearest_of_blocks
 
 CENTROIDS = 4
 # Seeds of generated assets.
@@ -92,6 +93,12 @@ class Codec:
         table = q[:, None] * self.centroids
         return table[np.arange(self.dim), index].sum(axis=1), signs @ self.project(q)
 
+    def decode(self, idx: np.ndarray, qjl: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+        """The vectors whose dot product with a query is the packed rows' score."""
+        index, signs = self.unpack(idx, qjl)
+        signed = signs if self.projection is None else signs @ self.projection.astype(np.float64)
+        return self.centroids.astype(np.float64)[np.arange(self.dim), index] + self.qjl_scale * gamma.astype(np.float64)[:, None] * signed
+
     def to_bytes(self) -> tuple[bytes, bytes]:
         """Centroids and projection as little-endian floats after two 32-bit sizes."""
         p = np.eye(self.dim, dtype="<f4") if self.projection is None else self.projection.astype("<f4")
@@ -152,6 +159,30 @@ def search(encoded: DataFrame, codec: Codec, query: Sequence[float], k: int, id_
     return scored.orderBy(F.desc("score"), F.asc("h")).limit(k).select("doc_id", "score")
 
 
+def search_batch(encoded: DataFrame, codec: Codec, queries: dict[str, Sequence[float]], k: int, id_col: str = "doc_id") -> DataFrame:
+    """(query_id, doc_id, score) of the k best records a query, for any number of queries; ties as in ``search``."""
+    for q in queries.values():
+        check_query(q, codec.dim)
+    doc_id = F.col(id_col).cast("string")
+    tie = F.lpad(fnv1a(doc_id).cast("string"), 20, "0")
+    rows = encoded.select(doc_id.alias("doc_id"), tie.alias("tie"), "idx", "qjl", "gamma")
+    shared = encoded.sparkSession.sparkContext.broadcast(codec)
+
+    def unpack(frame: pd.DataFrame) -> np.ndarray:
+        idx, qjl = (np.stack([np.frombuffer(x, np.uint8) for x in frame[c]]) for c in ("idx", "qjl"))
+        return shared.value.decode(idx, qjl, frame["gamma"].to_numpy())
+
+    return nearest_of_blocks(rows, queries, k, unpack).withColumnRenamed("dot", "score")
+
+
+def recall(near: DataFrame, exact: DataFrame, k: int) -> DataFrame:
+    """(query_id, hits, recall, mean_recall, min_recall): of two lists of (query_id, doc_id), a row for each query of ``exact``."""
+    pairs = near.select("query_id", "doc_id", F.lit(1).alias("hit"))
+    hits = exact.select("query_id", "doc_id").join(pairs, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.count("hit").alias("hits"))
+    each = hits.withColumn("recall", F.col("hits") / float(k))
+    return each.crossJoin(F.broadcast(each.agg(F.avg("recall").alias("mean_recall"), F.min("recall").alias("min_recall"))))
+
+
 # --- DataFrame forms for codecs with the same centroids in all dimensions and no projection ---
 
 

@@ -447,12 +447,37 @@ def turbo_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.join(exact, "doc_id").agg(F.count(F.lit(1)).alias("hits")).select("hits", (F.col("hits") / float(K)).alias("recall"))
 
 
-# --- hashes, digests, contexts ------------------------------------------------------------------
-
 _FNV = """list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS HUGEINT))),
   lambda h, b: ((h - h % 256 + CAST(xor(CAST(h % 256 AS BIGINT), CAST(b AS BIGINT)) AS HUGEINT)) % 16777216 * 1099511628211
     + ((h - h % 16777216) // 16777216 * 1099511628211 % 1099511627776) * 16777216) % 18446744073709551616::HUGEINT)"""
 
+_ENC_ALL = _ENC[: _ENC.index("s AS (SELECT")].rstrip().rstrip(",")
+
+
+@query(
+    _ENC_ALL
+    + f""", h AS (SELECT vec_id, {_FNV.format("CAST(vec_id AS VARCHAR)")} AS h FROM embeddings),
+    q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 100 = 0),
+    w AS (SELECT e.vec_id, h.h, v, list_transform(list_zip(c, r), lambda p: p[1] + gamma * CASE WHEN p[2] >= 0 THEN 1 ELSE -1 END) AS d
+          FROM e JOIN x USING (vec_id) JOIN h USING (vec_id)),
+    p AS (SELECT query_id, vec_id, h, list_dot_product(d, qv) AS score, list_dot_product(v, qv) AS dot FROM w, q),
+    a AS (SELECT query_id, vec_id FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, h) <= {K}),
+    b AS (SELECT query_id, vec_id FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(dot, 9) DESC, CAST(vec_id AS VARCHAR)) <= {K}),
+    r AS (SELECT b.query_id, count(a.vec_id) AS hits, count(a.vec_id) / {K}.0::DOUBLE AS recall
+          FROM b LEFT JOIN a ON a.query_id = b.query_id AND a.vec_id = b.vec_id GROUP BY b.query_id)
+    SELECT CAST(query_id AS VARCHAR) AS query_id, hits, recall, round(avg(recall) OVER (), 6) AS mean_recall, min(recall) OVER () AS min_recall FROM r"""
+)
+def turbo_recall_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of every vector whose id is divisible by 100 as a query, with its mean and minimum."""
+    queries, codec = hundredths(spark, sf_dir), turbo.Codec.uniform(64, CODES)
+    near = turbo.search_batch(turbo.encode_table(vectors(spark, sf_dir), codec), codec, queries, K)
+    found = turbo.recall(near, vector.search_batch(vectors(spark, sf_dir), queries, K), K)
+    return found.select("query_id", "hits", "recall", r6("mean_recall").alias("mean_recall"), "min_recall")
+
+
+# --- hashes, digests, contexts ------------------------------------------------------------------
+
+
 
 @query(f"SELECT doc_id, CAST({_FNV.format('CAST(doc_id AS VARCHAR)')} AS VARCHAR) AS doc_hash FROM documents")
 def fnv1a_doc_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,6 +310,28 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_codec_batch_equals_single_searches(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 8)).astype(np.float32)
+    x[30:40] = x[0]  # ties
+    df = frame(spark, [(str(i), r.tolist()) for i, r in enumerate(x)], V)
+    for codec in (turbo.Codec.generate(8), turbo.Codec.uniform(8, catalogue.CODES)):
+        encoded = turbo.encode_table(df, codec)
+        got = turbo.search_batch(encoded, codec, {str(i): x[i].tolist() for i in (0, 7)}, 6).collect()
+        for i in (0, 7):
+            one = {d: round(s, 6) for d, s in pairs(turbo.search(encoded, codec, x[i].tolist(), 6))}
+            assert {r.doc_id: round(r.score, 6) for r in got if r.query_id == str(i)} == one
+
+
+def test_recall_has_each_query_with_mean_and_least(spark):
+    lists = "query_id string, doc_id string"
+    exact = frame(spark, [("a", "1"), ("a", "2"), ("b", "1"), ("b", "3")], lists)
+    near = frame(spark, [("a", "2"), ("a", "1"), ("b", "4"), ("b", "5")], lists)
+    assert sorted(pairs(turbo.recall(near, exact, 2))) == [("a", 2, 1.0, 0.5, 0.0), ("b", 0, 0.0, 0.5, 0.0)]
+    found = catalogue.queries()["turbo_recall_hundredths"](spark, DATA).collect()
+    assert len(found) == 5 and len({r.mean_recall for r in found}) == 1
+
+
 @pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query_equals_sql(spark, duck, name):
     got = catalogue.queries()[name](spark, DATA)
