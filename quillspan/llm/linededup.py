@@ -12,7 +12,7 @@
    documents that hold it, on however few sites: at least LEAST_DOCUMENTS, and
    so many that words x documents is ``least_words``. Documents differ for a line
    if their first or last other line, in the order of the lines' bytes, does, so
-   copies of one document count once, as do most near copies. The counts are
+   copies of one document count once, near copies unless those ends differ. The counts are
    exact: pairs of line and such ends are made distinct before they meet.
 4. Removal. A line on at least ``min_sites`` sites goes from all documents but
    stays once in the document with the least id (its first place there), so no
