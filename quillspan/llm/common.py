@@ -69,20 +69,26 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in own])
 
 
-def rank_within(df: DataFrame, group: str, salt: Column, order: list, to: str, salts: int) -> DataFrame:
-    """``to``: 0, 1, 2 ... within each ``group``, gapless, without a task per group.
+#: Rows of a cell that ranks are counted in, about.
+CELL = 65536
 
-    Rows are numbered inside (group, salt) cells; cells of a group are laid one
-    after another by running sums over at most ``salts`` counts a group. The
-    counts are bounded by groups x salts, not by rows.
+
+def rank_within(df: DataFrame, group: str, hashed: Column, order: list, to: str, largest: int) -> DataFrame:
+    """``to``: 0, 1, 2 ... within each ``group`` by ``hashed`` (a long) and ``order``, gapless, without a task per group.
+
+    Rows are numbered inside cells, ranges of the hash, so many that one of the
+    ``largest`` group has about CELL rows; cells are laid one after another by
+    running sums over their counts. The ranks do not depend on the number of cells.
     """
-    cell = df.withColumn("__salt", salt)
-    counts = cell.groupBy(group, "__salt").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(group).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    bits = min(max(int(largest // CELL).bit_length(), 8), 40)
+    cell = df.withColumn("__hash", hashed).withColumn("__cell", F.shiftright("__hash", 64 - bits))
+    counts = cell.groupBy(group, "__cell").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
-        F.col(group).alias("__g"), F.col("__salt").alias("__s"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
+        F.col(group).alias("__g"), F.col("__cell").alias("__s"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
     )
-    inside = Window.partitionBy(group, "__salt").orderBy(*order)
+    inside = Window.partitionBy(group, "__cell").orderBy("__hash", *order)
     numbered = cell.withColumn("__row", F.row_number().over(inside) - 1)
-    same = (F.col(group).eqNullSafe(F.col("__g"))) & (F.col("__salt") == F.col("__s"))
-    return numbered.join(starts, same, "left").withColumn(to, F.col("__row") + F.col("__start")).drop("__salt", "__row", "__g", "__s", "__start")
+    same = (F.col(group).eqNullSafe(F.col("__g"))) & (F.col("__cell") == F.col("__s"))
+    placed = numbered.join(starts, same, "left").withColumn(to, F.col("__row") + F.col("__start"))
+    return placed.drop("__hash", "__cell", "__row", "__g", "__s", "__start")

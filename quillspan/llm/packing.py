@@ -6,18 +6,21 @@
    every worker process keeps a bounded table of units it has met.
 2. Plan (``plan_patterns``): the histogram of piece lengths, at most
    ``capacity`` bins whatever the corpus, comes to the driver. Patterns of at
-   most FEW lengths are enumerated, their repeat counts are fitted to the
-   histogram by non-negative least squares; those that nearly fill a sequence
-   are used as often as the rounded counts say, the longest lengths first, and
-   what is left is packed best-fit decreasing, length by length.
+   most FEW lengths that fill a sequence are enumerated, and their repeat counts
+   are fitted to the histogram by non-negative least squares. The counts are
+   rounded by largest remainders within the histogram; patterns and fit are made
+   again for what is left, and the residual is packed best-fit decreasing.
 3. Assign (``pack``): a piece's rank among those of its length, counted in
-   salted cells, selects its place in the plan's intervals. A plan of at most
-   ``MAX_INTERVALS`` rows is joined by broadcast, a larger one by shuffles.
+   cells, selects its place in the plan by binary search. The plan is broadcast:
+   at most len(WASTE) x KEPT x FEW x ``capacity`` rows of the fits, and runs of
+   equal lengths of the residual's packing, whose different sequences are at
+   most three a length. Neither bound grows with the corpus.
 
 Defined results: a null text is empty and gives one piece of the end token; ties
-of length are filled by salt, id, piece; rows repeated under one id are
-documents of their own; an empty table packs to none; input columns other than
-the id and the text are ignored.
+of length are filled by hash, id, piece; rows repeated under one id are
+documents of their own; a very long text is cut into as many pieces as it needs;
+an empty table packs to none; input columns other than the id and the text are
+ignored, and the operator's own output names replace input columns of those names.
 """
 
 from __future__ import annotations
@@ -27,25 +30,30 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspan.llm import textops
 from quillspan.llm.common import materialise, rank_within, table, without
 
 END_ID = 1
 CAPACITY = 4096
-#: Units that a worker process remembers; beyond it the table starts anew.
-CACHE_UNITS = 1 << 20
-SALTS = 1024
-#: Lengths in a pattern at most, and partners tried for each length.
-FEW, PARTNERS = 6, 8
-#: What a sequence costs in the fit, as a share of the mean count of a length, at first and at last.
-FIRST_CHARGE, LAST_CHARGE = 0.5, 0.004
-MAX_INTERVALS = 1 << 18
+#: Units that a worker process remembers, and ids of them; beyond either the table starts anew.
+CACHE_UNITS, CACHE_IDS = 1 << 20, 1 << 23
+#: Lengths in a pattern at most; the shares of the room that the second and the third one take.
+FEW = 6
+SECOND, THIRD = (1.0, 0.85, 0.7, 0.55, 0.45, 0.35, 0.25, 0.15), (1.0, 0.6, 0.3)
+#: Patterns kept for each length; rounds of a fit, and what a sequence costs in it, as a share of the mean count of a length.
+KEPT, ROUNDS, CHARGE = 2, 200, 0.02
+#: What the patterns of each fit may leave empty, in 256ths of a sequence; the parts of a fit that are tried.
+WASTE, PARTS = (0, 0, 0, 1, 256), (1.0, 0.95, 0.85, 0.7, 0.5)
+#: A residual of at most this share of the pieces is not fitted again.
+SMALL = 0.05
 
 _LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _ALPHA = np.zeros(256, dtype=bool)
@@ -105,7 +113,7 @@ class UnitTokens:
 
     def of(self, keys: np.ndarray, bytes_of) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each key start in self.ids, and how many there are; bytes_of(indexes) gives new keys' bytes."""
-        if len(self.keys) > CACHE_UNITS:
+        if len(self.keys) > CACHE_UNITS or len(self.ids) > CACHE_IDS:
             self.clear()
         at = np.searchsorted(self.keys, keys)
         hit = np.zeros(len(keys), bool)
@@ -194,14 +202,12 @@ def _sum_at(patterns: np.ndarray, x: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 1500) -> np.ndarray:
+def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Non-negative least squares: repeat counts x >= 0 of patterns (rows, padded by 0) that bring A x near the histogram.
 
-    A small charge for every sequence, lowered as the fit goes on, chooses among
-    the many fits the one with few sequences; at the end the residuals are the
-    charge times the lengths' prices. Projected gradients with momentum, dropped
-    when it points uphill; the step is the inverse of A's largest squared
-    singular value.
+    Projected gradients with momentum, dropped when it points uphill; the step is
+    the inverse of A's largest squared singular value. ``CHARGE``, a small price
+    of every sequence, makes one of the many equally good fits the one to go to.
     """
     size = len(histogram)
     h = histogram.astype(np.float64).copy()
@@ -209,17 +215,16 @@ def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 1500)
     scale = h[h > 0].mean()
     h /= scale
     x, bound = np.ones(len(patterns)), 1.0
-    for _ in range(20):
+    for _ in range(12):
         y = _sum_at(patterns, x, size)[patterns].sum(axis=1)
         bound = float(np.linalg.norm(y) / np.linalg.norm(x))
         x = y / np.linalg.norm(y)
     step = 1.0 / (1.05 * bound)
     x = np.zeros(len(patterns))
     ahead, momentum = x, 1.0
-    for i in range(rounds):
-        charge = FIRST_CHARGE * (LAST_CHARGE / FIRST_CHARGE) ** min(1.0, i / (0.7 * rounds))
+    for _ in range(rounds):
         residual = h - _sum_at(patterns, ahead, size)
-        fresh = np.maximum(ahead + step * (residual[patterns].sum(axis=1) - charge), 0.0)
+        fresh = np.maximum(ahead + step * (residual[patterns].sum(axis=1) - CHARGE), 0.0)
         if float((ahead - fresh) @ (fresh - x)) > 0:
             momentum = 1.0
         following = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
@@ -228,31 +233,55 @@ def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 1500)
     return x * scale
 
 
-def few_patterns(histogram: np.ndarray, capacity: int, best: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
-    """Patterns of at most FEW lengths, longest first, padded by 0.
+def few_patterns(histogram: np.ndarray, capacity: int, waste: int = 0) -> np.ndarray:
+    """Patterns of at most FEW lengths, longest first, padded by 0, that leave at most ``waste`` of a sequence empty.
 
-    Each length with its largest partners that fit and some smaller ones, then
-    what fits best beside them; and the contents of a best-fit packing (``best``).
+    Every length at hand, beside a second and a third one that take the shares
+    SECOND and THIRD of the room (or the next shorter), then what fits best.
     """
     lengths = np.flatnonzero(histogram)
     below = np.zeros(capacity + 1, np.int64)  # the largest length at hand that is no longer
     below[lengths] = lengths
     below = np.maximum.accumulate(below)
-    found = {tuple(sorted(p, reverse=True)) for p, _ in best if len(p) <= FEW}
-    for a in lengths.tolist():
-        partners = [int(below[min(a, (capacity - a) * k // 20)]) for k in (10, 7, 5)]
-        b = int(below[min(a, capacity - a)])
-        for _ in range(PARTNERS):
-            partners.append(b)
-            b = int(below[max(b - 1, 0)])
-        for b in partners:
-            pattern, room = [a], capacity - a
-            while b and len(pattern) < FEW:
-                pattern.append(b)
-                room -= b
-                b = int(below[min(b, room)])
-            found.add(tuple(pattern))
-    return np.array(sorted((p + (0,) * (FEW - len(p)) for p in found), reverse=True), np.int64).reshape(-1, FEW)
+    found = [np.zeros((0, FEW), np.int64)]
+    for second, third in itertools.product(SECOND, THIRD):
+        p = np.zeros((len(lengths), FEW), np.int64)
+        p[:, 0] = lengths
+        room = capacity - lengths
+        for k in range(1, FEW):
+            share = {1: second, 2: third}.get(k, 1.0)
+            p[:, k] = below[np.minimum(p[:, k - 1], (room * share).astype(np.int64))]
+            room = room - p[:, k]
+        found.append(p[room <= waste])
+    return np.unique(np.concatenate(found), axis=0)[::-1]
+
+
+def sparse_fit(patterns: np.ndarray, histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns and counts, fitted again with the ``KEPT`` patterns a length that the first fit uses most, so that counts are not all fractions."""
+    x = fit_counts(patterns, histogram)
+    most = KEPT * int((histogram > 0).sum())
+    if len(patterns) > most:
+        patterns = patterns[np.sort(np.argsort(-x, kind="stable")[:most])]
+        x = fit_counts(patterns, histogram)
+    return patterns, x
+
+
+def rounded(patterns: np.ndarray, x: np.ndarray, histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Whole counts within the histogram: the fit's whole parts, largest first, then one more for the largest remainders."""
+    left, whole = histogram.tolist(), np.floor(x + 1e-9).astype(np.int64)
+    rest = x - whole
+    wanted = [(k, int(whole[k])) for k in np.argsort(-whole, kind="stable").tolist() if whole[k] > 0]
+    wanted += [(k, 1) for k in np.argsort(-rest, kind="stable").tolist() if rest[k] > 1e-3]
+    contents = [tuple(v for v in p if v) for p in patterns.tolist()]
+    out = []
+    for k, times in wanted:
+        runs = [(a, len(list(run))) for a, run in itertools.groupby(contents[k])]
+        times = min(times, *(left[a] // n for a, n in runs))
+        if times > 0:
+            for a, n in runs:
+                left[a] -= times * n
+            out.append((contents[k], times))
+    return out
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -286,64 +315,112 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
     return [x for some in bins.values() for x in some]
 
 
-def plan_patterns(histogram: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns with repeat counts that use every piece exactly once; of three limits of waste the one with fewest sequences."""
-    pieces = histogram.astype(np.int64)
-    if not pieces[1:].any():
-        return []
-    patterns = few_patterns(pieces, capacity, best_fit(pieces, capacity))
-    x = np.floor(fit_counts(patterns, pieces) + 1e-6).astype(np.int64)
-    plans = []
-    for waste in (0, capacity // 256, capacity // 16):
-        left, plan = pieces.copy(), []
-        for k in np.flatnonzero((x > 0) & (capacity - patterns.sum(axis=1) <= waste)).tolist():  # the longest lengths choose first
-            p = tuple(int(v) for v in patterns[k] if v)
-            rows, n = np.unique(p, return_counts=True)
-            times = int(min(x[k], (left[rows] // n).min()))
-            if times > 0:
-                left[rows] -= times * n
-                plan.append((p, times))
-        plans.append(plan + best_fit(left, capacity))
-    return min(plans, key=lambda plan: sum(times for _, times in plan))
-
-
-def intervals(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
-    """Rows (length, first rank, end rank, first sequence, offset): rank r of a length goes to sequence first + r - first rank."""
+def _left(histogram: np.ndarray, plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
+    out = histogram.tolist()
+    for contents, times in plan:
+        for a in contents:
+            out[a] -= times
+    return np.array(out, np.int64)
+
+
+def _sequences(plan: list[tuple[tuple[int, ...], int]]) -> int:
+    return sum(times for _, times in plan)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What the fit placed, and the residual's best-fit packing: (contents, how many such sequences)."""
+
+    fitted: list[tuple[tuple[int, ...], int]]
+    residual: list[tuple[tuple[int, ...], int]]
+
+    @property
+    def sequences(self) -> int:
+        return _sequences(self.fitted) + _sequences(self.residual)
+
+    @property
+    def fitted_pieces(self) -> int:
+        return sum(len(contents) * times for contents, times in self.fitted)
+
+    @property
+    def entries(self) -> list[tuple[tuple[int, ...], int]]:
+        return self.fitted + self.residual
+
+
+def plan_patterns(histogram: np.ndarray, capacity: int) -> Plan:
+    """Patterns with repeat counts that use every piece exactly once.
+
+    Patterns are fitted and rounded, then fitted again to what is left, full ones
+    first (``WASTE``). Rounding up may use up the short pieces that the residual
+    needs, so of each fit as large a part is used (``PARTS``) as adds no sequence
+    to what best-fit packing of the same pieces needs; a part of all counts leaves
+    a residual that is mixed like the whole.
+    """
+    left, fitted = histogram.astype(np.int64), []
+    left[0] = 0
+    total = left.sum()
+    residual = best_fit(left, capacity)
+    for waste in WASTE:
+        if left.sum() <= SMALL * total:
+            break
+        patterns = few_patterns(left, capacity, waste * capacity // 256)
+        if not len(patterns):
+            continue
+        patterns, x = sparse_fit(patterns, left)
+        for part in PARTS:
+            own = rounded(patterns, part * x, left)
+            after = _left(left, own)
+            rest = best_fit(after, capacity)
+            if own and _sequences(own) + _sequences(rest) <= _sequences(residual):
+                fitted, left, residual = fitted + own, after, rest
+                break
+    return Plan(fitted, residual)
+
+
+def intervals(plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
+    """Rows (length, first rank, first sequence, offset, pieces a sequence), in order of length and rank.
+
+    From the first rank on, a length's pieces fill the run of that many pieces at
+    the offset of one sequence after the other. Runs of a plan are few: a
+    sequence has at most sqrt(2 x capacity) different lengths.
+    """
     ranks: dict[int, int] = {}
     rows, sequence = [], 0
     for contents, times in plan:
         offset = 0
-        for a in contents:
-            r = ranks.get(a, 0)
-            rows.append((a, r, r + times, sequence, offset))
-            ranks[a] = r + times
-            offset += a
+        for length, run in itertools.groupby(contents):
+            n = len(list(run))
+            first = ranks.get(length, 0)
+            rows.append((length, first, sequence, offset, n))
+            ranks[length] = first + times * n
+            offset += n * length
         sequence += times
-    return rows
+    at = np.array(rows, np.int64).reshape(-1, 5)
+    return at[np.lexsort((at[:, 1], at[:, 0]))]
 
 
 def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to rows with a length; ``order`` makes ranks stable."""
-    spark = pieces.sparkSession
     counted = pieces.groupBy("length").count().collect()  # at most ``capacity`` rows
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in counted:
         histogram[length] = n
-    rows = intervals(plan_patterns(histogram, capacity))
-    names = ["__length", "__first", "__end", "__sequence", "__offset"]
-    at = np.array(rows, np.int64).reshape(-1, 5)
-    plan = spark.createDataFrame(pa.Table.from_arrays([pa.array(at[:, i]) for i in range(5)], names))
-    salt = F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int")
-    ranked = rank_within(without(pieces, "sequence_id", "offset"), "length", salt, [F.col(c) for c in order], "__rank", SALTS)
-    inside = (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__first")) & (F.col("__rank") < F.col("__end"))
-    if len(rows) <= MAX_INTERVALS:  # else Spark shuffles both sides by length
-        plan = F.broadcast(plan)
-    return (
-        ranked.join(plan, inside)
-        .withColumn("sequence_id", F.col("__sequence") + F.col("__rank") - F.col("__first"))
-        .withColumn("offset", F.col("__offset"))
-        .drop(*names, "__rank")
-    )
+    shared = pieces.sparkSession.sparkContext.broadcast(intervals(plan_patterns(histogram, capacity).entries))
+    ranked = rank_within(without(pieces, "sequence_id", "offset"), "length", F.xxhash64(*order), [F.col(c) for c in order], "__rank", int(histogram.max(initial=0)))
+    columns = [c for c in ranked.columns if c != "__rank"]
+    schema = T.StructType([*[ranked.schema[c] for c in columns], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = shared.value
+        starts = at[:, 0] << 40 | at[:, 1]  # a length has less than 2**40 pieces
+        for batch in batches:
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "__rank"))
+            own = at[np.searchsorted(starts, length << 40 | rank, "right") - 1]
+            nth = rank - own[:, 1]
+            places = [pa.array(own[:, 2] + nth // own[:, 4]), pa.array(own[:, 3] + nth % own[:, 4] * length)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *places], [*columns, "sequence_id", "offset"])
+
+    return ranked.mapInArrow(place, schema)
 
 
 def pack_documents(df: DataFrame, key: str, text: str, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -362,5 +439,3 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, "doc_id", "text", vocabulary()).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
-
-

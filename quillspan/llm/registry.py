@@ -46,4 +46,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_jaccard": neardup.ORACLE,
         "op3_decontamination": decontaminate.ORACLE,
         "op7_chat": chat.ORACLE,
+        "op9_sharding": sharding.ORACLE,
     }

@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.common import rank_within, table, without
 
-#: Cells a shard's slots are counted in: at most shards x SALTS counts are ever gathered.
-SALTS = 4096
-
 
 def key_text(key: Column) -> Column:
     return F.coalesce(key.cast("string"), F.lit("\\N"))
@@ -41,11 +38,17 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
     return (-F.array_max(F.array(*scored))["shard"]).cast("int")
 
 
+def digest_hash(digest: Column) -> Column:
+    """The first 60 bits of a hex digest as a long, in the same order."""
+    return F.shiftleft(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") - (1 << 59), 4)
+
+
 def assign(df: DataFrame, key: str, weights: Sequence[float], order: Sequence[str] = ()) -> DataFrame:
-    """Adds ``shard`` and ``slot`` (0, 1, ... within the shard, gapless)."""
-    placed = without(df, "shard", "slot").withColumn("shard", shard_of(F.col(key), weights))
-    salt = F.conv(F.substring(F.md5(key_text(F.col(key))), 1, 3), 16, 10).cast("int")
-    return rank_within(placed, "shard", salt, [F.col(key), *map(F.col, order)], "slot", SALTS)
+    """Adds ``shard`` and ``slot`` (0, 1, ... within the shard, gapless, by an MD5 digest of the key and ``order``)."""
+    said = F.concat_ws("#", key_text(F.col(key)), *[F.col(c).cast("string") for c in order])
+    placed = without(df, "shard", "slot").withColumn("shard", shard_of(F.col(key), weights)).withColumn("__digest", F.md5(said))
+    ranked = rank_within(placed, "shard", digest_hash(F.col("__digest")), [F.col(c) for c in ("__digest", key, *order)], "slot", df.count())
+    return ranked.drop("__digest")
 
 
 def write_shards(df: DataFrame, key: str, weights: Sequence[float], path: str) -> None:
@@ -66,3 +69,21 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(docs, "doc_id", [1.0] * 8, ["text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard"
     )
+
+
+_SCORE = "-ln((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '\\N') || '#' || s), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+#: CRC-32 by a table of its bytes' remainders, made by eight steps each; DuckDB has none.
+ORACLE = f"""
+WITH t AS MATERIALIZED (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM (SELECT unnest(range(256)) AS b)),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+c AS (SELECT doc_id, strlen(text) + 1 AS size, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32 FROM d, t),
+p AS (SELECT *, (SELECT arg_min(s, ({_SCORE}, s)) FROM range(8) r(s)) AS shard,
+        (SELECT arg_min(s, ({_SCORE}, s)) FROM range(9) r(s)) AS grown_shard FROM c)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY
+    md5(coalesce(CAST(doc_id AS VARCHAR), '\\N') || '#' || text_crc32 || '#' || size), doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+  CAST(grown_shard AS INTEGER) AS grown_shard FROM p
+"""

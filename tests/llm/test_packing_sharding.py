@@ -52,14 +52,58 @@ def test_plans_use_every_piece_once(seed):
         h[a] += rng.integers(1, [3, 50, 100_000, 1][seed] + 1)
     plan = packing.plan_patterns(h, capacity)
     used = np.zeros_like(h)
-    for contents, times in plan:
+    for contents, times in plan.entries:
         assert times > 0 and sum(contents) <= capacity
         np.add.at(used, list(contents), times)
     assert (used == h).all()
-    n, bound = sum(t for _, t in plan), -(-int(h @ np.arange(capacity + 1)) // capacity)
+    n, bound = plan.sequences, -(-int(h @ np.arange(capacity + 1)) // capacity)
+    assert n <= sum(t for _, t in packing.best_fit(h, capacity))
     ffd = first_fit(h, capacity) if h.sum() < 5000 else None
     assert n >= bound and (ffd is None or n <= 1.002 * ffd + 1)
-    assert packing.plan_patterns(np.zeros(capacity + 1, np.int64), capacity) == []
+    nothing = packing.plan_patterns(np.zeros(capacity + 1, np.int64), capacity)
+    assert nothing.entries == [] and packing.intervals(nothing.entries).shape == (0, 5)
+
+
+def test_patterns_alone_pack_what_they_can():
+    h = np.zeros(101, np.int64)
+    h[[60, 40, 25]] = 1000, 1000, 4000
+    plan = packing.plan_patterns(h, 100)
+    assert plan.sequences == 2000 and plan.fitted_pieces >= 0.99 * h.sum()
+    h = np.zeros(101, np.int64)
+    h[30] = 7  # no sequence can be full
+    plan = packing.plan_patterns(h, 100)
+    assert plan.sequences == 3 and plan.fitted_pieces >= 6
+
+
+def test_runs_of_equal_lengths_are_one_interval():
+    at = packing.intervals([((1,) * 4096, 3), ((4, 1, 1), 2)])
+    assert at.tolist() == [[1, 0, 0, 0, 4096], [1, 12288, 3, 4, 2], [4, 0, 3, 0, 1]]
+
+
+@pytest.mark.parametrize(("sf", "sequences", "share"), [("sf0.01", 221, 0.5), ("sf0.1", 2270, 0.6)])
+def test_the_fit_places_most_pieces(spark, monkeypatch, sf, sequences, share):
+    plans = []
+    plan = packing.plan_patterns
+    monkeypatch.setattr(packing, "plan_patterns", lambda *a: plans.append(plan(*a)) or plans[-1])
+    rows = packing.op8_packing(spark, f"/root/testdata/{sf}").collect()
+    assert check_places(rows, packing.CAPACITY) == sequences == -(-sum(r.length for r in rows) // packing.CAPACITY)
+    assert plans[0].fitted_pieces >= share * len(rows) and len(packing.intervals(plans[0].entries)) < 2 * len(rows)
+
+
+def test_the_whole_query_against_a_plain_model(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.vocabulary())
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    expected = set()
+    for r in docs:
+        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, packing.END_ID]
+        for piece, at in enumerate(range(0, len(ids), 4096)):
+            own = ids[at : at + 4096]
+            expected.add((r.doc_id, piece, at, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
+    rows = packing.op8_packing(spark, DATA).collect()
+    assert {tuple(r)[:5] for r in rows} == expected and len(rows) == len(expected)
+    assert check_places(rows, 4096) == -(-sum(r.length for r in rows) // 4096)
 
 
 def first_fit(h, capacity):
@@ -85,7 +129,7 @@ def test_non_negative_least_squares():
         np.add.at(a[:, k], p, 1)
     a[0] = 0
     gradient = a.T @ (a @ x - h)
-    charge = packing.LAST_CHARGE * h[h > 0].mean()
+    charge = packing.CHARGE * h[h > 0].mean()
     assert (x >= 0).all() and (gradient + charge > -1).all() and (abs(gradient[x > 0] + charge) < 1).all()
 
 
@@ -119,6 +163,35 @@ def test_rendezvous_laws(spark):
         sharding.shard_of(F.col("x"), [1.0, 0.0])
 
 
+def test_op9_recomputed_plainly(spark):
+    import hashlib
+    import math
+
+    rows = sharding.op9_sharding(spark, DATA).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert len(rows) == len(texts)
+
+    def place(key, n):
+        unit = [(int(hashlib.md5(f"{key}#{s}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for s in range(n)]
+        return max(range(n), key=lambda s: (1 / -math.log(unit[s]), -s))
+
+    slots = {}
+    for r in rows:
+        raw = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.shard, r.grown_shard, r.law) == (len(raw) + 1, zlib.crc32(raw), place(r.doc_id, 8), place(r.doc_id, 9), "key")
+        digest = hashlib.md5(f"{r.doc_id}#{r.text_crc32}#{r.size}".encode()).hexdigest()
+        slots.setdefault(r.shard, []).append((digest, r.slot))
+    assert all([n for _, n in sorted(own)] == list(range(len(own))) for own in slots.values())
+
+
+def test_ranks_do_not_depend_on_the_cells(spark):
+    from quillspan.llm.common import rank_within
+
+    df = spark.range(5000).select((F.col("id") % 3).alias("g"), (F.col("id") % 1000).alias("k"))
+    ranked = [sorted(map(tuple, rank_within(df, "g", F.xxhash64("k"), [F.col("k")], "r", n).collect())) for n in (0, 1 << 30)]
+    assert ranked[0] == ranked[1] and sorted(r for g, _, r in ranked[0] if g == 1) == list(range(1667))
+
+
 def test_written_shards(spark, tmp_path):
     df = spark.createDataFrame([(i, "t") for i in range(200)], "doc_id long, text string")
     sharding.write_shards(df, "doc_id", [1.0] * 4, str(tmp_path / "out"))
