@@ -17,11 +17,14 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, allowed: Column,
     """Texts of at most ``per_class`` labelled rows of either class: key, text, label (0 or 1).
 
     Of the allowed rows those with the least hash of the key, so the choice is
-    stable and no class's rows meet in one task. The ids chosen are bounded and
-    are broadcast; the texts are written to the shared folder.
+    stable and no class's rows meet in one task; of an id with several labels the
+    least counts, of one with several texts the least (null first). The ids
+    chosen are bounded and are broadcast; the texts are written to the shared folder.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & allowed).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label"))
-    chosen = [usable.where(F.col("__label") == c).orderBy(F.xxhash64("__key"), "__key").limit(per_class) for c in (0, 1)]
+    single = usable.groupBy("__key").agg(F.min("__label").alias("__label"))
+    chosen = [single.where(F.col("__label") == c).orderBy(F.xxhash64("__key"), "__key").limit(per_class) for c in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
     found = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).join(ids, F.col("key") == F.col("__key"))
-    return materialise(found.select("key", "text", F.col("__label").alias("label")).dropDuplicates(["key"]), "labelled")
+    least = found.groupBy("key").agg(F.min(F.struct("text", F.col("__label").alias("label"))).alias("row"))
+    return materialise(least.select("key", "row.text", "row.label"), "labelled")

@@ -7,6 +7,8 @@ document's or a pair's few thousand words a collision has odds below 1e-12.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,6 +80,37 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+_marks: list[np.ndarray] = []
+
+
+def _is_mark() -> np.ndarray:
+    """For every code point from 0x80 on whether it is neither letter, combining mark nor number; made when first used."""
+    if not _marks:
+        _marks.append(np.array([unicodedata.category(chr(c))[0] not in "LMN" for c in range(sys.maxunicode + 1)]))
+    return _marks[0]
+
+
+def blank_marks(data: np.ndarray) -> np.ndarray:
+    """The bytes with every character beyond ASCII that is no letter, combining mark or number made spaces, as many as it has bytes."""
+    lead = np.flatnonzero(data >= 0xC2)
+    if not len(lead):
+        return data
+    out = data
+    for low, high, size in ((0xC2, 0xDF, 2), (0xE0, 0xEF, 3), (0xF0, 0xF4, 4)):
+        at = lead[(data[lead] >= low) & (data[lead] <= high)]
+        if not len(at):
+            continue
+        code = data[at].astype(np.int64) & (0x7F >> size)
+        for k in range(1, size):
+            code = code << 6 | data[at + k] & 0x3F
+        at = at[_is_mark()[code]]
+        if len(at):
+            out = out.copy() if out is data else out
+            for k in range(size):
+                out[at + k] = 0x20
+    return out
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray, lower: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words in the bytes of some documents, and where each document's words begin."""
     m = kept[lower[data]]

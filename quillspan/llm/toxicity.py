@@ -4,25 +4,37 @@ Learning, from at most ``PER_CLASS`` labelled texts of either class: word stems
 that toxic texts have and others hardly ever do form the lexicon, at most
 ``MAX_TERMS``. A logistic model over a text's hits is fitted on the same sample.
 
-Matching: a word hits a stem it begins with, or one it equals but for one edit
-(words and stems of ``EDIT_LENGTH`` characters on). For every distinct word of
-a slice a bit-parallel Levenshtein automaton of the word is run along the
-lexicon's trie, so shared prefixes of stems are read once. A word whose first
-and last halves fit no stem's halves cannot be within one edit of it; numpy
-sets those aside first, and every worker process remembers words it has met.
-
-Context: a hit among quotation marks, one before and one after within
-``WINDOW`` words, counts as quoted; hits in each other's windows reinforce each
-other. Both have features and so weights of their own.
+Words are runs of letters, combining marks and numbers of any script; all other
+characters, typographic quotation marks and dashes included, end a word.
+
+Matching: a word hits a stem it begins with, or one that it, or it without an
+ending of at most ``SUFFIX`` characters, equals but for one edit (words and
+stems of ``EDIT_LENGTH`` characters on). For every distinct word of a slice a
+bit-parallel Levenshtein automaton of the word is run along the lexicon's trie,
+so shared prefixes of stems are read once. A word whose beginning and end fit no
+stem's halves cannot be within one edit of it; numpy sets those aside first, and
+every worker process remembers words it has met.
+
+Context: a hit between an opening quotation mark and its closing one, on one
+line and both within ``WINDOW`` words, counts as quoted; an apostrophe is no
+mark. Hits in each other's windows reinforce each other.
+
+Weights: labelled samples hardly hold quoted or misspelled terms, so the fit
+also sees, for every toxic text with hits, its hits made one, made misspelled
+(both toxic still) and made quoted (of which only the share ``MEANT`` is taken to
+be abuse, the rest a mention). All weights are the fit's own.
 
 Defined results: a null or empty text has no hits; repeated rows score alike;
 an empty table gives no rows; without labels the lexicon is empty and every
-score is 0.5 or the labels' share; further columns are kept and the operator's
-own output names replace input columns of those names.
+score is 0.5 or the labels' share; a very long text or word is read whole, in
+linear time; of an id that repeats in the documents the least text is learnt
+from; further columns are kept and the operator's own output names replace
+input columns of those names.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,6 +53,10 @@ PER_CLASS = 3000
 MAX_TERMS = 512
 STEM_LENGTHS = range(4, 13)
 EDIT_LENGTH = 5
+#: Endings that a misspelled word may have beyond a stem.
+SUFFIX = 3
+#: Of quoted terms, the share taken for abuse.
+MEANT = 0.25
 #: Words to either side that count as a hit's context.
 WINDOW = 8
 CACHE_WORDS = 1 << 21
@@ -53,12 +69,45 @@ AGAIN = 0.6
 
 #: A stem with unlisted near words in a larger share of clean texts is matched exactly.
 EXACT_SHARE = 0.0005
-#: What misspelled terms weigh at least, and quoted ones at most, against true ones.
-MISSPELLED, QUOTED = 0.85, 0.5
-#: The share of a single true hit's log-odds that it scores at least.
-SINGLE = 0.25
+#: Quotation marks: what opens, and what closes it.
+QUOTES = {'"': '"', "'": "'", "\u201c": "\u201d", "\u201e": "\u201c\u201d", "\u00ab": "\u00bb", "\u00bb": "\u00ab", "\u2018": "\u2019", "\u201a": "\u2018\u2019"}
+_MARKS = re.compile("|".join(sorted(set("".join(QUOTES) + "".join(QUOTES.values())))).encode())
+
 
-_QUOTE = re.compile("[\"“”„«»‘’]|(?<!\\w)'|'(?!\\w)")
+def quoted_spans(line: bytes, word: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of a line between an opening quotation mark and its closing one; ``word``: the bytes that are parts of words.
+
+    A mark opens before what is no space and not after a word, and closes after
+    what is no space; a single one closes before no word, else it is an
+    apostrophe. An opening mark that stays alone is no mark.
+    """
+    found = [(m[0].decode(), m.start(), m.end()) for m in _MARKS.finditer(line)]
+    out: list[tuple[int, int]] = []
+    alone: set[str] = set()
+    begin = 0
+    while begin < len(found):
+        opened: int | None = None
+        closed = False
+        for k in range(begin, len(found)):
+            mark, a, b = found[k]
+            tight = b < len(line) and line[b : b + 1] not in b" \t"
+            opens = mark in QUOTES and mark not in alone and tight and not (a and word[a - 1])
+            if opened is None:
+                opened = k if opens else None
+                continue
+            own, _, inner = found[opened]
+            if mark in QUOTES[own] and a > inner and line[a - 1 : a] not in b" \t" and not (mark in "'\u2019" and b < len(line) and word[b]):
+                out.append((inner, a))
+                begin, closed = k + 1, True
+                break
+            if mark == own and opens:  # the one before was alone
+                opened = k
+        if not closed:
+            if opened is None:
+                break
+            alone.add(found[opened][0])  # nothing closes this kind from here on
+            begin = opened + 1
+    return out
 
 
 class LexiconTrie:
@@ -66,6 +115,7 @@ class LexiconTrie:
 
     def __init__(self, stems: list[str]):
         self.stems = stems
+        self.reach = max(map(len, stems), default=0) + SUFFIX + 2
         self.root: dict = {}
         for number, stem in enumerate(stems):
             node = self.root
@@ -74,12 +124,13 @@ class LexiconTrie:
             node[""] = number
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """(stem, edits): the longest stem the word begins with, else a stem at one edit from the word."""
+        """(stem, edits): the longest stem the word begins with, else a stem at one edit from the word, without an ending maybe."""
+        word = word[: self.reach]  # what follows decides nothing
         n = len(word)
         masks: dict[str, int] = {}
         for j, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << j
-        whole, fuzzy = 1 << n, n >= EDIT_LENGTH
+        whole, fuzzy, ending = 1 << n, n >= EDIT_LENGTH, max(n - SUFFIX, EDIT_LENGTH)
         best: tuple[int, int, int] | None = None  # edits, -depth, stem
         # Bit j of a state: the word's first j characters are within 0 or 1 edits of the path so far.
         stack = [(self.root, 0, 1, 3 if fuzzy else 0)]
@@ -88,7 +139,7 @@ class LexiconTrie:
             if "" in node:
                 if exact:
                     best = min(best or (9, 0, 0), (0, -depth, node[""]))
-                elif near & whole and depth >= EDIT_LENGTH:
+                elif near >> ending and depth >= EDIT_LENGTH:
                     best = min(best or (9, 0, 0), (1, -depth, node[""]))
             for c, child in node.items():
                 if c == "":
@@ -115,7 +166,7 @@ class Lexicon:
         halves: dict[tuple[bool, int], set[int]] = {}
         for stem in self.stems:
             cut = max(1, len(stem) // 2)
-            for tail, part in ((False, stem[:cut].encode()[:8]), (True, stem[cut:].encode()[-8:])):
+            for tail, part in ((False, stem[:cut].encode()[:8]), (True, stem[cut:].encode()[-8 + SUFFIX :])):
                 halves.setdefault((tail, len(part)), set()).add(int.from_bytes(part, "big"))
         self.halves = {k: np.array(sorted(v), np.uint64) for k, v in halves.items()}
         self.known = np.zeros(0, np.uint64)
@@ -129,7 +180,7 @@ class Lexicon:
         self.__post_init__()
 
     def possible(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Words that share their first or their last bytes with half a stem."""
+        """Words that share their first bytes, or their last ones before an ending, with half a stem."""
         n = ends - starts
         first, last = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
         lower = textops.LOWER
@@ -140,8 +191,11 @@ class Lexicon:
             last |= np.where(k < n, tail, 0).astype(np.uint64) << np.uint64(8 * k)
         out = np.zeros(len(n), bool)
         for (tail, size), values in self.halves.items():
-            part = last & np.uint64((1 << 8 * size) - 1) if tail else first >> np.uint64(8 * (8 - size))
-            out |= (n >= size) & np.isin(part, values)
+            if not tail:
+                out |= (n >= size) & np.isin(first >> np.uint64(8 * (8 - size)), values)
+                continue
+            for ending in range(SUFFIX + 1):
+                out |= (n >= size + ending) & np.isin(last >> np.uint64(8 * ending) & np.uint64((1 << 8 * size) - 1), values)
         return out
 
     def code(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -170,30 +224,45 @@ class Lexicon:
         return 1.0 / (1.0 + np.exp(-np.clip(features @ self.weights[:-1] + self.weights[-1], -40, 40)))
 
 
-def hits(column: pa.Array, lexicon: Lexicon) -> Iterator[tuple[int, int, list[list[tuple[int, int, bool, int, str]]], np.ndarray]]:
-    """For slices of a batch: first, last + 1, each text's hits (stem, edits, quoted, hits in the window, word), numbers of words."""
-    for i, j, data, offsets in textops.slices(column):
+#: A hit: stem, edits, whether it is quoted, hits in its window, the word.
+Hit = tuple[int, int, bool, int, str]
+
+
+def hits(column: pa.Array, lexicon: Lexicon) -> Iterator[tuple[int, int, list[list[Hit]], np.ndarray]]:
+    """For slices of a batch: first, last + 1, each text's hits, numbers of words."""
+    for i, j, raw, offsets in textops.slices(column):
+        data = textops.blank_marks(raw)
         starts, ends, firsts = textops.word_bounds(data, offsets, textops.LOWER, textops.ALNUM)
-        found: list[list[tuple[int, int, bool, int, str]]] = [[] for _ in range(j - i)]
+        found: list[list[Hit]] = [[] for _ in range(j - i)]
         if len(starts) and lexicon.stems:
             keys = textops.word_hashes(data, starts, ends, textops.LOWER)
             distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
             codes = lexicon.code(distinct, data, starts[first], ends[first])[back]
             at = np.flatnonzero(codes)
             doc = np.searchsorted(firsts, at, "right") - 1
-            raw = data.tobytes()
+            lines = np.concatenate([np.flatnonzero(raw == 10), offsets[1:]]) if len(at) else np.zeros(0, np.int64)
+            lines.sort()
+            line_end, spans, begun = -1, [], []
             for place, k in zip(at.tolist(), doc.tolist(), strict=True):
+                a, b = int(starts[place]), int(ends[place])
+                if a >= line_end:  # another line
+                    n = int(np.searchsorted(lines, a, "right"))
+                    line_end = int(lines[n])
+                    begin = max(int(offsets[k]), int(lines[n - 1]) if n else 0)
+                    own = textops.ALNUM[textops.LOWER[data[begin:line_end]]]
+                    spans = [(begin + x, begin + y) for x, y in quoted_spans(raw[begin:line_end].tobytes(), own)]
+                    begun = [x for x, _ in spans]
                 lo, hi = max(place - WINDOW, int(firsts[k])), min(place + WINDOW, int(firsts[k + 1]) - 1)
-                before = raw[starts[lo] if lo > firsts[k] else offsets[k] : starts[place]].decode(errors="ignore")
-                after = raw[ends[place] : ends[hi] if hi + 1 < firsts[k + 1] else offsets[k + 1]].decode(errors="ignore")
-                quoted = bool(_QUOTE.search(before)) and bool(_QUOTE.search(after))
+                from_, to = int(ends[lo - 1]) if lo > firsts[k] else 0, int(starts[hi + 1]) if hi + 1 < firsts[k + 1] else len(raw)
                 near = int(np.searchsorted(at, hi, "right") - np.searchsorted(at, lo)) - 1
                 code = int(codes[place]) - 1
-                found[k].append((code // 2, code % 2, quoted, near, textops.LOWER[data[starts[place] : ends[place]]].tobytes().decode()))
+                span = bisect.bisect_right(begun, a) - 1  # spans are apart and in order
+                quoted = span >= 0 and from_ <= spans[span][0] and b <= spans[span][1] <= to
+                found[k].append((code // 2, code % 2, quoted, near, textops.LOWER[data[a:b]].tobytes().decode()))
         yield i, j, found, np.diff(firsts)
 
 
-def features_of(found: list[tuple[int, int, bool, int, str]], n_words: int) -> list[float]:
+def features_of(found: list[Hit], n_words: int) -> list[float]:
     """Whether there are plain true hits, plain misspelled ones, quoted ones; how many of each; how close together; how dense."""
     true, wrong, quoted = sum(1 for h in found if not h[2] and not h[1]), sum(1 for h in found if not h[2] and h[1]), sum(1 for h in found if h[2])
     counts = [true, wrong, quoted]
@@ -201,6 +270,21 @@ def features_of(found: list[tuple[int, int, bool, int, str]], n_words: int) -> l
     return [*(float(n > 0) for n in counts), *map(np.log1p, counts), np.log1p(near), np.log1p(100.0 * (true + wrong) / max(n_words, 1))]
 
 
+def imagined(found: list[Hit], n_words: int) -> list[tuple[float, float, list[float]]]:
+    """Labels, their shares and features of a toxic text's variants: with one hit alone, with its hits misspelled, with its hits quoted."""
+    plain = [h for h in found if not h[2]]
+    if not plain:
+        return []
+    stem, edits, _, _, word = plain[0]
+    quoted = features_of([(s, e, True, near, w) for s, e, _, near, w in plain], n_words)
+    return [
+        (1.0, 1.0, features_of([(stem, edits, False, 0, word)], n_words)),
+        (1.0, 1.0, features_of([(s, 1, False, near, w) for s, _, _, near, w in plain], n_words)),
+        (1.0, MEANT, quoted),
+        (0.0, 1.0 - MEANT, quoted),
+    ]
+
+
 def lexicon_stems(rows: DataFrame) -> list[str]:
     """Stems from a bounded sample (key, text, label).
 
@@ -210,13 +294,13 @@ def lexicon_stems(rows: DataFrame) -> list[str]:
     stand in copies of a toxic text have nothing left once its real terms are
     taken. Candidates and texts are bounded, so their incidence is.
     """
-    rows = rows.dropDuplicates(["text", "label"])
+    rows = rows.groupBy("text", "label").agg(F.min("key").alias("key"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, other = counts.get(1, 0), max(counts.get(0, 0), 1)
     if not toxic:
         return []
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.array_distinct(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    words = F.array_distinct(F.split(lower, r"[^\p{L}\p{M}\p{N}]+"))
     long = F.explode(F.filter(words, lambda w: F.length(w) >= min(STEM_LENGTHS))).alias("w")
     heads = F.array_distinct(F.transform(F.array(*map(F.lit, STEM_LENGTHS)), lambda n: F.substring(F.col("w"), F.lit(1), n)))
     stems = rows.select(F.xxhash64("key").alias("d"), "label", long).select("d", "label", F.explode(heads).alias("stem")).distinct()
@@ -247,10 +331,10 @@ def lexicon_stems(rows: DataFrame) -> list[str]:
     return kept
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.003) -> np.ndarray:
-    """Logistic weights, the last the intercept, classes weighing the same; by Newton's method."""
+def fit(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 0.003) -> np.ndarray:
+    """Logistic weights, the last the intercept, rows weighing their share and classes the same; by Newton's method."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    weight = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9))
+    weight = share * np.where(y == 1, 0.5 / max(share[y == 1].sum(), 1e-9), 0.5 / max(share[y == 0].sum(), 1e-9)) * share.sum()
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge * len(x))
     penalty[-1] = 1e-3
@@ -295,25 +379,24 @@ def learn(rows: DataFrame) -> Lexicon:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            labels = batch.column(1).to_pylist()
             for i, j, found, n in hits(batch.column(0), lexicon):
-                x = [features_of(f, int(k)) for f, k in zip(found, n, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array(x, pa.list_(pa.float64()))], ["label", "features"])
-
-    got = rows.select("text", "label").mapInArrow(run, "label int, features array<double>").toArrow()
-    y = np.array(got["label"].to_pylist(), float)
-    if len(set(y.tolist())) < 2:
-        lexicon.weights[-1] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
+                x = []
+                for y, f, k in zip(labels[i:j], found, n, strict=True):
+                    x.append((float(y), 1.0, features_of(f, int(k))))
+                    x += imagined(f, int(k)) if y else []
+                columns = [pa.array(c) for c in list(zip(*x, strict=True))[:2]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([v[2] for v in x], pa.list_(pa.float64()))], ["label", "share", "features"])
+
+    labels = sorted(r["label"] for r in rows.select("label").distinct().collect())
+    if len(labels) < 2:
+        lexicon.weights[-1] = 0.0 if not labels else (4.0 if labels[0] else -4.0)
         return lexicon
-    x = np.array(got["features"].to_pylist(), float).reshape(len(y), FEATURES)
-    lexicon.weights = w = fit(x, y)
-    # The fit may leave room between no hit and the few hits that the sample's toxic texts have at least. How much a
-    # single true hit says by itself is the ratio of its shares in the classes; it counts for a quarter at least.
-    shares = [(x[y == c, 0].sum() + 0.5) / ((y == c).sum() + 1.0) for c in (0, 1)]
-    w[0] = max(w[0], SINGLE * np.log(shares[1] / shares[0]) - w[-1])
-    # Misspelled terms are rare in any sample and weigh nearly as much as true ones at least; quoted ones half as much at most.
-    for true, wrong, quoted in ((0, 1, 2), (3, 4, 5)):
-        w[wrong] = max(w[wrong], MISSPELLED * w[true])
-        w[quoted] = min(w[quoted], QUOTED * w[true]) if w[quoted] else 0.5 * QUOTED * w[true]
+    got = rows.select("text", "label").mapInArrow(run, "label double, share double, features array<double>").toArrow()
+    x = np.array(got["features"].to_pylist(), float).reshape(len(got), FEATURES)
+    y, share = np.array(got["label"].to_pylist(), float), np.array(got["share"].to_pylist(), float)
+    order = np.lexsort((*x.T, y, share))  # so that sums don't depend on where rows were
+    lexicon.weights = fit(x[order], y[order], share[order])
     return lexicon
 
 

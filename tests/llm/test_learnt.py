@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillspan.llm import quality, toxicity
 from quillspan.llm.labelled import remainder, sample
@@ -19,10 +20,14 @@ def auc(rows):
     return (sum(ones) - len(ones) * (len(ones) + 1) / 2) / (len(ones) * (len(ranked) - len(ones)))
 
 
-@pytest.mark.parametrize(("query", "label", "least"), [(quality.op5_quality, "quality", 0.97), (toxicity.op10_toxicity, "toxic", 0.75)])
-def test_held_out(spark, query, label, least):
-    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", label)
-    rows = query(spark, DATA).join(labels, "doc_id").collect()
+@pytest.mark.parametrize(
+    ("query", "label", "sf", "least"),
+    [(quality.op5_quality, "quality", "sf0.01", 0.97), (quality.op5_quality, "quality", "sf0.1", 0.99), (toxicity.op10_toxicity, "toxic", "sf0.01", 0.75), (toxicity.op10_toxicity, "toxic", "sf0.1", 0.95)],
+)
+def test_held_out(spark, query, label, sf, least):
+    data = f"/root/testdata/{sf}"
+    labels = spark.read.parquet(f"{data}/labels.parquet").select("doc_id", label)
+    rows = query(spark, data).join(labels, "doc_id").collect()
     held = [(r.score, r[label]) for r in rows if r.held_out]
     assert len(held) > 50 and auc(held) > least
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
@@ -35,6 +40,9 @@ def test_samples_are_bounded_and_stable(spark):
     a, b = ({(r.key, r.label) for r in sample(docs, labels, "good", allowed, 8).collect()} for _ in range(2))
     assert a == b and 14 <= len(a) <= 16 and max(sum(y for _, y in a), sum(not y for _, y in a)) == 8
     assert sample(docs, labels.limit(0), "good", allowed, 8).collect() == []
+    twice = spark.createDataFrame([(3, "b"), (3, "a"), (3, None), (4, "z"), (4, "y")], "doc_id long, text string")
+    both = spark.createDataFrame([(3, 1), (4, 1), (4, 0)], "doc_id long, good int")
+    assert {tuple(r) for r in sample(twice, both, "good", F.lit(True), 8).collect()} == {(3, None, 1), (4, "y", 0)}
 
 
 def test_quality_edges(spark):
@@ -83,17 +91,74 @@ def test_automaton_equals_edit_distance():
     possible = lexicon.possible(data, offsets[:-1], offsets[1:])
     for k, word in enumerate(words):
         begun = [s for s in stems if word.startswith(s)]
-        near = [s for s in stems if len(s) >= toxicity.EDIT_LENGTH and len(word) >= toxicity.EDIT_LENGTH and distance(word, s) == 1]
+        heads = {word[: len(word) - k] for k in range(toxicity.SUFFIX + 1)}
+        near = [s for s in stems if len(s) >= toxicity.EDIT_LENGTH and any(len(h) >= toxicity.EDIT_LENGTH and distance(h, s) == 1 for h in heads)]
         got = trie.match(word)
         if begun:
             assert got == (stems.index(max(begun, key=len)), 0)
         elif near:
-            assert got[1] == 1 and distance(word, stems[got[0]]) == 1 and len(stems[got[0]]) == max(map(len, near))
+            assert got[1] == 1 and stems[got[0]] in near and len(stems[got[0]]) == max(map(len, near))
         else:
             assert got is None
         assert got is None or possible[k]
 
 
+@pytest.fixture(scope="module")
+def lexicon(spark):
+    """Learnt from the tables, as op10 does."""
+    data = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    rows = sample(docs, spark.read.parquet(f"{data}/labels.parquet"), "toxic", remainder("doc_id", 5) != 0, toxicity.PER_CLASS)
+    return toxicity.learn(rows)
+
+
+#: Text, hits, quoted hits, whether it is abuse.
+SAID = [
+    ("\u201cidiot\u201d", 1, 1, False),
+    ("\u00abidiot\u00bb", 1, 1, False),
+    ("\u201eidiot\u201c", 1, 1, False),
+    ("\u2018idiot\u2019", 1, 1, False),
+    ("you\u2014idiot\u2014there", 1, 0, True),
+    ("\u201cYou idiot\u201d", 1, 1, False),
+    ('He said "hi". You idiot. Then "bye".', 1, 0, True),
+    ("dogs' idiot cats' food", 1, 0, True),
+    ("you idiiots", 1, 0, True),
+    ("idiot" + "s" * 300_000, 1, 0, True),
+    ("he called me an 'idiot', no less", 1, 1, False),
+    ("it\u2019s an idiot\u2019s work", 1, 0, True),
+    ('the 5" board, you idiot, and the 6" one', 1, 0, True),
+    ('"alone. You idiot', 1, 0, True),
+    ("\u00bbIdiot\u00ab", 1, 1, False),
+    ('"\nidiot\n"', 1, 0, True),
+    ("\u00a1idiot!\u3002idiot", 2, 0, True),
+    ("plain words", 0, 0, False),
+]
+
+
+def test_words_marks_and_endings(spark, lexicon):
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(SAID)], "doc_id long, text string")
+    got = toxicity.classify(df, "text", lexicon).orderBy("doc_id").collect()
+    for (text, n_hits, n_quoted, abuse), r in zip(SAID, got, strict=True):
+        assert (r.n_hits, r.n_quoted, r.score >= 0.5) == (n_hits, n_quoted, abuse), (text[:60], r.n_hits, r.n_quoted, r.score)
+
+
+def test_models_do_not_depend_on_the_partitioning(spark, lexicon):
+    data = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").repartition(3, "text")
+    rows = sample(docs, spark.read.parquet(f"{data}/labels.parquet").repartition(5), "toxic", remainder("doc_id", 5) != 0, toxicity.PER_CLASS)
+    again = toxicity.learn(rows.repartition(7))
+    assert again.stems == lexicon.stems and again.clean == lexicon.clean and (again.weights == lexicon.weights).all()
+
+
+def test_many_marks_take_linear_time():
+    import time
+
+    line = ("\u00ab\u201e\u201c\"' " * 40_000).encode()
+    began = time.monotonic()
+    toxicity.quoted_spans(line, toxicity.textops.ALNUM[np.frombuffer(line, np.uint8)])
+    assert time.monotonic() - began < 5
+
+
 def test_context_and_misspellings(spark):
     rng = random.Random(0)
     fill = lambda: " ".join("".join(rng.choices("lmnoprst", k=5)) for _ in range(30))
