@@ -8,13 +8,16 @@ sample of labelled texts: at most ``PER_CLASS`` of either class. The sample's
 vectors, at most 2 x PER_CLASS x ``RANK`` numbers, are broadcast; every text's
 cosine with each of them is computed exactly, a block of texts at a time, and
 the labels of the ``NEIGHBOURS`` nearest vote with weights that grow with
-similarity. Texts without words score by their (empty) vector: all neighbours
+similarity. Cosines count to ``DECIMALS``, so that scores don't depend on a
+text's place in a block. Texts without words score by their (empty) vector: all neighbours
 tie at cosine 0 and the share of label 1 in the sample decides.
 
 Defined results: null texts are empty; ties of similarity go to the earlier
-sample row (by hash of the key); repeated rows get equal scores; an empty table
-gives no rows; without labels every score is 0.5; further columns are kept by
-``classify`` and its own output names replace input columns of those names.
+sample row (by hash of the key); repeated rows get equal scores wherever they
+are; a very long text is counted whole; an empty table gives no rows; without
+labels every score is 0.5; of an id that repeats in the documents the least
+text is learnt from; further columns are kept by ``classify`` and its own output
+names replace input columns of those names.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ NEIGHBOURS = 15
 #: At most so many labelled rows of either class are learnt from.
 PER_CLASS = 2000
 BLOCK = 256
+DECIMALS = 9
 
 _UPPER = np.zeros(256, np.int64)
 _UPPER[65:91] = 1
@@ -82,7 +86,7 @@ class Neighbours:
     labels: np.ndarray
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
+        x = np.log1p(counts.astype(np.float64)) * self.idf
         for part, weight in ((slice(0, FORMS), 1.0), (slice(FORMS, None), WORD_WEIGHT)):
             norm = np.linalg.norm(x[:, part], axis=1, keepdims=True)
             x[:, part] *= weight / np.maximum(norm, 1e-12)
@@ -100,14 +104,14 @@ class Neighbours:
             return out
         k = min(NEIGHBOURS, n)
         for i in range(0, len(counts), BLOCK):
-            v = self.embed(counts[i : i + BLOCK])
-            near = v @ self.vectors.T
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            sim = np.take_along_axis(near, top, axis=1)
-            w = np.maximum(sim, 0.0) ** 4
-            empty = ~w.any(axis=1)
-            s = (w * self.labels[top]).sum(axis=1) / np.maximum(w.sum(axis=1), 1e-12)
-            out[i : i + BLOCK] = np.where(empty, self.labels.mean(), s)
+            near = np.round(self.embed(counts[i : i + BLOCK]) @ self.vectors.T, DECIMALS)
+            floor = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+            above, level = near > floor, near == floor
+            chosen = above | (level & (level.cumsum(axis=1, dtype=np.int32) <= k - above.sum(axis=1, keepdims=True)))
+            top = np.nonzero(chosen)[1].reshape(-1, k)  # k of every row, in the sample's order
+            w = np.maximum(np.take_along_axis(near, top, axis=1), 0.0) ** 4
+            s = (w * self.labels[top]).sum(axis=1) / np.maximum(w.sum(axis=1), 1e-300)
+            out[i : i + BLOCK] = np.where(w.any(axis=1), s, self.labels.mean())
         return np.clip(out, 0.0, 1.0)
 
 
@@ -125,12 +129,12 @@ def learn(rows: DataFrame) -> Neighbours:
     got = rows.select(F.xxhash64("key"), "text", "label").mapInArrow(count, "h long, label int, counts binary").toArrow().sort_by("h")
     labels = np.array(got["label"].to_pylist(), np.float64)
     counts = np.stack([np.frombuffer(c, np.uint16) for c in got["counts"].to_pylist()]).astype(np.float32) if len(labels) else np.zeros((0, FORMS + WORDS), np.float32)
-    idf = np.log((1.0 + len(counts)) / (1.0 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    model = Neighbours(idf, np.zeros((FORMS + WORDS, RANK), np.float32), np.zeros((0, RANK), np.float32), labels)
+    idf = np.log((1.0 + len(counts)) / (1.0 + (counts > 0).sum(axis=0))) + 0.1
+    model = Neighbours(idf, np.zeros((FORMS + WORDS, RANK)), np.zeros((0, RANK)), labels)
     if len(labels):
         x = model.weigh(counts)
-        _, basis = np.linalg.eigh((x.T @ x).astype(np.float64))
-        model.basis = np.ascontiguousarray(basis[:, ::-1][:, :RANK]).astype(np.float32)
+        _, basis = np.linalg.eigh(x.T @ x)
+        model.basis = np.ascontiguousarray(basis[:, ::-1][:, :RANK])
         model.vectors = model.embed(counts)
     return model
 

@@ -72,6 +72,24 @@ def test_blocked_cosines_equal_plain_ones():
         assert abs(got[i] - ((w * labels[top]).sum() / w.sum() if w.any() else labels.mean())) < 1e-5
 
 
+def test_ties_go_to_the_earlier_row_and_places_do_not_matter():
+    width = quality.FORMS + quality.WORDS
+    one = np.zeros((1, width), np.float32)
+    one[0, :5] = 1
+    labels = np.array([1.0] * quality.NEIGHBOURS + [0.0] * 385)
+    model = quality.Neighbours(np.ones(width), np.eye(width, 8), np.zeros((0, 8)), labels)
+    model.vectors = np.repeat(model.embed(one.copy()), 400, axis=0)
+    assert model.score(one.copy()).tolist() == [1.0]
+    rng = np.random.default_rng(1)
+    counts = rng.poisson(0.05, (600, width)).astype(np.float32)
+    model = quality.Neighbours(rng.random(width), rng.normal(size=(width, 48)), np.zeros((0, 48)), rng.integers(0, 2, 500).astype(float))
+    model.vectors = model.embed(counts[:500].copy())
+    scores = set()
+    for n in (1, 2, 3, 17, 64, 255, 256, 300):
+        scores.add(float(model.score(np.concatenate([counts[: n - 1], counts[550:551]]))[-1]))
+    assert len(scores) == 1
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
