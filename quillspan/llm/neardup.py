@@ -16,19 +16,30 @@ equal sets form a class; classes stand for their copies.
    documents have go that way. Sets that share what is left are connected by
    stars from the least class to the others: as many rows as signatures, never
    pairs. Connected components are families.
-3. Tiles. A family within ``TILE_MEMBERS`` and ``TILE_SHINGLES`` is one tile; a
-   larger one is cut into bands by size, bands into blocks by hash, and every
-   pair of blocks whose sizes may link is a tile. In a tile, ordered by size,
+3. Heads. In a family beyond ``TILE_MEMBERS`` or ``TILE_SHINGLES`` every member
+   is compared with one head, the class that shares most signatures: the text
+   that near copies were made of. Members linked to it are connected, so pairs
+   of them need no look.
+4. Tiles. A smaller family is one tile; of a larger one, members that are not
+   linked to the head are cut into bands by size, bands into blocks by hash, and
+   every pair of their blocks whose sizes may link is a tile, and so is each of
+   their blocks with each block of linked members. In a tile, ordered by size,
    ANDed bitmaps' bit counts bound overlaps from above; what passes and is not
    yet connected is intersected exactly as sorted arrays.
-4. Components of the links found, over classes, then over documents.
+5. Components of the links found, over classes, then over documents.
+
+A family of m near copies of one text costs m comparisons and rows, not m blocks
+of each. All rows of a signature are read by one task, as a stream of 16 bytes a
+class.
 
 Defined results: a text without words (or null, or empty) has an empty set and
 links with nothing, its component is its own id; texts with fewer words than a
-shingle are one shingle; repeated rows of an id are one class or linked by
-their id's rows only through texts; a null id takes part as a class but is
-returned with a null component; an empty table gives no rows; other columns
-are ignored.
+shingle are one shingle; a very long text is one set of all its shingles;
+repeated rows of an id are one class or linked by their id's rows only through
+texts; a row with a null id takes part like all others, links through it count,
+and it is returned with a null component_id; an empty table gives no rows; other
+columns are ignored. 64-bit hashes stand for shingles and sets: of n different
+sets about n * n / 2**65 pairs are taken for equal.
 """
 
 from __future__ import annotations
@@ -40,6 +51,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillspan.llm import textops
@@ -146,7 +158,7 @@ def signatures(members: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
 
 
 def _pass(df: DataFrame, key: str, text: str, width: int, threshold: tuple[int, int], sign: bool) -> DataFrame:
-    """Of every text key, n (set size) and class (hash of the set, 0 if empty); or signatures of classes, each once per task where memory allows."""
+    """Of every row key, at (hash of the text), n (set size) and class (hash of the set, 0 if empty); or signatures of classes, each once per task where memory allows."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +167,8 @@ def _pass(df: DataFrame, key: str, text: str, width: int, threshold: tuple[int,
             for i, j, sets in shingle_sets(batch.column(1), width):
                 classes = np.array([set_hash(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                 if not sign:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes)], [key, "n", "class"]
-                    )
+                    own = [batch.column(k).slice(i, j - i) for k in (0, 2)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(classes)], [key, "at", "n", "class"])
                     continue
                 sigs = [np.zeros(0, np.uint64)] * len(sets)
                 for k, (s, c) in enumerate(zip(sets, classes.tolist(), strict=True)):
@@ -169,7 +180,9 @@ def _pass(df: DataFrame, key: str, text: str, width: int, threshold: tuple[int,
                     [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(classes, [len(s) for s in sigs]))], ["sig", "class"]
                 )
 
-    return df.select(key, text).mapInArrow(run, "sig long, class long" if sign else f"`{key}` {kind}, n long, class long")
+    if sign:
+        return df.select(key, text).mapInArrow(run, "sig long, class long")
+    return df.select(key, text, F.xxhash64(text).alias("at")).mapInArrow(run, f"`{key}` {kind}, at long, n long, class long")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +226,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (sig, class) rows to edges from the least class of a signature to each other one."""
+    """Sorted (sig, class) rows to edges (a, b) from the least class of a signature to each other one, and (class, null, signatures)."""
     last, head = None, 0
     for batch in batches:
         sig, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -223,12 +236,15 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
         first = np.where(at >= 0, cls[np.maximum(at, 0)], head)
         edges = np.unique(np.stack([first[~new], cls[~new]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+        own, n = np.unique(cls, return_counts=True)
+        a, b = np.append(edges[:, 0], own), np.append(edges[:, 1], own)
+        counted = np.append(np.zeros(len(edges), np.int64), n)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=counted > 0), pa.array(counted)], ["a", "b", "n"])
         last, head = sig[-1], first[-1]
 
 
-def families(df: DataFrame, key: str, text: str, width: int, threshold: tuple[int, int]) -> DataFrame:
-    """(id, component) of classes that may link."""
+def families(df: DataFrame, key: str, text: str, width: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(id, component) of classes that may link, and (id, degree): how many signatures a class shares."""
     partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def by_signature(rows: DataFrame) -> DataFrame:
@@ -239,8 +255,9 @@ def families(df: DataFrame, key: str, text: str, width: int, threshold: tuple[in
     needed = F.element_at(F.array(*[F.lit(agree(differ(t, threshold))) for t in bands(threshold, 1 << 40)]), F.col("band") + 1)
     order = Window.partitionBy("class", "band").orderBy(F.desc("held"), "sig")
     kept = banded.withColumn("r", F.row_number().over(order)).where(F.col("r") >= needed).select("sig", "class")
-    stars = by_signature(kept).mapInArrow(_stars, "a long, b long")
-    return materialise(components(stars.distinct()), "families")
+    stars = materialise(by_signature(kept).mapInArrow(_stars, "a long, b long, n long"), "stars")
+    degrees = stars.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("degree"))
+    return materialise(components(stars.where("b is not null").select("a", "b")), "families"), degrees
 
 
 def bitmap(members: np.ndarray) -> np.ndarray:
@@ -293,59 +310,137 @@ def tile_links(sets: list[np.ndarray], threshold: tuple[int, int], side: np.ndar
     return links
 
 
+def _linked(a: np.ndarray, b: np.ndarray, threshold: tuple[int, int]) -> bool:
+    """Whether two non-empty sorted sets are as similar as the threshold."""
+    num, den = threshold
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if den * len(small) < num * len(large):
+        return False
+    place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    common = int((large[place] == small).sum())
+    return den * common >= num * (len(a) + len(b) - common)
+
+
+def against_heads(large: DataFrame, texts: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
+    """Members (family, class, n, doc, at, degree) of large families with ``head``, the family's, and whether they link to it.
+
+    Members are dealt to as many tasks as there are tiles of them; the head's
+    text goes to each.
+    """
+    heads = large.groupBy("family").agg(F.max_by(F.struct("class", "doc", "at"), F.struct("degree", "class")).alias("h"), F.count(F.lit(1)).alias("m"))
+    heads = heads.withColumn("parts", F.ceil(F.col("m") / TILE_MEMBERS).cast("int"))
+    numbered = large.join(heads.select("family", F.col("h.class").alias("head"), "parts"), "family")
+    members = numbered.withColumn("part", F.pmod("class", "parts").cast("int")).drop("parts", "degree").withColumn("kind", F.lit(1))
+    copies = heads.select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("h.class").alias("class"), "h.doc", "h.at")
+    rows = members.unionByName(copies.withColumns({"head": F.col("class"), "kind": F.lit(0), "n": F.lit(0).cast("long")}))
+    found = texts.withColumnsRenamed({"doc": "__doc", "at": "__at"}).join(rows, F.col("__doc").eqNullSafe(F.col("doc")) & (F.col("__at") == F.col("at")))
+    columns = ["family", "class", "n", "doc", "at", "head"]
+    schema = T.StructType([*[rows.schema[c] for c in columns], T.StructField("linked", T.BooleanType())])
+    parts = max(int(large.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = found.select("text", "kind", "part", *columns).repartition(parts, "family", "part").sortWithinPartitions("family", "part", "kind")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, held = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            for i, j, sets in shingle_sets(batch.column(0), width):
+                kind, cls, top = (batch.column(c).slice(i, j - i).to_numpy(zero_copy_only=False) for c in ("kind", "class", "head"))
+                linked = np.zeros(j - i, bool)
+                own = np.array([set_hash(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+                meant = own == cls  # of rows that share an id and a text's hash
+                for k in range(j - i):
+                    if meant[k] and kind[k] == 0:
+                        head, held = int(cls[k]), sets[k]
+                    elif meant[k]:
+                        linked[k] = head == top[k] and _linked(sets[k], held, threshold)
+                keep = pa.array(meant & (kind == 1))
+                part = batch.slice(i, j - i).select(columns).filter(keep)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(linked).filter(keep)], [*columns, "linked"])
+
+    return dealt.mapInArrow(compare, schema).dropDuplicates(["class"])
+
+
+TILE = ("family", "u", "i", "v", "j")
+
+
+def _tile(u, i, v, j, side):
+    return F.struct(F.col("family"), *[c.cast("int").alias(n) for n, c in (("u", u), ("i", i), ("v", v), ("j", j), ("side", side))])
+
+
+def _upto(n):
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def tiles(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Rows (family, class, n, doc) to rows with tile and side: 0 in tiles of one block or two, else which of the two."""
+    """Members (family, class, n, doc, at, linked) to rows with tile and side: 0 in tiles of one block or two, else which of the two.
+
+    ``linked`` is null in families of one tile. Bands are powers of 1/t, so sets link within a band or the next.
+    """
     num, den = threshold
     den = den if den > num else num + 1  # equal sets only: any ratio will do
-    limits = members.groupBy("family").agg(F.count(F.lit(1)).alias("__m"), F.sum("n").alias("__s"))
-    sized = members.join(limits, "family")
-    small = (F.col("__m") <= TILE_MEMBERS) & (F.col("__s") <= TILE_SHINGLES)
-    whole = sized.where(small).select("class", "n", "doc", F.array(F.struct(F.col("family"), *[F.lit(0).alias(c) for c in ("u", "i", "v", "j", "side")])).alias("ts"))
-    # A large family: bands are powers of 1/t, so sets link within a band or the next.
+    whole = members.where("linked is null").select("class", "n", "doc", "at", F.array(_tile(*[F.lit(0)] * 5)).alias("ts"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("int")  # powers round down alike
-    large = sized.where(~small).withColumn("band", band)
-    volume = large.groupBy("family", "band").agg(
-        F.greatest(
-            F.ceil(2 * F.count(F.lit(1)) / TILE_MEMBERS), F.ceil(2 * F.sum("n") / TILE_SHINGLES), F.lit(1)
-        ).cast("int").alias("blocks")
-    )
-    near = large.join(volume, ["family", "band"])
-    for step, name in ((1, "above"), (-1, "below")):
-        other = volume.select("family", (F.col("band") - step).alias("band"), F.col("blocks").alias(name))
-        near = near.join(other, ["family", "band"], "left")
+    large = members.where("linked is not null").withColumn("band", band)
+    size = F.greatest(F.ceil(2 * F.count(F.lit(1)) / TILE_MEMBERS), F.ceil(2 * F.sum("n") / TILE_SHINGLES), F.lit(1)).cast("int")
+    volume = large.groupBy("family", "band", "linked").agg(size.alias("blocks"))
+    near = large.join(volume, ["family", "band", "linked"])
+    for step, name in ((0, "level"), (1, "above"), (-1, "below")):
+        # Of members that are not linked to the head, and of those that are.
+        for kind in (False, True):
+            other = volume.where(F.col("linked") == kind).select("family", (F.col("band") - step).alias("band"), F.col("blocks").alias(f"{name}_{kind}"))
+            near = near.join(other, ["family", "band"], "left")
     own = F.pmod(F.col("class"), F.col("blocks").cast("long")).cast("int")
+    b = F.col("band")
 
-    def tile(u, i, v, j, side):
-        return F.struct(F.col("family"), u.cast("int").alias("u"), i.cast("int").alias("i"), v.cast("int").alias("v"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    def blocks(name: str, kind: bool):
+        return _upto(F.coalesce(f"{name}_{kind}", F.lit(0)))
 
-    def upto(n):
-        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-    same = F.transform(upto(F.col("blocks")), lambda q: tile(F.col("band"), F.least(q, own), F.col("band"), F.greatest(q, own), F.when(q == own, 0).when(q > own, 1).otherwise(2)))
-    above = F.transform(upto(F.coalesce("above", F.lit(0))), lambda q: tile(F.col("band"), own, F.col("band") + 1, q, F.lit(1)))
-    below = F.transform(upto(F.coalesce("below", F.lit(0))), lambda q: tile(F.col("band") - 1, q, F.col("band"), own, F.lit(2)))
-    grid = near.select("class", "n", "doc", F.concat(same, above, below).alias("ts"))
-    return whole.unionByName(grid).select("class", "doc", F.explode("ts").alias("t")).select("class", "doc", "t.*")
+    same = F.transform(blocks("level", False), lambda q: _tile(b, F.least(q, own), b, F.greatest(q, own), F.when(q == own, 0).when(q > own, 1).otherwise(2)))
+    above = F.transform(blocks("above", False), lambda q: _tile(b, own, b + 1, q, F.lit(1)))
+    below = F.transform(blocks("below", False), lambda q: _tile(b - 1, q, b, own, F.lit(2)))
+    # Pairs of a block of either kind; told from the others by negative bands.
+    steps = (("level", 0), ("above", 1), ("below", -1))
+    free = F.concat(same, above, below, *[F.transform(blocks(n, True), lambda q, d=d: _tile(-1 - b, own, b + d, q, F.lit(1))) for n, d in steps])
+    bound = F.concat(*[F.transform(blocks(n, False), lambda q, d=d: _tile(-1 - (b + d), q, b, own, F.lit(2))) for n, d in steps])
+    grid = near.select("class", "n", "doc", "at", F.when(F.col("linked"), bound).otherwise(free).alias("ts"))
+    return whole.unionByName(grid).select("class", "doc", "at", F.explode("ts").alias("t")).select("class", "doc", "at", "t.*")
 
 
 def classes_linked(df: DataFrame, key: str, text: str, width: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """Features of every row, and (id, component) for classes on a link."""
     feats = materialise(_pass(df, key, text, width, threshold, False), "classes")
-    joined = families(df, key, text, width, threshold)
-    reps = feats.where("n > 0").groupBy("class").agg(F.min(key).alias("doc"), F.first("n").alias("n"))
+    joined, degrees = families(df, key, text, width, threshold)
+    # A row of every class, told by id and text, so that rows without an id are found, too.
+    least = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("doc"), "at")).alias("r")
+    reps = feats.where("n > 0").groupBy("class").agg(least, F.max("n").alias("n")).select("class", "n", "r.doc", "r.at")
     members = joined.select(F.col("id").alias("class"), F.col("component").alias("family")).join(reps, "class")
-    placed = materialise(tiles(members, threshold), "tiles")
-    texts = df.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    keys = ["family", "u", "i", "v", "j"]
+    limits = members.groupBy("family").agg(F.count(F.lit(1)).alias("__m"), F.sum("n").alias("__s"))
+    beyond = (F.col("__m") > TILE_MEMBERS) | (F.col("__s") > TILE_SHINGLES)
+    sized = materialise(members.join(limits, "family").select("family", "class", "n", "doc", "at", beyond.alias("beyond")), "members")
+    texts = df.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("at"))
+    large = sized.where("beyond").drop("beyond")
+    placed = sized.where("not beyond").drop("beyond").withColumn("linked", F.lit(None).cast("boolean"))
+    to_heads = None
+    if large.limit(1).count():
+        judged = large.join(degrees.withColumnRenamed("id", "class"), "class").select(*large.columns, "degree")
+        compared = materialise(against_heads(judged, texts, width, threshold), "heads")
+        to_heads = compared.where("linked and class <> head").select(F.col("head").alias("a"), F.col("class").alias("b"))
+        placed = placed.unionByName(compared.drop("head"))
+    dealt = materialise(tiles(placed, threshold), "tiles")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, ...]] = set()  # a class stands once in a tile, however many rows its id and text have
         for batch in batches:
             for i, j, sets in shingle_sets(batch.column(0), width):
                 rest = batch.slice(i, j - i).select([1, 2, 3, 4, 5, 6, 7])
                 own = np.array([set_hash(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                keep = np.flatnonzero(own == rest.column(0).to_numpy())  # of rows that share an id, the one meant
-                rest = rest.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([sets[k].tobytes() for k in keep.tolist()], pa.binary())], [*rest.schema.names, "members"])
+                keep = []
+                for k, place in enumerate(zip(*[c.to_pylist() for c in rest.columns], strict=True)):
+                    if own[k] == place[0] and place not in seen:
+                        if len(seen) < 200_000:
+                            seen.add(place)
+                        keep.append(k)
+                rest = rest.take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([sets[k].tobytes() for k in keep], pa.binary())], [*rest.schema.names, "members"])
 
     def link(group: pa.Table) -> pa.Table:
         cls, first = np.unique(group["class"].to_numpy(), return_index=True)
@@ -355,31 +450,58 @@ def classes_linked(df: DataFrame, key: str, text: str, width: int, threshold: tu
         found = tile_links(sets, threshold, side if side.any() else None)
         return pa.table({"a": pa.array([cls[x] for x, _ in found], pa.int64()), "b": pa.array([cls[y] for _, y in found], pa.int64())})
 
+    meant = F.col("__doc").eqNullSafe(F.col("doc")) & (F.col("__at") == F.col("at"))
     tiled = (
-        texts.join(placed.hint("merge"), "doc")  # one plan at every size
-        .select("text", "class", *keys, "side")
+        texts.withColumnsRenamed({"doc": "__doc", "at": "__at"})
+        .join(dealt.hint("merge"), meant)  # one plan at every size
+        .select("text", "class", *TILE, "side")
         .mapInArrow(sets_of, "class long, family long, u int, i int, v int, j int, side int, members binary")
     )
-    links = tiled.groupBy(*keys).applyInArrow(link, "a long, b long")
-    return feats, components(links)
+    links = tiled.groupBy(*TILE).applyInArrow(link, "a long, b long")
+    return feats, components(links if to_heads is None else links.unionByName(to_heads))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """key, n_shingles, component_id (the least key of the document's component)."""
+    return near_groups(df, key, text, width, threshold).drop("at", "component")
+
+
+def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """As ``near_duplicates``, with at (``xxhash64`` of the text) and component, which names the group of all rows, those without a key, too; null for empty sets."""
     if not 0 < threshold[0] <= threshold[1]:
         raise ValueError("the threshold is a share above 0")
     feats, linked = classes_linked(df, key, text, width, threshold)
     base = feats.where("n > 0").groupBy("class").agg(F.min(key).alias("__least"))
-    grouped = base.join(linked.withColumnRenamed("id", "class"), "class", "left").withColumn("__c", F.coalesce("component", "class"))
+    grouped = base.join(linked.withColumnRenamed("id", "class"), "class", "left").withColumn("__c", F.coalesce("component", "class")).drop("component")
     least = grouped.groupBy("__c").agg(F.min("__least").alias("component_id"))
-    of_class = grouped.join(least, "__c").select(F.col("class").alias("__class"), "component_id")
+    of_class = grouped.join(least, "__c").select(F.col("class").alias("__class"), "component_id", F.col("__c").alias("component"))
     return (
-        feats.select(key, "n", "class")
+        feats.select(key, "at", "n", "class")
         .join(of_class, (F.col("class") == F.col("__class")) & (F.col("n") > 0), "left")
-        .select(key, F.col("n").alias("n_shingles"), F.when(F.col(key).isNotNull(), F.coalesce("component_id", key)).alias("component_id"))
+        .select(key, F.col("n").alias("n_shingles"), F.when(F.col(key).isNotNull(), F.coalesce("component_id", key)).alias("component_id"), "at", "component")
     )
 
 
+def keep_one(df: DataFrame, near: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` without near duplicates, by its ``near_groups``: of every component one row, that with the least key (a null one last), then text's hash.
+
+    Rows are told by key and text, so rows of a repeated key are judged each by
+    its own text, and of rows with equal key and text one stays. Texts without
+    words belong to no component and stay.
+    """
+    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "at")
+    judged = near.where("component is not null").select(key, "at", "component")
+    counted = judged.groupBy(key, "at", "component").agg(F.count(F.lit(1)).alias("n"))
+    best = judged.groupBy("component").agg(F.min(place).alias("best"))
+    verdict = counted.join(best, "component").select(F.col(key).alias("__key"), F.col("at").alias("__at"), "n", (place == F.col("best")).alias("stays"))
+    verdict = materialise(verdict.where("not stays or n > 1"), "verdict")
+    rows = df.withColumn("__own", F.xxhash64(text))
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__at"))
+    rest = rows.join(verdict, same, "left_anti")
+    once = rows.join(verdict.where("stays"), same, "left_semi").dropDuplicates([key, "__own"])
+    return rest.unionByName(once).drop("__own")
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, "doc_id", "text", 4, (85, 100))

@@ -44,6 +44,49 @@ def test_large_families_are_cut_into_tiles(spark, monkeypatch):
         assert got == N.brute_force(rows, width, threshold)
 
 
+def test_near_copies_of_one_text_take_linear_rows(spark, monkeypatch):
+    """Copies that link to their original, but not to one another; and some that only link to a copy."""
+    base = [f"v{i}" for i in range(300)]
+
+    def changed(*places):
+        return [f"u{i}" if i in places else w for i, w in enumerate(base)]
+
+    texts = [base, *[changed(i, 299 - i, 100 + i) for i in range(0, 60)], changed(0, 299, 100, 20, 40, 60, 80)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    counts = []
+    placed = N.tiles
+    monkeypatch.setattr(N, "TILE_MEMBERS", 4)
+    monkeypatch.setattr(N, "tiles", lambda *a: counts.append(placed(*a).count()) or placed(*a))
+    got = sorted(tuple(r) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 4, (85, 100)).collect())
+    assert got == N.brute_force(rows, 4, (85, 100)) and {r[2] for r in got} == {0}
+    # 62 members in blocks of 2 would take 62 x 31 rows.
+    assert counts[0] < 8 * len(rows)
+
+
+def test_links_through_a_row_without_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, n, c = words, words[:-2] + ["x", "y"], [*words[:-2], "x", "y"][3:]
+    for ids in ((1, None, 3), (None, 2, None)):
+        rows = [(i, " ".join(t)) for i, t in zip(ids, (a, n, c), strict=True)]
+        df = spark.createDataFrame(rows * 2 + [(None, "z"), (None, None)], "doc_id long, text string")
+        got = N.near_groups(df, "doc_id", "text", 4, (85, 100)).collect()
+        named = {r.doc_id for r in got} - {None}
+        linked = N.brute_force([(k, t) for k, (_, t) in enumerate(rows)], 4, (85, 100))
+        assert len({x[2] for x in linked}) == 1
+        assert {r.component_id for r in got if r.doc_id in named} == {min(named)}
+        assert len({r.component for r in got if r.n_shingles > 1}) == 1 and sum(r.component is None for r in got) == 1
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(5, text, "a"), (5, text, "a"), (5, other, "b"), (6, text + " end", "c"), (7, other + " end", "d"), (None, text, "e"), (None, "lone words", "f"), (None, "lone words", "f"), (8, None, "g"), (8, None, "g"), (2, "more lone words", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, At string")
+    got = N.keep_one(df, N.near_groups(df)).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.At) for r in got) == sorted([(5, text, "a"), (5, other, "b"), (0, "lone words", "f"), (8, "", "g"), (8, "", "g"), (2, "more lone words", "h")])
+    assert N.keep_one(df.limit(0), N.near_groups(df.limit(0))).collect() == []
+
+
 def test_equal_sets_only(spark):
     rows = [(1, "a b c d e f"), (2, "A  b c d e f"), (3, "a b c d e"), (4, "a b c d e f g")]
     got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=(1, 1))
