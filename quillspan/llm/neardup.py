@@ -398,9 +398,16 @@ def tiles(members: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     above = F.transform(blocks("above", False), lambda q: _tile(b, own, b + 1, q, F.lit(1)))
     below = F.transform(blocks("below", False), lambda q: _tile(b - 1, q, b, own, F.lit(2)))
     # Pairs of a block of either kind; told from the others by negative bands.
-    steps = (("level", 0), ("above", 1), ("below", -1))
-    free = F.concat(same, above, below, *[F.transform(blocks(n, True), lambda q, d=d: _tile(-1 - b, own, b + d, q, F.lit(1))) for n, d in steps])
-    bound = F.concat(*[F.transform(blocks(n, False), lambda q, d=d: _tile(-1 - (b + d), q, b, own, F.lit(2))) for n, d in steps])
+    steps = (("level", b), ("above", b + 1), ("below", b - 1))
+
+    def with_linked(name: str, other):
+        return F.transform(blocks(name, True), lambda q: _tile(-1 - b, own, other, q, F.lit(1)))
+
+    def with_free(name: str, other):
+        return F.transform(blocks(name, False), lambda q: _tile(-1 - other, q, b, own, F.lit(2)))
+
+    free = F.concat(same, above, below, *[with_linked(*step) for step in steps])
+    bound = F.concat(*[with_free(*step) for step in steps])
     grid = near.select("class", "n", "doc", "at", F.when(F.col("linked"), bound).otherwise(free).alias("ts"))
     return whole.unionByName(grid).select("class", "doc", "at", F.explode("ts").alias("t")).select("class", "doc", "at", "t.*")
 

@@ -63,6 +63,20 @@ def test_near_copies_of_one_text_take_linear_rows(spark, monkeypatch):
     assert counts[0] < 8 * len(rows)
 
 
+def test_links_of_free_members_to_linked_ones(spark, monkeypatch):
+    """Chains of growing texts beside a head: links between members that the head knows and others, in every band."""
+    rng = random.Random(4)
+    base = [f"v{i}" for i in range(120)]
+    texts = [base + [f"t{j}" for j in range(i)] for i in range(0, 70, 3)]
+    texts += [[f"u{i}" if k == i else w for k, w in enumerate(base)] + [f"t{j}" for j in range(rng.randint(0, 60))] for i in range(0, 120, 4)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    monkeypatch.setattr(N, "TILE_MEMBERS", 3)
+    for threshold in ((80, 100), (93, 100)):
+        got = sorted(tuple(r) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 2, threshold).collect())
+        assert got == N.brute_force(rows, 2, threshold)
+
+
 def test_links_through_a_row_without_id(spark):
     words = [f"w{i}" for i in range(60)]
     a, n, c = words, words[:-2] + ["x", "y"], [*words[:-2], "x", "y"][3:]
