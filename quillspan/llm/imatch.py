@@ -1,11 +1,11 @@
 """I-Match fingerprints of documents, in DataFrame functions only.
 
-Lexicon. A term's slot is its hash in a table of ``SLOTS`` places. A slot's
-document frequency counts the documents that hold a term of it; slots within
-the band of inverse document frequencies, MIN_SHARE to MAX_SHARE of the
-documents, are the lexicon: a bit set of fixed size whatever the corpus. Rare
-terms add to a slot at most (terms per document / SLOTS) of the documents,
-independent of the corpus's size and far below MIN_SHARE.
+Lexicon. Every term's document frequency is counted (by its 64-bit hash); terms
+within the band of inverse document frequencies, MIN_SHARE to MAX_SHARE of the
+documents, are the lexicon: at most (terms per document) / MIN_SHARE of them,
+whatever the number of documents. In the plan they are a constant bit set, BITS
+for each and two of them set (a Bloom filter), so a term beyond the lexicon
+passes for one of it with odds below 0.4 %, equally in all texts.
 
 Fingerprint. A text's distinct terms within the lexicon are sorted by hash; each
 randomised subset of the lexicon (``SUBSETS``) keeps a share of the terms by
@@ -17,12 +17,16 @@ if the fingerprints are equal.
 
 Defined results: a null text is empty; an empty text, or one without terms in
 the lexicon, has the fingerprint of empty subsets; equal texts have equal
-fingerprints; documents are ordered by id (null first), then text; the last one's next is the
-first, and a lone document's next is itself; an empty table gives no rows.
+fingerprints; a very long text is split whole, in its row; documents are ordered
+by id (null first), then text; the last one's next is the first, and a lone
+document's next is itself; an empty table gives no rows. Rows of one id, or
+without one, are ordered within one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,12 +34,15 @@ from pyspark.sql.window import Window
 
 from quillspan.llm.common import table
 
-SLOTS = 1 << 20
+#: Bits of the lexicon's bit set for each term of it.
+BITS = 32
 #: The band: -log of these shares of the documents.
 MIN_SHARE, MAX_SHARE = 0.001, 0.25
-#: (w, n): n randomised subsets, each of one in 2**w of the lexicon's terms, told by w bits of a term's hash above those of the slot.
+#: (w, n): n randomised subsets, each of one in 2**w of the lexicon's terms; w bits of a term's hash, from FIRST_BIT on and after those of the widths before, say which.
 SUBSETS = ((0, 1), (4, 4), (6, 7), (8, 5), (10, 4))
-FIRST_BIT = 20
+FIRST_BIT = 24
+#: Where the second bit of the bit set comes from.
+SECOND_BIT = 36
 #: Documents in a stretch of ids; the stretches' first ids are at most MAX_BOUNDS x MAX_BOUNDS.
 STRETCH, MAX_BOUNDS = 2000, 256
 #: Words of digits, letters and what isn't ASCII.
@@ -43,45 +50,66 @@ NOT_TERM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def term_hashes(text: Column) -> Column:
-    """Hashes of a text's terms, with repeats."""
+    """Hashes of a text's terms, with repeats; of a text that begins or ends with separators that of the empty text, too."""
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.transform(F.filter(F.split(lower, NOT_TERM), lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.transform(F.split(lower, NOT_TERM), lambda w: F.xxhash64(w))
 
 
-def slot(h: Column) -> Column:
-    return F.pmod(h, F.lit(SLOTS)).cast("int")
+def band_terms(texts: DataFrame, text: str) -> np.ndarray:
+    """Hashes of the terms within the band."""
+    terms = texts.select(F.explode(F.array_distinct(term_hashes(F.col(text)))).alias("h")).where(F.col("h") != F.xxhash64(F.lit("")))
+    n = max(texts.count(), 1)
+    chosen = terms.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= MIN_SHARE * n) & (F.col("df") <= MAX_SHARE * n))
+    return chosen.select("h").toArrow()["h"].to_numpy()
 
 
-def lexicon(texts: DataFrame, text: str) -> Column:
-    """The band's slots as a constant array of SLOTS / 64 longs; as many rows at most come to the driver."""
-    slots = F.array_distinct(F.transform(term_hashes(F.col(text)), slot))
-    counts = texts.select(F.explode(slots).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    n = max(texts.count(), 1)
-    chosen = counts.where((F.col("df") >= MIN_SHARE * n) & (F.col("df") <= MAX_SHARE * n))
-    words = chosen.groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, s & 63))").alias("b"))
-    bits = np.zeros(SLOTS // 64, np.int64)
-    for w, b in words.collect():
-        bits[w] = b
-    return F.lit(bits)
+def bit_set(terms: np.ndarray) -> np.ndarray:
+    """Longs with two bits set for each term; their number is a power of two."""
+    size = 1 << max(BITS * len(terms) - 1, 1023).bit_length()
+    bits = np.zeros(size // 64, np.uint64)
+    for shift in (0, SECOND_BIT):
+        at = (terms.view(np.uint64) >> np.uint64(shift)) & np.uint64(size - 1)
+        np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return bits.view(np.int64)
+
+
+def lexicon(texts: DataFrame, text: str) -> np.ndarray:
+    """The band's bit set."""
+    return bit_set(band_terms(texts, text))
 
 
-def in_lexicon(h: Column, bits: Column) -> Column:
-    s = slot(h)
-    return F.getbit(F.get(bits, F.shiftright(s, 6)), s.bitwiseAND(63)) == 1
+def in_lexicon(h: Column, bits: Column, size: int) -> Column:
+    def on(shift: int) -> Column:
+        at = F.shiftrightunsigned(h, shift).bitwiseAND(size - 1) if shift else h.bitwiseAND(size - 1)
+        return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
 
+    return on(0) & on(SECOND_BIT) & (h != F.xxhash64(F.lit("")))
 
-def fingerprint(df: DataFrame, text: str, bits: Column, to: str) -> DataFrame:
+
+def fingerprint(df: DataFrame, text: str, bits: np.ndarray, to: str) -> DataFrame:
     """Adds ``to``: an array with one hash per randomised subset of the lexicon, 0 where the text has none of its terms."""
-    terms = F.array_sort(F.array_distinct(F.filter(term_hashes(F.col(text)), lambda h: in_lexicon(h, bits))))
-    held = df.withColumn("__terms", terms)
+    constant = F.lit(bits)
+    found = F.filter(term_hashes(F.col(text)), lambda h: in_lexicon(h, constant, 64 * len(bits)))
+    held = df.withColumn("__terms", F.array_sort(F.array_distinct(found)))
+    # Terms of any subset of a width are picked once; the subsets then look at those few.
+    at, bit = {}, FIRST_BIT
+    for width, n in SUBSETS:
+        at[width] = bit
+        bit += width
+        if width:
+            held = held.withColumn(f"__terms{width}", _picked("__terms", at[width], width, lambda i, n=n: i < n))
 
     def part(width: int, number: int) -> Column:
-        kept = F.col("__terms")
-        if width:
-            kept = F.filter("__terms", lambda h: F.shiftrightunsigned(h, FIRST_BIT + width * number).bitwiseAND((1 << width) - 1) == 0)
+        kept = _picked(f"__terms{width}", at[width], width, lambda i: i == number) if width else F.col("__terms")
         return F.when(F.size(kept) > 0, F.xxhash64(F.lit(100 * width + number), kept)).otherwise(F.lit(0).cast("long"))
 
-    return held.withColumn(to, F.array(*[part(w, i) for w, n in SUBSETS for i in range(n)])).drop("__terms")
+    marked = held.withColumn(to, F.array(*[part(w, i) for w, n in SUBSETS for i in range(n)]))
+    return marked.drop("__terms", *[f"__terms{w}" for w, _ in SUBSETS if w])
+
+
+def _picked(terms: str, bit: int, width: int, chosen: Callable[[Column], Column]) -> Column:
+    """The terms whose number by ``width`` bits of their hash is chosen."""
+    return F.filter(terms, lambda h: chosen(F.shiftrightunsigned(h, bit).bitwiseAND((1 << width) - 1)))
 
 
 def as_text(hashes: Column) -> Column:

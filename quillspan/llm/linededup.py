@@ -16,14 +16,18 @@
    exact: pairs of line and such ends are made distinct before they meet.
 4. Removal. A line on at least ``min_sites`` sites goes from all documents but
    stays once in the document with the least id (its first place there), so no
-   text is lost to the corpus. Only hashes travel to the documents; the text is
-   rebuilt in its row.
+   text is lost to the corpus. Only hashes travel to the documents, by id and
+   hash of the text; the text is rebuilt in its row.
 
 Defined results: empty lines (after trimming) always stay; a null text has no
 lines and stays null; a null site counts for no line; a null id is never the
-first; rows that share an id are treated alike, each as a whole; a text all of
-whose lines go becomes empty; an empty table gives no rows; further columns are
-kept, and the operator's own output names replace input columns of those names.
+first, and a line that only rows without an id hold stays in all of them; rows
+that share an id are judged each by its own text, and all of them are the least
+if their id is; a text all of whose lines go becomes empty; a very long text is
+split whole, in its row; an empty table gives no rows; further columns are kept,
+and the operator's own output names replace input columns of those names.
+64-bit hashes stand for lines: of n different lines about n * n / 2**65 pairs
+are taken for equal.
 """
 
 from __future__ import annotations
@@ -54,7 +58,7 @@ def _spread(lines: DataFrame, min_sites: int) -> DataFrame:
     near = candidates.where(F.col("sites") <= high).select("h", "first")
     pairs = lines.groupBy("h", "site").agg(F.count(F.lit(1)).alias("n")).where("site is not null")
     counted = pairs.join(near, "h").groupBy("h").agg(F.count(F.lit(1)).alias("sites"), F.min("first").alias("first"))
-    return clear.unionByName(counted.where(F.col("sites") >= min_sites).select("h", "first"))
+    return clear.unionByName(counted.where(F.col("sites") >= min_sites).select("h", "first")).where("first is not null")
 
 
 def _repeated(lines: DataFrame, least_words: int) -> DataFrame:
@@ -62,7 +66,7 @@ def _repeated(lines: DataFrame, least_words: int) -> DataFrame:
     pairs = lines.groupBy("h", "ends").agg(F.min("id").alias("first"), F.min("words").alias("words"))
     counted = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("documents"), F.min("first").alias("first"), F.min("words").alias("words"))
     enough = (F.col("documents") >= LEAST_DOCUMENTS) & (F.col("documents") * F.col("words") >= least_words)
-    return counted.where(enough).select("h", "first")
+    return counted.where(enough & F.col("first").isNotNull()).select("h", "first")
 
 
 def _ends(h: Column) -> Column:
@@ -81,32 +85,33 @@ def drop_boilerplate(
     """All columns, the text without boilerplate lines, with n_lines, n_removed and emptied (only blank lines are left)."""
     split = F.split(F.col(text), "\n")
     kept_lines = F.filter(split, lambda x: F.btrim(x, F.lit(BLANK)) != "")
-    own = [F.col(key).alias("id"), F.when(F.col(site).isNotNull(), F.xxhash64(F.col(site))).alias("site")]
+    own = [F.col(key).alias("id"), F.xxhash64(text).alias("at"), F.when(F.col(site).isNotNull(), F.xxhash64(F.col(site))).alias("site")]
     # Texts are split and hashed once; what follows reads the hashes three times.
     if least_words is None:
         hashed = df.select(*own, F.array_distinct(F.transform(kept_lines, line_hash)).alias("hs"))
-        lines = materialise(hashed.select("id", "site", F.size("hs").alias("of"), F.explode("hs").alias("h")), "lines")
+        lines = materialise(hashed.select("id", "at", "site", F.size("hs").alias("of"), F.explode("hs").alias("h")), "lines")
         spread = _spread(lines, min_sites)
     else:
         trimmed = F.transform(kept_lines, lambda x: F.btrim(x, F.lit(BLANK)))
         listed = df.select(*own, F.sort_array(F.array_distinct(trimmed)).alias("sorted"))
-        single = listed.select("id", "site", F.size("sorted").alias("of"), "sorted", F.explode("sorted").alias("line"))
+        single = listed.select("id", "at", "site", F.size("sorted").alias("of"), "sorted", F.explode("sorted").alias("line"))
         h = F.xxhash64("line")
         words = F.size(F.split("line", f"[{BLANK}]+"))
-        lines = materialise(single.select("id", "site", "of", h.alias("h"), words.alias("words"), _ends(h).alias("ends")), "lines")
+        lines = materialise(single.select("id", "at", "site", "of", h.alias("h"), words.alias("words"), _ends(h).alias("ends")), "lines")
         spread = _spread(lines, min_sites).unionByName(_repeated(lines, least_words)).dropDuplicates(["h"])
     flagged = (
-        lines.select("id", "of", "h")
+        lines.select("id", "at", "of", "h")
         .join(spread, "h")
-        .groupBy("id")
+        .groupBy("id", "at")
         .agg(
             F.collect_set("h").alias("__gone"),
             F.collect_set(F.when(F.col("id") == F.col("first"), F.col("h"))).alias("__once"),
             F.max("of").alias("__of"),
         )
-        .withColumnRenamed("id", "__id")
+        .withColumnsRenamed({"id": "__id", "at": "__at"})
     )
-    rows = without(df, "n_lines", "n_removed", "emptied").join(flagged, F.col(key).eqNullSafe(F.col("__id")), "left")
+    same = F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__at"))
+    rows = without(df, "n_lines", "n_removed", "emptied").join(flagged, same, "left")
     rows = rows.withColumn("__hashes", F.when(F.col("__gone").isNotNull(), F.transform(split, line_hash)))
 
     def stays(line: Column, i: Column) -> Column:
@@ -128,7 +133,7 @@ def drop_boilerplate(
             "n_removed": F.coalesce(F.size(split) - F.size("__kept"), F.lit(0)).cast("long"),
             text: F.when(F.col("__gone").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col(text)),
         }
-    ).drop("__id", "__gone", "__once", "__hashes", "__kept")
+    ).drop("__id", "__at", "__of", "__gone", "__once", "__hashes", "__kept")
 
 
 def _result(cleaned: DataFrame) -> DataFrame:

@@ -68,6 +68,13 @@ def test_line_counts(spark):
     assert got == {("a\nb", False), ("own", False), (" ", True)}
 
 
+def test_lines_under_null_ids(spark):
+    rows = [(None, f"only null\nown {i}", f"s{i}") for i in range(12)] + [(None, "both\nx", "s1"), (7, "both\ny", "s2"), (7, "both\nz", "s3"), (8, "both", "s4")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id or 0, r.text, r.emptied) for r in linededup.drop_boilerplate(df, min_sites=4).collect())
+    assert got == sorted([(0, f"only null\nown {i}", False) for i in range(12)] + [(0, "x", False), (7, "both\ny", False), (7, "both\nz", False), (8, "", True)])
+
+
 def test_lines_of_few_sites_go_by_documents(spark):
     long, short = "a line of eight words on one site", "Ja."
     copies = [(i, f"opening\n{'same text of a copied document ' * 4}\nclosing", "s1") for i in range(40, 60)]
@@ -111,6 +118,15 @@ def test_fingerprints(spark, monkeypatch):
     assert [r[0] for r in shared.select(imatch.likeness(F.col("a"), F.col("b"))).collect()] == [1 / 3, 1.0, 0.0]
 
 
+def test_rare_terms_do_not_enter_the_lexicon(spark, monkeypatch):
+    """Texts of many terms that no other text has; the band holds the shared ones alone."""
+    texts = [" ".join([*(f"own{i}x{k}" for k in range(1500)), f"shared{i % 20}"]) for i in range(60)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    monkeypatch.setattr(imatch, "MIN_SHARE", 0.04)
+    terms = imatch.band_terms(df, "text")
+    assert {int(h) % 2**64 for h in terms} == {xx(f"shared{i}".encode()) for i in range(20)}
+
+
 @pytest.mark.parametrize(("n", "stretch"), [(0, 5), (1, 5), (2, 5), (40, 5), (200, 7), (60, 1000)])
 def test_next_documents(spark, monkeypatch, n, stretch):
     monkeypatch.setattr(imatch, "STRETCH", stretch)
@@ -200,23 +216,28 @@ def signed(x):
 
 def imatch_model(texts):
     """Fingerprint hashes of texts by plain Python, with a function for further texts."""
-    hashed = [{signed(xx(w.encode())) for w in words_of(t)} for t in texts]
     df = {}
-    for hs in hashed:
-        for s in {h % imatch.SLOTS for h in hs}:
-            df[s] = df.get(s, 0) + 1
-    band = {s for s, n in df.items() if imatch.MIN_SHARE * len(texts) <= n <= imatch.MAX_SHARE * len(texts)}
+    for t in texts:
+        for h in {xx(w.encode()) for w in words_of(t)}:
+            df[h] = df.get(h, 0) + 1
+    band = {h for h, n in df.items() if imatch.MIN_SHARE * len(texts) <= n <= imatch.MAX_SHARE * len(texts)}
+    size = 1024
+    while size < imatch.BITS * len(band):
+        size *= 2
+    on = {h % size for h in band} | {(h >> imatch.SECOND_BIT) % size for h in band}
 
     def fingerprint(text):
-        terms = sorted(h for h in {signed(xx(w.encode())) for w in words_of(text)} if h % imatch.SLOTS in band)
-        out = []
+        hashed = {xx(w.encode()) for w in words_of(text)}
+        terms = sorted((h for h in hashed if h % size in on and (h >> imatch.SECOND_BIT) % size in on), key=signed)
+        out, bit = [], imatch.FIRST_BIT
         for width, n in imatch.SUBSETS:
             for i in range(n):
-                kept = [h for h in terms if not width or (h % 2**64 >> (imatch.FIRST_BIT + width * i)) % 2**width == 0]
+                kept = [h for h in terms if not width or (h >> bit) % 2**width == i]
                 value = xx((100 * width + i).to_bytes(4, "little"))
                 for h in kept:
-                    value = xx((h % 2**64).to_bytes(8, "little"), value)
+                    value = xx(h.to_bytes(8, "little"), value)
                 out.append(value if kept else 0)
+            bit += width
         return out
 
     return fingerprint
