@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.llm import chat, decontaminate, imatch, linededup, neardup, packing, quality, sharding, tokencount, toxicity
@@ -34,7 +33,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_sharding": sharding.op9_sharding,
         "op10_toxicity": toxicity.op10_toxicity,
-        "pipeline": corpus_pipeline.run,
     }
     return {name: _prepared(query) for name, query in own.items()}
 
