@@ -2,8 +2,11 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's documents. All but the last return
-the columns of documents, with n_chars of the text as it then stands. Empty
-tables pass through; null texts are kept by every filter but pack as empty.
+the columns of documents, with n_chars of the text as it then stands.
+
+Defined results: empty tables pass through; a null text is judged for quality as
+an empty one, which the share of good texts in the sample decides, and no later
+stage drops it; it packs as empty. Columns beyond those of documents go.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ from quillspan.llm import decontaminate, linededup, neardup, packing, quality
 from quillspan.llm.common import materialise, prepare, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document goes if the neighbours' vote for quality is below this share.
-LEAST_QUALITY = 0.35
+#: A document goes if the neighbours' vote for quality is below this share: the classifier rejects it.
+LEAST_QUALITY = 0.5
 #: A document goes if benchmark items cover more of it than this.
 MOST_COVERED = 0.5
+#: Shorter spans are no passage of an item: items of so few words say nothing of where a text is from.
+LEAST_SPAN = 4
 
 #: SQL cannot express the stages; tests hold them against brute force and round trips.
 ORACLE_SQL = None
@@ -45,17 +50,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a Jaccard similarity of 0.8 of five-word shingles, the one with the least id stays.
 
-    Rows that share an id are one document; rows without an id stay.
+    Rows are judged each by its own text, also if they share an id or have none;
+    of equal rows one stays. Texts without words stay.
     """
-    near = neardup.near_duplicates(docs, "doc_id", "text", 5, (80, 100))
-    gone = near.where("component_id <> doc_id").select("doc_id").distinct()
-    return _documents(docs.join(gone, "doc_id", "left_anti"))
+    return _documents(neardup.keep_one(docs, neardup.near_groups(docs, "doc_id", "text", 5, (80, 100))))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans that benchmark items share are cut; documents that are mostly such spans go."""
+    """Spans of at least LEAST_SPAN words that benchmark items share are cut; documents that are mostly such spans go."""
     index = decontaminate.build_index(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return _documents(decontaminate.clean(docs.select(*COLUMNS), "text", index, MOST_COVERED))
+    return _documents(decontaminate.clean(docs.select(*COLUMNS), "text", index, MOST_COVERED, LEAST_SPAN))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
