@@ -367,6 +367,7 @@ def match(df: DataFrame, key: str, text: str, index: ItemIndex) -> DataFrame:
     """Per text: key, n_words, n_hit, spans (byte ranges that hits cover, one array of start, end, words per span), longest, items."""
     kind = df.schema[key].dataType.simpleString()
 
+    @textops.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, starts, ends, firsts, hashes in words_of(batch.column(1)):
@@ -402,6 +403,7 @@ def clean(df: DataFrame, text: str, index: ItemIndex, max_coverage: float = 0.5,
     schema = df.schema
     at = df.columns.index(text)
 
+    @textops.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, starts, ends, firsts, hashes in words_of(batch.column(at)):

@@ -161,6 +161,7 @@ def _pass(df: DataFrame, key: str, text: str, width: int, threshold: tuple[int,
     """Of every row key, at (hash of the text), n (set size) and class (hash of the set, 0 if empty); or signatures of classes, each once per task where memory allows."""
     kind = df.schema[key].dataType.simpleString()
 
+    @textops.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -185,6 +186,7 @@ def _pass(df: DataFrame, key: str, text: str, width: int, threshold: tuple[int,
     return df.select(key, text, F.xxhash64(text).alias("at")).mapInArrow(run, f"`{key}` {kind}, at long, n long, class long")
 
 
+@textops.trimmed
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (sig, class) rows to (sig, class, held) of signatures of more than one class, each class once.
 
@@ -225,6 +227,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(sig, cls, counted(sig))
 
 
+@textops.trimmed
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (sig, class) rows to edges (a, b) from the least class of a signature to each other one, and (class, null, signatures)."""
     last, head = None, 0
@@ -339,6 +342,7 @@ def against_heads(large: DataFrame, texts: DataFrame, width: int, threshold: tup
     parts = max(int(large.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = found.select("text", "kind", "part", *columns).repartition(parts, "family", "part").sortWithinPartitions("family", "part", "kind")
 
+    @textops.trimmed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, held = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -434,6 +438,7 @@ def classes_linked(df: DataFrame, key: str, text: str, width: int, threshold: tu
         placed = placed.unionByName(compared.drop("head"))
     dealt = materialise(tiles(placed, threshold), "tiles")
 
+    @textops.trimmed
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, ...]] = set()  # a class stands once in a tile, however many rows its id and text have
         for batch in batches:

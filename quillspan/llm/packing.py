@@ -174,6 +174,7 @@ def tokenise(df: DataFrame, key: str, text: str, path: str, capacity: int = CAPA
     kind = df.schema[key].dataType.simpleString()
     fields = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
 
+    @textops.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in textops.slices(batch.column(1)):
@@ -410,6 +411,7 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
     columns = [c for c in ranked.columns if c != "__rank"]
     schema = T.StructType([*[ranked.schema[c] for c in columns], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
+    @textops.trimmed
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = shared.value
         starts = at[:, 0] << 40 | at[:, 1]  # a length has less than 2**40 pieces

@@ -118,6 +118,7 @@ class Neighbours:
 def learn(rows: DataFrame) -> Neighbours:
     """From a bounded sample (key, text, label); its term counts, not its texts, come to the driver."""
 
+    @textops.trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, counts in term_counts(batch.column(1)):
@@ -146,6 +147,7 @@ def classify(df: DataFrame, text: str, model: Neighbours) -> DataFrame:
     at = kept.columns.index(text)
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])
 
+    @textops.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:

@@ -7,13 +7,34 @@ document's or a pair's few thousand words a collision has odds below 1e-12.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
+
+
+def trimmed(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A function of batches that gives a task's scratch memory back at its end; worker processes live on and would keep it."""
+
+    @functools.wraps(run)
+    def with_trim(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _tables.clear()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim:
+                trim(0)
+
+    return with_trim
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Bytes hashed at once; scratch memory is about 40 times as much.
@@ -148,7 +169,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: n
     return mix(out)
 
 
-def slices(column: pa.Array, size: int = 4 * SPAN) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, size: int = 2 * SPAN) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """A batch's documents a few at a time: first, last + 1, bytes, offsets. A longer document is a slice of its own."""
     data, offsets = utf8(column)
     i, n = 0, len(offsets) - 1

@@ -167,6 +167,7 @@ def count_tokens(df: DataFrame, text: str, path: str) -> DataFrame:
     at = kept.columns.index(text)
     schema = T.StructType([*kept.schema.fields, T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
+    @textops.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for batch in batches:

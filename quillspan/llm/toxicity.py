@@ -357,6 +357,7 @@ def learn(rows: DataFrame) -> Lexicon:
     lexicon = Lexicon(lexicon_stems(rows))
     hashed = rows.select("text", "label", F.pmod(F.xxhash64("key"), F.lit(2)).cast("int").alias("half"))
 
+    @textops.trimmed
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, found, _ in hits(batch.column(0), lexicon):
@@ -377,6 +378,7 @@ def learn(rows: DataFrame) -> Lexicon:
     lexicon.clean |= frozenset(w for t in second for w in t["words"])
     lexicon = Lexicon(lexicon.stems, lexicon.clean, lexicon.exact)
 
+    @textops.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column(1).to_pylist()
@@ -407,6 +409,7 @@ def classify(df: DataFrame, text: str, lexicon: Lexicon) -> DataFrame:
     at = kept.columns.index(text)
     schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("n_hits", T.LongType()), T.StructField("n_quoted", T.LongType())])
 
+    @textops.trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
