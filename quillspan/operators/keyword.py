@@ -1,13 +1,20 @@
 """BM25 keyword search: an index of postings, or a direct scan of texts.
 
-idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a term adds
+idf = ln(1 + (N - df + 0.5) / (df + 0.5)); a clause adds
 idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)), k1 = 1.2, b = 0.75.
-Terms of a query are OR-ed; a quoted phrase must occur as consecutive terms and
-scores by them; a query with an unbalanced quote is refused.
+
+A query is a list of clauses, each a term or a quoted phrase. A phrase is a
+clause of its own: tf is how often its terms stand one after another, idf the
+sum of theirs. A text matches if any clause does. A clause after ``+`` or on
+either side of ``AND`` must match; one after ``-`` or ``NOT`` must not, and adds
+nothing; ``OR`` changes nothing; if some must match, the others only add to
+scores. ``text:`` before a clause names the one field there is. An unbalanced
+quote, another field or a sign without a clause is refused.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -21,32 +28,71 @@ K1, B = 1.2, 0.75
 
 
 @dataclass(frozen=True)
-class ParsedQuery:
+class Clause:
+    """Terms one after another (a term alone is a phrase of one), and whether they must ("+") or must not ("-") be there."""
+
     terms: tuple[str, ...]
-    phrases: tuple[tuple[str, ...], ...]
+    occur: str = ""
+
+
+@dataclass(frozen=True)
+class ParsedQuery:
+    clauses: tuple[Clause, ...]
+
+    @property
+    def terms(self) -> tuple[str, ...]:
+        """All terms that statistics are needed of, each once."""
+        return tuple(dict.fromkeys(t for c in self.clauses for t in c.terms))
+
+    @property
+    def from_postings(self) -> bool:
+        """Whether postings alone answer the query: single terms, any of which may match."""
+        return all(len(c.terms) == 1 and not c.occur for c in self.clauses)
+
+
+_TOKEN = re.compile(r"""(?P<sign>[+-]?)(?:(?P<field>[A-Za-z_]\w*):(?=\S))?(?:"(?P<phrase>[^"]*)"|(?P<word>[^\s"]+))""")
+
+
+def _split(said: str) -> tuple[str, ...]:
+    return tuple(t for t in re.split(r"[\W_]+", said.lower()) if t and len(t.encode()) < TERM_MAX_BYTES)
 
 
 def parse(query: str) -> ParsedQuery:
-    """Terms and quoted phrases of a query."""
+    """Clauses of a query, equal ones once."""
     if query.count('"') % 2:
         raise ValidationError("query has an unbalanced quote")
-
-    def split(s: str) -> list[str]:
-        return [t for t in re.split(r"[\W_]+", s.lower()) if t and len(t.encode()) < TERM_MAX_BYTES]
-
-    found: list[str] = []
-    phrases: list[tuple[str, ...]] = []
-    for i, part in enumerate(query.split('"')):
-        own = split(part)
-        found += own
-        if i % 2 and len(own) > 1:
-            phrases.append(tuple(own))
-    return ParsedQuery(tuple(dict.fromkeys(found)), tuple(phrases))
+    found: list[Clause] = []
+    both, negated = False, False  # after AND, after NOT
+    for token in _TOKEN.finditer(query):
+        sign, name, phrase, word = token["sign"], token["field"], token["phrase"], token["word"]
+        if not sign and not name and word in ("AND", "OR", "NOT"):
+            if word == "AND" and found:
+                both, last = True, found[-1]
+                found[-1] = Clause(last.terms, last.occur or "+")
+            negated = negated or word == "NOT"
+            continue
+        if name and name != "text":
+            raise ValidationError(f"query names an unknown field: {name}")
+        occur = "-" if negated or sign == "-" else "+" if both or sign else ""
+        # A word of several terms ("rock-and-roll") is any of them.
+        own = [_split(phrase)] if phrase is not None else [(t,) for t in _split(word)]
+        found += [Clause(terms, occur) for terms in own if terms]
+        both = negated = False
+    if both or negated or re.search(r"(?:^|\s)[+-](?:\s|$)", query):
+        raise ValidationError("query has a sign without a clause")
+    return ParsedQuery(tuple(dict.fromkeys(found)))
+
+
+def rarity(df: Column, n: Column) -> Column:
+    return F.log(1.0 + (n - df + 0.5) / (df + 0.5))
+
+
+def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
+    return (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
 def weight(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column:
-    idf = F.log(1.0 + (n - df + 0.5) / (df + 0.5))
-    return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avgdl))
+    return rarity(df, n) * saturation(tf, dl, avgdl)
 
 
 @dataclass
@@ -71,8 +117,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 def search_index(index: KeywordIndex, query: str, k: int) -> DataFrame:
     """(doc_id, score) from postings: the terms are a pushed-down filter, statistics one broadcast row."""
     parsed = parse(query)
-    if parsed.phrases:
-        raise ValidationError("phrases need the texts: use search_texts")
+    if not parsed.from_postings:
+        raise ValidationError("phrases and signs need the texts: use search_texts")
     some = index.postings.where(F.col("term").isin(list(parsed.terms)))
     df = F.broadcast(index.frequencies.where(F.col("term").isin(list(parsed.terms))))  # a row per query term at most
     stats = index.stats.select(F.struct("n", "avgdl").alias("s")).scalar()
@@ -80,33 +126,45 @@ def search_index(index: KeywordIndex, query: str, k: int) -> DataFrame:
     return scored.groupBy("doc_id").agg(F.sum("w").alias("score")).orderBy(F.desc("score"), F.asc("doc_id")).limit(k)
 
 
-def _phrase_at(ts: Column, phrase: tuple[str, ...]) -> Column:
+def _occurrences(ts: Column, phrase: tuple[str, ...]) -> Column:
+    if len(phrase) == 1:
+        return F.size(F.filter(ts, lambda t: t == phrase[0]))
     starts = F.sequence(F.lit(1), F.greatest(F.size(ts) - len(phrase) + 1, F.lit(1)))
-    return F.exists(starts, lambda i: F.slice(ts, i, F.lit(len(phrase))) == F.array(*map(F.lit, phrase)))
+    return F.size(F.filter(starts, lambda i: F.slice(ts, i, F.lit(len(phrase))) == F.array(*map(F.lit, phrase))))
 
 
 def score_texts(docs: DataFrame, query: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) of every matching text, by one pass for statistics and one for scores; no postings, no shuffle of texts."""
     parsed = parse(query)
-    if not parsed.terms:
+    wanted = [c for c in parsed.clauses if c.occur != "-"]
+    if not wanted:
         return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
+    terms_of = parsed.terms
 
     def counts(ts: Column) -> Column:
-        tf = F.transform(F.array(*map(F.lit, parsed.terms)), lambda term: F.size(F.filter(ts, lambda t: t == term)))
-        whole = F.array_min(F.array(*[_phrase_at(ts, p) for p in parsed.phrases])) if parsed.phrases else F.lit(True)
-        return F.struct(F.size(ts).alias("dl"), tf.alias("tf"), whole.alias("whole"))
+        has = F.array(*[F.array_contains(ts, t) for t in terms_of])
+        tf = F.array(*[_occurrences(ts, c.terms) for c in parsed.clauses])
+        return F.struct(F.size(ts).alias("dl"), has.alias("has"), tf.alias("tf"))
 
     # A generator of one row: the texts are read into counts once, and no filter or projection above repeats that.
     bound = F.explode(F.transform(F.array(terms(F.coalesce(F.col(text), F.lit("")))), counts)).alias("c")
     counted = docs.select(F.col(id_col).cast("string").alias("doc_id"), bound).select("doc_id", "c.*")
-    dfs = F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(parsed.terms))])
+    dfs = F.array(*[F.count_if(F.col("has")[i]) for i in range(len(terms_of))])
     # One subquery for all statistics: every use of it is the same plan, which runs once.
     stats = counted.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), dfs.alias("df")).alias("s")).scalar()
-    total = F.lit(0.0)
-    for i in range(len(parsed.terms)):
+    number = {t: i for i, t in enumerate(terms_of)}
+    total, passes = F.lit(0.0), F.lit(True)
+    for i, clause in enumerate(parsed.clauses):
         x = F.col("tf")[i]
-        total = total + F.when(x > 0, weight(x, F.col("dl"), stats["df"][i], stats["n"], stats["avgdl"])).otherwise(0.0)
-    return counted.where(F.col("whole") & F.exists("tf", lambda x: x > 0)).select("doc_id", total.alias("score"))
+        if clause.occur:
+            passes = passes & ((x > 0) if clause.occur == "+" else (x == 0))
+        if clause.occur != "-":
+            idf = sum((rarity(stats["df"][number[t]], stats["n"]) for t in clause.terms), F.lit(0.0))
+            total = total + F.when(x > 0, idf * saturation(x, F.col("dl"), stats["avgdl"])).otherwise(0.0)
+    if not any(c.occur == "+" for c in wanted):
+        any_of = [F.col("tf")[i] > 0 for i, c in enumerate(parsed.clauses) if c.occur != "-"]
+        passes = passes & functools.reduce(lambda a, b: a | b, any_of)
+    return counted.where(passes).select("doc_id", total.alias("score"))
 
 
 def search_texts(docs: DataFrame, query: str, k: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -77,6 +77,8 @@ def nearest_of_block(rows: DataFrame, block: dict[str, Sequence[float]], k: int,
                 continue
             frame = frame.sort_values("tie", kind="stable")
             dots = unpack(frame) @ m.T
+            if not np.isfinite(dots).all():
+                raise ValueError("distance has an invalid value")
             near = np.round(dots, TIE_DECIMALS)
             n = min(k, len(frame))
             floor = -np.partition(-near, n - 1, axis=0)[n - 1]
@@ -95,6 +97,9 @@ def nearest_of_blocks(rows: DataFrame, queries: dict[str, Sequence[float]], k: i
     """``nearest_of_block`` for any number of queries, in blocks of MAX_BATCH whose results are united."""
     if not queries:
         raise ValidationError("queries must not be empty")
+    dim = len(next(iter(queries.values())))
+    for q in queries.values():
+        check_query(q, dim)
     items = list(queries.items())
     blocks = [dict(items[i : i + MAX_BATCH]) for i in range(0, len(items), MAX_BATCH)]
     return functools.reduce(DataFrame.unionByName, [nearest_of_block(rows, b, k, unpack) for b in blocks])

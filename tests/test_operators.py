@@ -69,6 +69,28 @@ def test_batch_search_in_blocks(spark):
         assert {r.doc_id for r in found if r.query_id == str(q)} == {str(d) for d in best}
 
 
+def test_batches_refuse_what_single_searches_refuse(spark):
+    df = frame(spark, [("1", [1.0, 0.0]), ("2", [float("nan"), 1.0])], V)
+    with pytest.raises(Exception, match="distance has an invalid value"):
+        vector.search_batch(df, {"q": [1.0, 1.0]}, 2).collect()
+    for bad in ({"q": [1.0, 1.0], "r": [1.0]}, {"q": [float("inf"), 1.0]}, {}):
+        with pytest.raises(ValidationError):
+            vector.search_batch(df, bad, 2)
+
+
+def test_digest_of_contents_needs_no_order(spark):
+    from quillspan.functions import hashing
+
+    rows = [(str(i), f"t{i}") for i in range(300)]
+    digests = set()
+    for parts, own in ((1, rows), (7, rows[::-1]), (3, rows[50:] + rows[:50])):
+        h = frame(spark, own, "a string, b string").repartition(parts).select(hashing.row_hash(F.col("a"), F.col("b")).alias("h"))
+        digests.add(tuple(hashing.content_digest(h).first()))
+    assert len(digests) == 1 and digests.pop()[0] == 300
+    pairs_ = frame(spark, [("ab", "c"), ("a", "bc"), ("a", None), ("a", "")], "a string, b string").select(hashing.row_hash(F.col("a"), F.col("b"))).collect()
+    assert len({r[0] for r in pairs_}) == 3
+
+
 def test_batch_queries_grow_with_the_table(spark, tmp_path):
     rows = [(i, [float(i % 7), 1.0]) for i in range(2001)]
     frame(spark, rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
@@ -91,7 +113,18 @@ def test_keyword_goldens(spark):
 
 def test_phrases_and_bad_queries(spark):
     df = frame(spark, [("1", "quick brown fox"), ("2", "brown quick fox"), ("3", None), ("4", "")], D)
-    assert [i for i, _ in pairs(keyword.search_texts(df, '"quick brown" fox', 9))] == ["1"]
+    assert [i for i, _ in pairs(keyword.search_texts(df, '"quick brown" fox', 9))] == ["1", "2"]  # any clause; the phrase adds its score
+    assert [i for i, _ in pairs(keyword.search_texts(df, '"quick brown"', 9))] == ["1"]
+    assert [i for i, _ in pairs(keyword.search_texts(df, '+"quick brown" text:fox', 9))] == ["1"]
+    assert [i for i, _ in pairs(keyword.search_texts(df, "fox AND nothing", 9))] == []
+    assert [i for i, _ in pairs(keyword.search_texts(df, 'fox NOT "brown quick"', 9))] == ["1"]
+    assert [i for i, _ in pairs(keyword.search_texts(df, '-"brown quick" brown OR nothing', 9))] == ["1"]
+    assert pairs(keyword.search_texts(df, "-fox", 9)) == []
+    fruit = frame(spark, [("1", "foo only here"), ("2", "apple pie and foo"), ("3", "pie apple")], D)
+    assert [i for i, _ in pairs(keyword.search_texts(fruit, 'foo "apple pie"', 9))] == ["2", "1"]
+    for bad in ("title:fox", "fox AND", "NOT", "fox - brown"):
+        with pytest.raises(ValidationError):
+            keyword.parse(bad)
     assert pairs(keyword.search_texts(df, "!!", 9)) == []
     with pytest.raises(ValidationError):
         keyword.parse('"open')
