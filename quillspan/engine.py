@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Sequence
 from pathlib import Path
-from typing import Any
+from typing import Any, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspan.functions.embed import Embedder, embed_query
 from quillspan.model import Document, OperationError, SearchRequest, mismatch
@@ -18,31 +20,44 @@ from quillspan.sources.store import Store
 from quillspan.streaming import worker
 
 
+class BuildQueue(Protocol):
+    """What a write tells of its batch; ``JobQueue`` is one."""
+
+    def enqueue(self, batch: str, body: str) -> None: ...
+
+
 class HybridEngine:
     """Tables of the active version and release are kept by their names, and re-read when a pointer moves."""
 
-    def __init__(self, spark: SparkSession, root: str | Path, embedder: Embedder, clock: Callable[[], int] = wal.now_millis, warn: Callable[[str], None] = print):
+    def __init__(self, spark: SparkSession, root: str | Path, embedder: Embedder, clock: Callable[[], int] = wal.now_millis, warn: Callable[[str], None] = print, queue: BuildQueue | None = None):
         self.spark, self.store, self.embedder, self.clock, self.warn = spark, Store(root), embedder, clock, warn
-        self.log = wal.WriteLog(self.store, clock)
+        self.log, self.queue = wal.WriteLog(self.store, clock), queue
         self._cached: tuple[tuple, Any] | None = None
         self.hits = self.misses = 0
 
     # --- writing ---
 
+    def _landed(self, written: dict[str, Any]) -> dict[str, Any]:
+        """A batch in the log asks for a build, if there is a queue to ask."""
+        if self.queue is not None:
+            self.queue.enqueue(written["batch_id"], json.dumps({"wal_key": written["wal_key"]}))
+        return written
+
     def ingest(self, documents: Sequence[Document]) -> dict[str, Any]:
-        return self.log.ingest(documents)
+        return self._landed(self.log.ingest(documents))
 
     def delete(self, doc_ids: Sequence[str]) -> dict[str, Any]:
-        return self.log.delete(doc_ids)
+        return self._landed(self.log.delete(doc_ids))
 
-    def build(self, version: int | None = None, wal_keys: Sequence[str] | None = None) -> dict[str, Any]:
-        """Builds from all segments, or from those named alone, and publishes."""
-        if version is None:
+    def build(self, version: int | None = None, wal_keys: Sequence[str] | None = None, shards: int = 1) -> dict[str, Any]:
+        """Builds from all segments, or from those named alone, and publishes; several shards are for vector searches alone."""
+        if version is None and shards == 1:
             return worker.rebuild(self.spark, self.store, self.embedder.column, self.embedder.dim, None, self.clock, list(wal_keys) if wal_keys else None)
         current = publish.active_version(self.store)
+        version = (current or 0) + 1 if version is None else version
         if current is not None and version <= current:
             raise OperationError(f"publish conflict: version {version} is not above the active {current}", "publish_error")
-        manifest = publish.build(self.spark, self.store, version, wal_keys or self.log.keys(), self.embedder.column, self.embedder.dim, self.clock)
+        manifest = publish.build(self.spark, self.store, version, wal_keys or self.log.keys(), self.embedder.column, self.embedder.dim, self.clock, shards=shards)
         return publish.publish(self.store, manifest, self.clock())
 
     def rollback(self, target: int, expected: int | None) -> dict[str, Any]:
@@ -98,8 +113,8 @@ class HybridEngine:
             best = turbo.search(rows, codec, query_vector, 100)
             static = best.join(rows.select("doc_id", "text", "metadata", "corpus_type"), "doc_id")
         parsed = keyword.parse(request.query)
-        words = None if parsed.phrases else keyword.search_index(tables.keyword, request.query, 100)
-        docs = tables.documents
+        words = keyword.search_index(tables.keyword, request.query, 100) if parsed.from_postings else None
+        docs = tables.documents.drop("shard")
         return hybrid.search(docs, docs.select("doc_id", "embedding"), request, query_vector, static, words), version, static_id
 
     def search(self, request: SearchRequest) -> dict[str, Any]:
@@ -108,7 +123,7 @@ class HybridEngine:
         static, dynamic = ([_plain(r.asDict(recursive=True)) for r in g.collect()] for g in (groups.static, groups.dynamic))  # at most 100 rows each
         for rows, name in ((static, "static_chunks"), (dynamic, "dynamic_chunks")):
             if len(rows) > request.window:
-                raise mismatch(name, f"{name}.len() <= max_chunks_per_path")
+                raise mismatch(name, f"a window of {request.window} rows")
         out = {
             "static_chunks": static,
             "static_count": len(static),
@@ -121,7 +136,10 @@ class HybridEngine:
 
     def vector_search(self, query_vector: Sequence[float], k: int) -> DataFrame:
         vec.check_query(query_vector, self.embedder.dim)
-        return vec.search(self._tables()[2].documents.select("doc_id", "embedding"), query_vector, k)
+        tables = self._tables()[2]
+        if tables.shards > 1:
+            return vec.search_shards(tables.documents, F.col("shard"), query_vector, k)
+        return vec.search(tables.documents.select("doc_id", "embedding"), query_vector, k)
 
     def keyword_search(self, query: str, k: int) -> DataFrame:
         return keyword.search_index(self._tables()[2].keyword, query, k)
@@ -156,7 +174,5 @@ class HybridEngine:
 
 def _plain(row: dict[str, Any]) -> dict[str, Any]:
     """A result without the optional fields that are null; metadata as an object."""
-    import json
-
     row["metadata"] = None if row["metadata"] is None else json.loads(row["metadata"])
     return {k: v for k, v in row.items() if v is not None or k not in ("corpus_type", "citation")}

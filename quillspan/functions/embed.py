@@ -67,12 +67,12 @@ class HashingEmbedder:
 
 
 def embed_query(embedder: Embedder, text: str, warn: Callable[[str], None] = lambda _: None) -> list[float] | None:
-    """The query's vector, or None after ATTEMPTS failures."""
-    error: Exception | None = None
-    for _ in range(ATTEMPTS):
+    """The query's vector, or None when it failed ATTEMPTS times; then all reasons are told at once."""
+    reasons: list[str] = []
+    while len(reasons) < ATTEMPTS:
         try:
             return embedder.query(text)
-        except Exception as e:  # an embedder may fail in any way
-            error = e
-    warn(f"no vector for the query after {ATTEMPTS} attempts, so keywords alone are searched ({text!r}: {error})")
+        except Exception as reason:  # an embedder may fail in any way
+            reasons.append(f"{type(reason).__name__}: {reason}")
+    warn(f"{text!r} is searched by keywords only; its embedding failed with " + ", then ".join(reasons))
     return None

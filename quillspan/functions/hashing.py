@@ -6,7 +6,7 @@ import hashlib
 import struct
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the 64-bit FNV-1a hash.
@@ -50,15 +50,25 @@ def _sized(raw: bytes) -> bytes:
     return struct.pack("<Q", len(raw)) + raw
 
 
-def content_digest(rows: Iterable[tuple[str, Iterable[float], str, str]]) -> str:
-    """SHA-256 over (doc_id, embedding, text, canonical metadata) rows in order, every part after its length."""
-    digest = hashlib.sha256()
-    for doc_id, embedding, text, metadata in rows:
-        vector = list(embedding)
-        digest.update(_sized(doc_id.encode()))
-        digest.update(struct.pack(f"<Q{len(vector)}f", len(vector), *vector))
-        digest.update(_sized(text.encode()) + _sized(metadata.encode()))
-    return digest.hexdigest()
+def row_hash(*parts: Column) -> Column:
+    """SHA-256 of texts, each after its length in bytes, so that no two rows of parts look alike; null counts as empty."""
+    texts = [F.coalesce(part.cast("string"), F.lit("")) for part in parts]
+    return F.sha2(F.concat(*[x for t in texts for x in (F.octet_length(t).cast("string"), F.lit(":"), t)]), 256)
+
+
+def content_digest(hashes: DataFrame, column: str = "h") -> DataFrame:
+    """One row (n, digest) for a table of row hashes, whatever the order of rows and their partitioning.
+
+    Rows meet by the first three digits of their hash; a bucket's digest is that
+    of its hashes in order, the whole one that of the at most 4096 buckets' in order.
+    """
+
+    def joined(name: str) -> Column:
+        return F.sha2(F.array_join(F.sort_array(F.collect_list(name)), ""), 256)
+
+    buckets = hashes.groupBy(F.substring(column, 1, 3).alias("k")).agg(joined(column).alias("b"), F.count(F.lit(1)).alias("n"))
+    ordered = F.sort_array(F.collect_list(F.struct("k", "b")))
+    return buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(ordered, lambda x: x["b"]), ""), 256).alias("digest"))
 
 
 def release_id(turbo_version: int, model_id: str, dim: int, codec: tuple[int, int, int, int], digest: str, outputs: Iterable[tuple[str, str, int]]) -> str:

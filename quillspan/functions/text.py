@@ -11,7 +11,8 @@ from quillspan.model import CITATION, CORPUS_LABELS, OTHER_LABEL
 TERM_MAX_BYTES = 40
 
 # Characters that count as a token each (ideographs, their punctuation, full-width forms).
-CJK = r"[\x{3000}-\x{303F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}\x{20000}-\x{2FA1F}\x{30000}-\x{3134F}]"
+CJK_RANGES = ((0x3000, 0x303F), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF00, 0xFFEF), (0x20000, 0x2FA1F), (0x30000, 0x3134F))
+CJK = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CJK_RANGES) + "]"
 
 
 def terms(text: Column) -> Column:

@@ -7,10 +7,11 @@ in ``quillspan.functions.text``.
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+from quillspan.functions.text import CJK_RANGES
 from quillspan.model import CORPUS_LABELS, OTHER_LABEL, CorpusWeights
 
 # The wording of contexts and prompts.
@@ -32,14 +33,13 @@ SYSTEM_PROMPT = """你是一个专业的文档检索助手。
 引用时注明来源类型。"""
 STRONG_BIAS = 0.7
 
-_CJK = re.compile("[　-〿㐀-䶿一-鿿豈-﫿＀-￯\U00020000-\U0002fa1f\U00030000-\U0003134f]")
-
 Chunk = Mapping[str, Any]
 
 
 def estimate_tokens(text: str) -> int:
-    cjk = len(_CJK.findall(text))
-    return cjk - (cjk - len(text)) // 4
+    """One token for each ideograph and for every four other characters or part of four."""
+    whole = sum(any(a <= ord(c) <= b for a, b in CJK_RANGES) for c in text)
+    return whole + math.ceil((len(text) - whole) / 4)
 
 
 def chunk_block(label: str, number: int, chunk: Chunk) -> str:

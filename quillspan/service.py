@@ -65,7 +65,7 @@ def handle_event(engine: HybridEngine, event: dict[str, Any], method: str = "POS
     try:
         raw = base64.b64decode(text, validate=True) if event.get("isBase64Encoded") else text.encode()
     except ValueError as error:
-        return {"statusCode": 400, "body": json.dumps({"error_type": "validation_error", "message": f"invalid base64 request body: {error}"})}
+        return {"statusCode": 400, "body": json.dumps({"error_type": "validation_error", "message": f"the body does not decode as base64 ({error})"})}
     status, out = handle(engine, method, event.get("rawPath", ""), raw)
     return {"statusCode": status, "headers": {"content-type": "application/json"}, "body": json.dumps(out, ensure_ascii=False), "isBase64Encoded": False}
 

@@ -7,7 +7,9 @@ pin the version that the pointer named when they began.
 
 from __future__ import annotations
 
+import functools
 import json
+import shutil
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from pathlib import Path
@@ -71,18 +73,27 @@ def active_version(store: Store) -> int | None:
 
 @dataclass
 class IndexTables:
+    """Documents of all shards, with the shard's number, and the keyword tables of an index of one shard."""
+
     documents: DataFrame
-    keyword: keyword.KeywordIndex
+    words: keyword.KeywordIndex | None
+    shards: int
+
+    @property
+    def keyword(self) -> keyword.KeywordIndex:
+        if self.words is None:
+            raise OperationError(f"keyword search needs exactly one shard, not {self.shards}", "execution_error")
+        return self.words
 
 
 def read_tables(spark: SparkSession, store: Store, manifest: IndexManifest) -> IndexTables:
-    """The tables of a pinned version; vectors of all shards, keywords of the only one."""
-    if len(manifest.shards) != 1:
-        raise OperationError("keyword search needs exactly one shard", "execution_error")
-    shard = manifest.shards[0]
-    words = store.resolve(shard.keyword_path)
-    docs = spark.read.parquet(str(store.resolve(shard.table_path)))
-    return IndexTables(docs, keyword.KeywordIndex(*[spark.read.parquet(str(words / n)) for n in ("postings", "frequencies", "stats")]))
+    """The tables of a pinned version."""
+    parts = [spark.read.parquet(str(store.resolve(s.table_path))).withColumn("shard", F.lit(s.shard_id)) for s in manifest.shards]
+    docs = functools.reduce(DataFrame.unionByName, parts)
+    if len(parts) > 1:
+        return IndexTables(docs, None, len(parts))
+    words = store.resolve(manifest.shards[0].keyword_path)
+    return IndexTables(docs, keyword.KeywordIndex(*[spark.read.parquet(str(words / n)) for n in ("postings", "frequencies", "stats")]), 1)
 
 
 def build(
@@ -94,74 +105,99 @@ def build(
     dim: int,
     clock: Callable[[], int] = wal.now_millis,
     before_commit: Callable[[], None] | None = None,
+    shards: int = 1,
 ) -> IndexManifest:
-    """Builds a version's folders and manifest from log segments; nothing is active yet."""
+    """Builds a version's folders and manifest from log segments; nothing is active yet. Documents go to shards by a hash of their ids."""
     docs = live_documents(wal.read(spark, store, keys))
     stage = store.staging()
-    table = stage / "documents"
-    resolve_embeddings(docs, embed).write.parquet(str(table))
-    written = spark.read.parquet(str(table))
-    require_valid(written, dim)
-    index = keyword.build_index(written)
-    words = stage / "keywords"
-    # Ranges of terms with statistics per file: a query reads the few files its terms lie in.
-    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(str(words / "postings"))
-    index.frequencies.repartitionByRange("term").sortWithinPartitions("term").write.parquet(str(words / "frequencies"))
-    index.stats.write.parquet(str(words / "stats"))
-    n = written.count()
-    base = f"index/versions/{version}/shards/0"
-    manifest = IndexManifest(version, clock(), dim, n, 1, [Shard(0, n, f"s3://{BUCKET}/{base}/documents", f"s3://{BUCKET}/{base}/keywords")])
-    manifest.validate()
-    if before_commit:
-        before_commit()
-    (stage / "manifest.json").write_text(manifest.to_json())
-    store.commit_staged([(table, f"{base}/documents"), (words, f"{base}/keywords"), (stage / "manifest.json", manifest_key(version))])
-    stage.rmdir()
-    return manifest
+    try:
+        whole = stage / "whole"
+        resolve_embeddings(docs, embed).write.parquet(str(whole))
+        written = spark.read.parquet(str(whole))
+        require_valid(written, dim)
+        made, moves = [], []
+        for i in range(shards):
+            own = written.where(F.pmod(F.xxhash64("doc_id"), F.lit(shards)) == i) if shards > 1 else written
+            table, words = stage / f"documents-{i}", stage / f"keywords-{i}"
+            own.write.parquet(str(table)) if shards > 1 else whole.rename(table)
+            own = spark.read.parquet(str(table))
+            index = keyword.build_index(own)
+            # Ranges of terms with statistics per file: a query reads the few files its terms lie in.
+            for name in ("postings", "frequencies"):
+                getattr(index, name).repartitionByRange("term").sortWithinPartitions("term").write.parquet(str(words / name))
+            index.stats.write.parquet(str(words / "stats"))
+            base = f"index/versions/{version}/shards/{i}"
+            made.append(Shard(i, own.count(), f"s3://{BUCKET}/{base}/documents", f"s3://{BUCKET}/{base}/keywords"))
+            moves += [(table, f"{base}/documents"), (words, f"{base}/keywords")]
+        manifest = IndexManifest(version, clock(), dim, sum(s.document_count for s in made), shards, made)
+        manifest.validate()
+        if before_commit:
+            before_commit()
+        (stage / "manifest.json").write_text(manifest.to_json())
+        store.commit_staged([*moves, (stage / "manifest.json", manifest_key(version))])
+        return manifest
+    finally:
+        shutil.rmtree(stage, ignore_errors=True)
+
+
+#: Says why the pointer must not move, given the active version; None if it may.
+Objection = Callable[[int | None], str | None]
+
+
+def _point_to(store: Store, version: int, updated_at: int, objections: Iterable[Objection]) -> dict:
+    """Moves the pointer to a version unless anything objects, or the pointer moves meanwhile."""
+    check_epoch_millis(updated_at, "updated_at")
+    raw = store.read(HEAD)
+    current = None if raw is None else parse_head(raw)["version_id"]
+    for objection in objections:
+        if said := objection(current):
+            raise OperationError(said, "publish_error")
+    if not store.compare_and_swap(HEAD, store.etag(raw), head_json(version, updated_at)):
+        raise OperationError(f"conflict: version {active_version(store)} became active meanwhile", "publish_error")
+    return {"activated_version_id": version, "previous_version_id": current}
+
+
+def _unless_active(expected: int | None, kind: str) -> Objection:
+    return lambda current: None if current == expected else f"{kind} conflict: {current} is active, not {expected}"
+
+
+def _stored(store: Store, version: int) -> IndexManifest | None:
+    body = store.read(manifest_key(version))
+    return None if body is None else IndexManifest.from_json(body.decode())
 
 
 def publish(store: Store, manifest: IndexManifest, updated_at: int, expected: int | None = None) -> dict:
     """Makes a built version active, if it is newer than the active one and nobody was faster."""
     manifest.validate()
-    check_epoch_millis(updated_at, "updated_at")
-    if manifest.version_id <= 0:
-        raise invalid("version_id")
-    raw = store.read(HEAD)
-    current = None if raw is None else parse_head(raw)["version_id"]
-    if expected is not None and current != expected:
-        raise OperationError(f"publish conflict: {current} is active, not {expected}", "publish_error")
-    if current is not None and manifest.version_id <= current:
-        raise OperationError(f"publish conflict: version {manifest.version_id} is not above the active {current}", "publish_error")
-    stored = store.read(manifest_key(manifest.version_id))
-    if stored is None or IndexManifest.from_json(stored.decode()) != manifest:
-        raise OperationError("the stored manifest is missing or differs", "publish_error")
-    for shard in manifest.shards:
-        for uri in (shard.table_path, shard.keyword_path):
-            store.check_tree(store.resolve(uri))
-    if not store.compare_and_swap(HEAD, store.etag(raw), head_json(manifest.version_id, updated_at)):
-        raise OperationError(f"publish conflict: meanwhile {active_version(store)} became active", "publish_error")
-    return {"activated_version_id": manifest.version_id, "previous_version_id": current}
+
+    def older(current: int | None) -> str | None:
+        if manifest.version_id > (current or 0):
+            return None
+        return f"publish conflict: version {manifest.version_id} is not above the active {current}"
+
+    def incomplete(_: int | None) -> str | None:
+        for shard in manifest.shards:  # raises for what is missing or leads elsewhere
+            for uri in (shard.table_path, shard.keyword_path):
+                store.check_tree(store.resolve(uri))
+        return None if _stored(store, manifest.version_id) == manifest else "the stored manifest is missing or differs"
+
+    first = [] if expected is None else [_unless_active(expected, "publish")]
+    return _point_to(store, manifest.version_id, updated_at, [*first, older, incomplete])
 
 
 def rollback(store: Store, target: int, updated_at: int, expected: int | None) -> dict:
     """Makes an older version active; ``expected`` must be the active one (None: there is none)."""
+
+    def absent(_: int | None) -> str | None:
+        manifest = _stored(store, target)
+        if manifest is None:
+            return f"there is no manifest to roll back to: {manifest_key(target)}"
+        manifest.validate()
+        return None if manifest.version_id == target else "the target's manifest names another version"
+
     if target <= 0:
         raise invalid("version_id")
-    check_epoch_millis(updated_at, "updated_at")
-    raw = store.read(HEAD)
-    current = None if raw is None else parse_head(raw)["version_id"]
-    if current != expected:
-        raise OperationError(f"rollback conflict: {current} is active, not {expected}", "publish_error")
-    body = store.read(manifest_key(target))
-    if body is None:
-        raise OperationError(f"there is no manifest to roll back to: {manifest_key(target)}", "publish_error")
-    manifest = IndexManifest.from_json(body.decode())
-    manifest.validate()
-    if manifest.version_id != target:
-        raise OperationError("the target's manifest names another version", "publish_error")
-    if not store.compare_and_swap(HEAD, store.etag(raw), head_json(target, updated_at)):
-        raise OperationError(f"rollback conflict: meanwhile {active_version(store)} became active", "publish_error")
-    return {"activated_version_id": target, "previous_version_id": current}
+    return _point_to(store, target, updated_at, [_unless_active(expected, "rollback"), absent])
 
 
 def require_embeddings(docs: DataFrame) -> DataFrame:

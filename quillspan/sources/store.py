@@ -19,6 +19,8 @@ from quillspan.functions.hashing import fnv1a_bytes
 from quillspan.model import OperationError
 
 SCHEME = "s3://"
+#: A lock of this age has no owner any more.
+LOCK_SECONDS = 60.0
 
 
 class Store:
@@ -94,6 +96,7 @@ class Store:
                 os.close(os.open(lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
                 break
             except FileExistsError:
+                self._expire(lock)
                 if time.monotonic() > until:
                     raise OperationError(f"{key} is locked") from None
                 time.sleep(0.01)
@@ -102,6 +105,18 @@ class Store:
         finally:
             lock.unlink(missing_ok=True)
 
+    @staticmethod
+    def _expire(lock: Path) -> None:
+        """Removes a lock that its process has left behind; a swap takes milliseconds."""
+        try:
+            left = lock.stat()
+            if time.time() - left.st_mtime > LOCK_SECONDS:
+                aside = lock.with_name(f"{lock.name}-{uuid.uuid4().hex}")
+                os.rename(lock, aside)  # of several that try, one succeeds
+                aside.unlink()
+        except FileNotFoundError:
+            pass
+
     def compare_and_swap(self, key: str, expected: str | None, data: bytes) -> bool:
         """Writes a pointer if its tag is still the expected one (None: absent)."""
         with self._locked(key):

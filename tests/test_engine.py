@@ -164,6 +164,19 @@ def test_one_of_many_swaps_wins(tmp_path):
     assert not store.compare_and_swap("q", tag, b"x") and store.compare_and_swap("q", None, b"x")
 
 
+def test_locks_of_the_dead_expire(tmp_path):
+    import os
+
+    from quillspan.sources import store as module
+
+    store = Store(tmp_path)
+    lock = store.root / ".p.lock"
+    lock.touch()
+    os.utime(lock, (1, 1))
+    assert store.compare_and_swap("p", None, b"x") and not lock.exists()
+    assert [p.name for p in store.root.iterdir()] == ["p"] and module.LOCK_SECONDS > 10
+
+
 def test_staged_commits_undo(tmp_path):
     store = Store(tmp_path)
     stage = store.staging()
@@ -289,6 +302,49 @@ def test_streamed_snapshot_takes_late_records(spark, tmp_path):
     assert land("3.jsonl", ("b", 7, "upsert", d("b", "late")), ("a", 6, "upsert", d("a", "v6"))) == {"a": "v6"}
 
 
+def test_writes_ask_for_builds_and_failed_ones_leave_nothing(spark, engine, tmp_path):
+    engine.queue = JobQueue(tmp_path / "q.db", engine.clock)
+    engine.ingest(documents())
+    engine.delete(["python-noise"])
+    assert worker.work_once(spark, engine.store, engine.queue, engine.embedder.column, 16) == []
+    assert publish.load_active(engine.store)[1].document_count == 5 and engine.queue.receive() == []
+
+    def broken():
+        raise RuntimeError("before the commit")
+
+    with pytest.raises(RuntimeError):
+        publish.build(spark, engine.store, 9, engine.log.keys(), engine.embedder.column, 16, engine.clock, broken)
+    assert not [p for p in engine.store.root.iterdir() if p.name.startswith(".staging")]
+
+
+def test_several_shards(engine):
+    engine.ingest(documents())
+    engine.build(shards=3)
+    manifest = publish.load_active(engine.store)[1]
+    assert manifest.num_shards == 3 and manifest.document_count == 6
+    found = engine.vector_search(engine.embedder.query("rust retrieval"), 6).collect()
+    assert len(found) == 6 and found[0].doc_id.startswith("rust")
+    with pytest.raises(OperationError, match="exactly one shard"):
+        engine.keyword_search("rust", 2)
+
+
+def test_all_that_is_wrong_is_told(spark, engine):
+    rows = engine.spark.createDataFrame([("a", "t", "{}", [1.0, 0.0])], "doc_id string, text string, metadata string, embedding array<float>")
+    m = engine.static_build(rows, Codec.generate(2), "m", release.ReleaseSource("table", "x", 1, 1, "rfc"), "static/x")
+    folder = engine.store.path("static/x")
+    assert release.verify(spark, folder, "m", 2) == m
+    bad = json.loads(json.dumps(m))
+    bad["source"] |= {"kind": "other", "table_row_count": 5}
+    bad["turbo_version"] = 9
+    del bad["codec"]["dim"]
+    (folder / release.MANIFEST).write_text(json.dumps(bad))
+    (folder / "centroids.bin").write_bytes(b"short")
+    with pytest.raises(OperationError) as error:
+        release.verify(spark, folder, "other")
+    for said in ("source.kind is 'other'", "turbo_version is 9", "'m', not 'other'", "the id", "the table's rows 5", "centroids.bin has 5 bytes"):
+        assert said in str(error.value), said
+
+
 def test_http_contract(engine):
     post = lambda path, body: service.handle(engine, "POST", path, body if isinstance(body, bytes) else json.dumps(body).encode())
     ok = {"query": "rust", "top_k": 2, "include_metadata": True}
