@@ -128,41 +128,54 @@ def search_index(index: KeywordIndex, query: str, k: int) -> DataFrame:
 
 def _occurrences(ts: Column, phrase: tuple[str, ...]) -> Column:
     if len(phrase) == 1:
-        return F.size(F.filter(ts, lambda t: t == phrase[0]))
+        return F.size(ts) - F.size(F.array_remove(ts, phrase[0]))
     starts = F.sequence(F.lit(1), F.greatest(F.size(ts) - len(phrase) + 1, F.lit(1)))
     return F.size(F.filter(starts, lambda i: F.slice(ts, i, F.lit(len(phrase))) == F.array(*map(F.lit, phrase))))
 
 
+def counted_texts(docs: DataFrame, sought: list[tuple[str, ...]], id_col: str, text: str) -> DataFrame:
+    """(doc_id, c) of every text: c holds its length in terms, then how often each phrase sought occurs.
+
+    The rows, a few dozen bytes a text, are exchanged by id before anything else
+    is done with them. Statistics and scores, and every other use in a plan, need
+    all of ``c``, so nothing is pruned or pushed below that exchange for one of
+    them alone: it is the same for all and runs once, texts are read once.
+    """
+
+    def counts(ts: Column) -> Column:
+        return F.array(F.size(ts), *[_occurrences(ts, phrase) for phrase in sought])
+
+    # Within a lambda the terms are bound once, however many counts there are of them.
+    read = F.transform(F.array(terms(F.coalesce(F.col(text), F.lit("")))), counts)
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), read.alias("cs")).repartition("doc_id")
+    # No filter on what a generator makes passes below it; the outer form adds none of its own.
+    return rows.select("doc_id", F.explode_outer("cs").alias("c"))
+
+
 def score_texts(docs: DataFrame, query: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) of every matching text, by one pass for statistics and one for scores; no postings, no shuffle of texts."""
+    """(doc_id, score) of every matching text: texts are read once, for statistics and scores; no postings, no shuffle of texts."""
     parsed = parse(query)
     wanted = [c for c in parsed.clauses if c.occur != "-"]
     if not wanted:
         return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
-    terms_of = parsed.terms
-
-    def counts(ts: Column) -> Column:
-        has = F.array(*[F.array_contains(ts, t) for t in terms_of])
-        tf = F.array(*[_occurrences(ts, c.terms) for c in parsed.clauses])
-        return F.struct(F.size(ts).alias("dl"), has.alias("has"), tf.alias("tf"))
-
-    # A generator of one row: the texts are read into counts once, and no filter or projection above repeats that.
-    bound = F.explode(F.transform(F.array(terms(F.coalesce(F.col(text), F.lit("")))), counts)).alias("c")
-    counted = docs.select(F.col(id_col).cast("string").alias("doc_id"), bound).select("doc_id", "c.*")
-    dfs = F.array(*[F.count_if(F.col("has")[i]) for i in range(len(terms_of))])
+    sought = list(dict.fromkeys([*[(t,) for t in parsed.terms], *[c.terms for c in parsed.clauses]]))
+    place = {phrase: i + 1 for i, phrase in enumerate(sought)}
+    counted = counted_texts(docs, sought, id_col, text)
+    dl = F.col("c")[0]
+    dfs = F.array(*[F.count_if(F.col("c")[place[(t,)]] > 0) for t in parsed.terms])
     # One subquery for all statistics: every use of it is the same plan, which runs once.
-    stats = counted.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), dfs.alias("df")).alias("s")).scalar()
-    number = {t: i for i, t in enumerate(terms_of)}
+    stats = counted.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(dl).alias("avgdl"), dfs.alias("df")).alias("s")).scalar()
+    number = {t: i for i, t in enumerate(parsed.terms)}
     total, passes = F.lit(0.0), F.lit(True)
-    for i, clause in enumerate(parsed.clauses):
-        x = F.col("tf")[i]
+    for clause in parsed.clauses:
+        x = F.col("c")[place[clause.terms]]
         if clause.occur:
             passes = passes & ((x > 0) if clause.occur == "+" else (x == 0))
         if clause.occur != "-":
             idf = sum((rarity(stats["df"][number[t]], stats["n"]) for t in clause.terms), F.lit(0.0))
-            total = total + F.when(x > 0, idf * saturation(x, F.col("dl"), stats["avgdl"])).otherwise(0.0)
+            total = total + F.when(x > 0, idf * saturation(x, dl, stats["avgdl"])).otherwise(0.0)
     if not any(c.occur == "+" for c in wanted):
-        any_of = [F.col("tf")[i] > 0 for i, c in enumerate(parsed.clauses) if c.occur != "-"]
+        any_of = [F.col("c")[place[c.terms]] > 0 for c in wanted]
         passes = passes & functools.reduce(lambda a, b: a | b, any_of)
     return counted.where(passes).select("doc_id", total.alias("score"))
 
