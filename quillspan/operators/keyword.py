@@ -25,6 +25,8 @@ from quillspan.functions.text import TERM_MAX_BYTES, terms
 from quillspan.model import ValidationError
 
 K1, B = 1.2, 0.75
+#: Weights of postings are added as whole numbers of this part, so a sum is the same in any order and equal texts tie.
+PART = 2.0**-40
 
 
 @dataclass(frozen=True)
@@ -104,14 +106,23 @@ class KeywordIndex:
     stats: DataFrame
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> KeywordIndex:
-    """Postings by one explode; counts combine before the shuffle."""
+def postings_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, doc_id, tf, dl) by one explode; counts combine before the shuffle."""
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), terms(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
-    sized = rows.withColumn("dl", F.size("ts"))
-    postings = sized.select("doc_id", "dl", F.explode("ts").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    sized = rows.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    return sized.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "doc_id", "tf", "dl")
+
+
+def from_postings(postings: DataFrame, docs: DataFrame) -> KeywordIndex:
+    """Frequencies and statistics from postings; of the documents only their number is asked."""
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return KeywordIndex(postings.select("term", "doc_id", "tf", "dl"), frequencies, stats)
+    n = docs.agg(F.count(F.lit(1))).scalar()
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    return KeywordIndex(postings, frequencies, total.select(n.alias("n"), F.try_divide("total", n).alias("avgdl")))
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> KeywordIndex:
+    return from_postings(postings_of(docs, id_col, text), docs)
 
 
 def search_index(index: KeywordIndex, query: str, k: int) -> DataFrame:
@@ -123,7 +134,8 @@ def search_index(index: KeywordIndex, query: str, k: int) -> DataFrame:
     df = F.broadcast(index.frequencies.where(F.col("term").isin(list(parsed.terms))))  # a row per query term at most
     stats = index.stats.select(F.struct("n", "avgdl").alias("s")).scalar()
     scored = some.join(df, "term").select("doc_id", weight(F.col("tf"), F.col("dl"), F.col("df"), stats["n"], stats["avgdl"]).alias("w"))
-    return scored.groupBy("doc_id").agg(F.sum("w").alias("score")).orderBy(F.desc("score"), F.asc("doc_id")).limit(k)
+    total = F.sum(F.round(F.col("w") / PART).cast("long")) * PART
+    return scored.groupBy("doc_id").agg(total.alias("score")).orderBy(F.desc("score"), F.asc("doc_id")).limit(k)
 
 
 def _occurrences(ts: Column, phrase: tuple[str, ...]) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -74,10 +75,12 @@ def hundredths(spark: SparkSession, sf_dir: str) -> dict[str, list[float]]:
 
 
 def scratch(spark: SparkSession) -> Path:
-    """A folder for a store: in the one that driver and executors share, a local one only where none is named."""
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
-    if not shared.startswith("/"):
+    """A folder for a store, which needs a mounted one: in that which driver and executors share, a local one only where none is named."""
+    shared = re.sub(r"^file:(//)?(?=/)", "", spark.conf.get("spark.checkpoint.dir", None) or "")
+    if not shared:
         return Path(tempfile.mkdtemp(prefix="quillspan-store-"))
+    if not shared.startswith("/"):
+        raise ValueError(f"a store needs a mounted folder, not {shared}")
     return Path(shared) / f"quillspan-store-{uuid.uuid4().hex}"
 
 
@@ -88,6 +91,25 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("doc_id"), "text", meta.alias("metadata"))
 
 
+#: Folders of keyword tables by application, table and its state.
+_WORDS: dict[tuple, str] = {}
+
+
+def words_index(spark: SparkSession, sf_dir: str) -> keyword.KeywordIndex:
+    """Keyword tables of the documents as an index version has them: written once an application, again if the documents change."""
+    jvm, where = spark.sparkContext._jvm, f"{sf_dir}/documents.parquet"
+    path = jvm.org.apache.hadoop.fs.Path(where)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    key = (spark.sparkContext.applicationId, where, files.getFileStatus(path).getModificationTime(), files.getContentSummary(path).getLength())
+    done = jvm.org.apache.hadoop.fs.Path(f"{_WORDS[key]}/stats") if key in _WORDS else None
+    if done is None or not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspan-words-")
+        folder = f"{shared.rstrip('/')}/quillspan-words-{uuid.uuid4().hex}"
+        publish.write_words(table(spark, sf_dir, "documents"), folder)
+        _WORDS[key] = folder
+    return publish.read_words(spark, _WORDS[key])
+
+
 def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
@@ -176,9 +198,8 @@ def keyword_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BM25} SELECT doc_id, round(score, 6) AS score FROM kw ORDER BY kw.score DESC, doc_id LIMIT 20")
 def keyword_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same through postings."""
-    index = keyword.build_index(table(spark, sf_dir, "documents"))
-    return keyword.search_index(index, WORDS, 20).select("doc_id", r6("score").alias("score"))
+    """The same through written postings."""
+    return keyword.search_index(words_index(spark, sf_dir), WORDS, 20).select("doc_id", r6("score").alias("score"))
 
 
 #: A phrase, a term, a term that must not be there, and a phrase without hits.
@@ -275,7 +296,8 @@ def rrf_payload_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     request = SearchRequest(WORDS, 10)
-    found = hybrid.search(docs(spark, sf_dir), vectors(spark, sf_dir), request, first_vector(spark, sf_dir)).dynamic
+    words = keyword.search_index(words_index(spark, sf_dir), WORDS, 100)
+    found = hybrid.search(docs(spark, sf_dir), vectors(spark, sf_dir), request, first_vector(spark, sf_dir), keyword_list=words).dynamic
     return found.select(
         "doc_id",
         r6(F.col("score").cast("double")).alias("score"),
@@ -309,7 +331,8 @@ _STEP_ROWS = ", ".join(f"({i}, {w})" for i, w in _STEPS)
 )
 def filtered_hybrid_widening(spark: SparkSession, sf_dir: str) -> DataFrame:
     request = SearchRequest(WORDS, 5, {"lang": "en"})
-    found = hybrid.search(docs(spark, sf_dir), vectors(spark, sf_dir), request, first_vector(spark, sf_dir)).dynamic
+    words = keyword.search_index(words_index(spark, sf_dir), WORDS, 100)
+    found = hybrid.search(docs(spark, sf_dir), vectors(spark, sf_dir), request, first_vector(spark, sf_dir), keyword_list=words).dynamic
     return found.select("doc_id", r6(F.col("score").cast("double")).alias("score"), F.get_json_object("metadata", "$.source").alias("src"))
 
 

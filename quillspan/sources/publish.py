@@ -92,8 +92,29 @@ def read_tables(spark: SparkSession, store: Store, manifest: IndexManifest) -> I
     docs = functools.reduce(DataFrame.unionByName, parts)
     if len(parts) > 1:
         return IndexTables(docs, None, len(parts))
-    words = store.resolve(manifest.shards[0].keyword_path)
-    return IndexTables(docs, keyword.KeywordIndex(*[spark.read.parquet(str(words / n)) for n in ("postings", "frequencies", "stats")]), 1)
+    return IndexTables(docs, read_words(spark, store.resolve(manifest.shards[0].keyword_path)), 1)
+
+
+def read_words(spark: SparkSession, folder: Path | str) -> keyword.KeywordIndex:
+    return keyword.KeywordIndex(*[spark.read.parquet(f"{folder}/{name}") for name in ("postings", "frequencies", "stats")])
+
+
+def write_words(docs: DataFrame, folder: Path | str) -> None:
+    """The keyword tables of documents, to a folder of any file system that Spark writes to. Texts are split once, for the postings; the rest comes from the postings written.
+
+    Files hold ranges of terms with statistics, so a query reads the few files
+    its terms lie in. Postings are dealt by term and id: those of a term that
+    very many documents hold fill several files.
+    """
+    spark = docs.sparkSession
+
+    def write(rows: DataFrame, name: str, *by: str) -> None:
+        rows.repartitionByRange(*by).sortWithinPartitions(*by).write.parquet(f"{folder}/{name}")
+
+    write(keyword.postings_of(docs), "postings", "term", "doc_id")
+    index = keyword.from_postings(spark.read.parquet(f"{folder}/postings"), docs)
+    write(index.frequencies, "frequencies", "term")
+    index.stats.write.parquet(f"{folder}/stats")
 
 
 def build(
@@ -121,11 +142,7 @@ def build(
             table, words = stage / f"documents-{i}", stage / f"keywords-{i}"
             own.write.parquet(str(table)) if shards > 1 else whole.rename(table)
             own = spark.read.parquet(str(table))
-            index = keyword.build_index(own)
-            # Ranges of terms with statistics per file: a query reads the few files its terms lie in.
-            for name in ("postings", "frequencies"):
-                getattr(index, name).repartitionByRange("term").sortWithinPartitions("term").write.parquet(str(words / name))
-            index.stats.write.parquet(str(words / "stats"))
+            write_words(own, words)
             base = f"index/versions/{version}/shards/{i}"
             made.append(Shard(i, own.count(), f"s3://{BUCKET}/{base}/documents", f"s3://{BUCKET}/{base}/keywords"))
             moves += [(table, f"{base}/documents"), (words, f"{base}/keywords")]

@@ -1,5 +1,6 @@
 import os
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -10,6 +11,7 @@ from quillspan.functions import arrays, hashing, text
 from quillspan.model import CorpusWeights, Document, IndexManifest, SearchRequest, Shard, ValidationError, window, windows
 from quillspan.operators import context, filters, hybrid, keyword, rank, turbo, validate, vector
 from quillspan.plans import catalogue
+from quillspan.sources import publish
 
 
 def frame(spark, rows, schema):
@@ -111,6 +113,55 @@ def test_keyword_goldens(spark):
     assert [i for i, _ in pairs(keyword.search_texts(twice, "rust", 2))] == ["doc-1", "doc-2"]
 
 
+def test_written_words_answer_as_texts_do(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(str(i), " ".join(rng.choices(["hot", "w1", "w2", "w3", "Rare-x", "é"], k=rng.randrange(9)))) for i in range(300)]
+    docs = frame(spark, [*rows, ("n", None), ("e", ""), ("l", "hot " + "a" * 50)], D)
+    publish.write_words(docs, tmp_path / "words")
+    index = publish.read_words(spark, str(tmp_path / "words"))
+    for query in ("hot", "w1 rare é", "w2 w3 hot x", "absent"):
+        written = pairs(keyword.search_index(index, query, 400).select("doc_id", F.round("score", 9)))
+        assert written == pairs(keyword.search_texts(docs, query, 400).select("doc_id", F.round("score", 9)))
+    lengths = [len([t for t in re.split(r"[^\w]+", x.lower()) if t and len(t) < 40]) for _, x in docs.fillna("").collect()]
+    assert pairs(index.stats) == [(303, pytest.approx(sum(lengths) / 303))]
+    # Equal texts tie, whichever order their postings are added in, so ids decide.
+    alike = keyword.build_index(frame(spark, [(str(i), "w1 w2 w3 é hot") for i in range(9)], D))
+    found = pairs(keyword.search_index(alike, "hot é w3 w1 w2", 9))
+    assert [i for i, _ in found] == [str(i) for i in range(9)] and len({score for _, score in found}) == 1
+
+
+def test_words_of_no_documents(spark, tmp_path):
+    for rows in ([], [("a", None), ("b", "")]):
+        folder = tmp_path / str(len(rows))
+        publish.write_words(frame(spark, rows, D), folder)
+        index = publish.read_words(spark, folder)
+        assert pairs(index.stats) == [(len(rows), 0.0 if rows else None)]
+        assert not pairs(keyword.search_index(index, "any", 5)) and not pairs(keyword.search_texts(frame(spark, rows, D), "any", 5))
+
+
+def test_a_term_of_all_documents_fills_several_files(spark, tmp_path):
+    docs = spark.range(4000).select(F.col("id").cast("string").alias("doc_id"), F.lit("hot").alias("text"))
+    off = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}  # so small a table would be put in one file
+    before = {k: spark.conf.get(k) for k in off}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        publish.write_words(docs, tmp_path / "words")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    postings = publish.read_words(spark, tmp_path / "words").postings
+    assert postings.count() == 4000 and postings.select(F.input_file_name()).distinct().count() > 1
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    frame(spark, [(str(i), f"hot w{i}") for i in range(50)], D).write.parquet(str(tmp_path / "docs"))
+    found = keyword.search_texts(spark.read.parquet(str(tmp_path / "docs")), "hot w1", 5)
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange [doc_id" in final
+
+
 def test_phrases_and_bad_queries(spark):
     df = frame(spark, [("1", "quick brown fox"), ("2", "brown quick fox"), ("3", None), ("4", "")], D)
     assert [i for i, _ in pairs(keyword.search_texts(df, '"quick brown" fox', 9))] == ["1", "2"]  # any clause; the phrase adds its score
